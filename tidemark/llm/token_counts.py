@@ -17,9 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import bpe
 from tidemark.llm.common import slices, table
@@ -57,17 +59,13 @@ def token_prefixes(docs: DataFrame, path: str | None = None, budget: int = 512)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-@F.pandas_udf("long")
-def _at(steps, chars):
-    import pandas as pd
-
+@F.pandas_udf(T.LongType())
+def _at(steps: pd.Series, chars: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or k is None or k < 0 else int(np.frombuffer(s, "<i2")[: int(k)].sum(dtype=np.int64)) for s, k in zip(steps, chars, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf("long")
-def _within(steps, budget):
-    import pandas as pd
-
+@F.pandas_udf(T.LongType())
+def _within(steps: pd.Series, budget: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else cut(s, int(b)) for s, b in zip(steps, budget, strict=True)], dtype="Int64")
 
 
