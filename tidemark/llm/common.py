@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker works on at once; bounds its memory.
@@ -49,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
         if not batch.num_rows:
             continue
         text = batch.column(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(lengths.astype(np.int64)) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:], strict=False):

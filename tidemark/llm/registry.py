@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import token_counts
+from tidemark.llm import simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
