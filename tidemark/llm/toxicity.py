@@ -1,15 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its words (white space apart, marks at the ends cut,
-lower case) and the words' beginnings of four to six characters, hashed to
-``BUCKETS``.  The score is logistic in b + sum w_i + sum over pairs <v_i, v_j>,
+lower case), the words' beginnings of four to six characters, and each such
+beginning that several different words share, hashed to ``BUCKETS``.  The score is logistic in b + sum w_i + sum over pairs <v_i, v_j>,
 so a pair of terms, such as an insult and the mention of a group, counts beyond
 what each of them adds.
 
 Learning: a bounded sample of labelled rows (``SAMPLE_ROWS``, by hash of the id)
 is turned into hashed terms on the executors; the machine is fitted on the
 driver, whose memory the bound keeps small.  Buckets that too few sampled texts
-have are left out.  Scoring covers all texts whole.
+have, or that toxic texts have no more or less often than others, are left out.  Scoring covers all texts whole.
 
 Defined results: null or empty text has no terms and scores the model's base
 rate; without any label of either kind every text scores the share of toxic
@@ -34,12 +34,19 @@ from tidemark.llm.common import slices, table
 BUCKETS = 1 << 20
 #: Labelled rows that the model is fitted on at most.
 SAMPLE_ROWS = 12_000
-#: Sampled texts that must have a bucket, and how far from chance its share of toxic texts must be (or so many texts have it that pairs with it can be learnt).
-LEAST_TEXTS, LEAST_Z, COMMON = 3, 2.5, 0.02
-FACTORS, STEPS, RATE, DECAY = 4, 150, 0.08, 2e-5
+#: Sampled texts that must have a bucket, and how far from chance its share of toxic texts must be.
+LEAST_TEXTS, LEAST_Z = 3, 4.0
+FACTORS, STEPS, RATE = 4, 200, 0.05
+#: L2 penalties of a weight and of a factor, in texts.
+PENALTY, FACTOR_PENALTY = 1.0, 5.0
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+def twice(term: np.ndarray) -> np.ndarray:
+    """The term that says that two words of a text share ``term``."""
+    return (term * 2654435761 + 40503) & (BUCKETS - 1)
+
+
 class Terms:
     """Word -> its hashed terms; keeps words it has met."""
 
@@ -67,14 +74,21 @@ class Terms:
         if not len(coded.dictionary):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         terms = np.array([self.of(w) for w in coded.dictionary.to_pylist()], np.int64)
+        useful = terms >= 0
         if place is not None:
-            terms = np.where(terms >= 0, place[terms], -1)
+            useful &= (place[terms] >= 0) | (place[twice(terms)] >= 0)
         at = np.asarray(coded.indices).astype(np.int64)
-        has = (terms >= 0).any(axis=1)[at]
-        at, owner = at[has], owner[has]
-        pair = (owner[:, None] << 32 | terms[at])[terms[at] >= 0]
-        pair = np.unique(pair)
-        return pair >> 32, pair & 0xFFFFFFFF
+        has = useful.any(axis=1)[at]
+        word = np.unique(owner[has] << 32 | at[has])  # a word of a text counts once
+        owner, at = word >> 32, word & 0xFFFFFFFF
+        pair, count = np.unique((owner[:, None] << 32 | terms[at])[useful[at]], return_counts=True)
+        more = pair[count > 1]
+        pair = np.unique(np.append(pair, more >> 32 << 32 | twice(more & 0xFFFFFFFF)))
+        text, term = pair >> 32, pair & 0xFFFFFFFF
+        if place is not None:
+            term = place[term].astype(np.int64)
+            text, term = text[term >= 0], term[term >= 0]
+        return text, term
 
 
 class Machine:
@@ -132,7 +146,7 @@ def fitted(terms: list[bytes], toxic: np.ndarray, seed: int = 7) -> Machine:
     have = np.bincount(term, minlength=BUCKETS)
     bad = np.bincount(term, weights=toxic[text], minlength=BUCKETS)
     z = (bad - have * rate) / np.sqrt(np.maximum(have * rate * (1 - rate), 1e-9))
-    buckets = np.flatnonzero((have >= LEAST_TEXTS) & ((np.abs(z) >= LEAST_Z) | (have >= COMMON * n)))
+    buckets = np.flatnonzero((have >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
     if not len(buckets):
         return none
     place = np.full(BUCKETS, -1, np.int64)
@@ -151,7 +165,7 @@ def fitted(terms: list[bytes], toxic: np.ndarray, seed: int = 7) -> Machine:
         off = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - toxic) / n
         grad_w = np.bincount(term, weights=off[text], minlength=len(buckets))
         grad_v = np.stack([np.bincount(term, weights=off[text] * sums[text, f], minlength=len(buckets)) for f in range(FACTORS)], axis=1) - v * grad_w[:, None]
-        grads = [grad_w + DECAY * w, grad_v + DECAY * v, np.array([off.sum()])]
+        grads = [grad_w + PENALTY / n * w, grad_v + FACTOR_PENALTY / n * v, np.array([off.sum()])]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
