@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, simhash, token_counts, token_files, toxicity
+from tidemark.llm import licenses, mixing, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_token_files": token_files.op6_token_files,
