@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, mixing, quality, simhash, token_counts, token_files, toxicity
+from tidemark.llm import licenses, mixing, pii, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": token_files.op6_token_files,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.OP3_SQL,
