@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, mixing, pii, quality, simhash, token_counts, token_files, toxicity
+from tidemark.llm import decontaminate, licenses, mixing, pii, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_token_files": token_files.op6_token_files,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
