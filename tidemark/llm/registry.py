@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, licenses, mixing, pii, quality, simhash, token_counts, token_files, toxicity
+from tidemark.llm import decontaminate, licenses, mixing, pii, quality, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,10 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_token_files": token_files.op6_token_files,
+    "op7_warc_fixity": warc.op7_warc_fixity,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_pii": pii.op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.OP3_SQL,
+    "op7_warc_fixity": warc.OP7_SQL,
 }
