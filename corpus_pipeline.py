@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators."""
+"""The corpus pipeline: five stages over ``documents``, each one of the training-data operators.
+
+Toxic documents go, one document of each near-duplicate class stays, documents
+with benchmark passages go, sources are mixed to their target weights, and the
+mix is written as token ids and read back.  Each stage's result is written as
+Parquet in the shared folder and is the next one's input.
+
+The classifier and the fingerprints have no SQL; tests hold each stage against
+a brute-force version instead.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +15,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import stored, table
+from tidemark.llm import decontaminate, mixing, simhash, token_files, toxicity
+from tidemark.llm.common import scratch, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
 ORACLE_SQL: str | None = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicated(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    token_files.write_ids(docs, path)
+    return token_files.read_ids(spark, path, with_ids=False)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("source_mixing", mix_sources),
+    ("token_ids", write_token_ids),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
