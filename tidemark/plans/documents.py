@@ -1 +1,277 @@
-"""Queries."""
+"""Queries: documents, news, pages, classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import classify, text, times
+from tidemark.functions.times import iso
+from tidemark.operators import dedup, news, pages, quality, scoring
+from tidemark.plans.common import table
+from tidemark.plans.registry import query
+
+
+def _pick(key: str, *values: str | None) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as landed: every third by its own URL, some twice, some without title or time."""
+    d = table(spark, sf_dir, "documents")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return d.select(
+        _pick("doc_id", "Fed", "ecb", "BoE", "other").alias("source"),
+        stamp.alias("timestamp_collected"),
+        F.when(F.col("doc_id") % 2 == 0, stamp).otherwise("").alias("timestamp_published"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://x/"), F.floor(F.col("doc_id") / 6).cast("string"))).otherwise("").alias("url"),
+        F.when(F.col("doc_id") % 10 == 9, "").otherwise(F.concat(F.lit(" Note  "), F.col("doc_id").cast("string"))).alias("title"),
+        F.when(F.col("doc_id") % 5 == 0, "speech").alias("document_type"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit("A B")).alias("speaker"),
+        F.col("lang").alias("author"),
+        F.col("doc_id").alias("_doc_id"),
+    )
+
+
+ARTICLES = """
+raw AS (
+  SELECT doc_id, ['fed', 'ecb', 'boe', 'other'][doc_id % 4 + 1] AS source, strftime(TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc,
+         CASE WHEN doc_id % 3 = 0 THEN 'https://x/' || CAST(doc_id // 6 AS VARCHAR) END AS url, ' Note  ' || CAST(doc_id AS VARCHAR) AS title,
+         CASE WHEN doc_id % 5 = 0 THEN 'speech' ELSE 'article' END AS document_type, CASE WHEN doc_id % 7 = 0 THEN 'A B' ELSE lang END AS speaker
+  FROM documents WHERE doc_id % 10 <> 9),
+article AS (
+  SELECT doc_id, timestamp_utc, substr(sha256(coalesce(url, source || '|' || title || '|' || timestamp_utc)), 1, 16) AS article_id,
+         CASE source WHEN 'fed' THEN 'USD' WHEN 'ecb' THEN 'EUR' WHEN 'boe' THEN 'GBP' ELSE 'OTHER' END AS currency, 'Note ' || CAST(doc_id AS VARCHAR) AS headline, document_type, speaker, source, url
+  FROM raw QUALIFY row_number() OVER (PARTITION BY coalesce(url, source || '|' || title || '|' || timestamp_utc) ORDER BY doc_id) = 1)
+"""
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = news.articles(_bronze(spark, sf_dir))
+    return news.deduplicated_articles(found, ["_doc_id"]).withColumn("timestamp_utc", iso(F.col("timestamp_utc")))
+
+
+@query("article_silver", f"WITH {ARTICLES} SELECT * EXCLUDE (doc_id) FROM article")
+def article_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _articles(spark, sf_dir).drop("_doc_id")
+
+
+@query("rejected_articles", "SELECT doc_id FROM documents WHERE doc_id % 10 = 9")
+def rejected_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.articles(_bronze(spark, sf_dir))[1].select(F.col("_doc_id").alias("doc_id"))
+
+
+@query("sentiment_counts", "SELECT source, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+def sentiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return joined.groupBy("source", label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("lexicon_sentiment", """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}]+'), 1, 512) AS words FROM documents),
+c AS (SELECT doc_id, text, len(list_filter(words, lambda x: x IN ('growth', 'gain', 'gains', 'strong', 'improve', 'improved', 'rise', 'rises', 'optimistic', 'recovery', 'boost', 'stable'))) AS good,
+             len(list_filter(words, lambda x: x IN ('loss', 'losses', 'weak', 'decline', 'fall', 'falls', 'crisis', 'recession', 'worthless', 'risk', 'risks', 'fear', 'default'))) AS bad FROM w)
+SELECT doc_id, CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+       CASE WHEN good > bad THEN round(good / (good + bad)::DOUBLE, 4) WHEN bad > good THEN -round(bad / (good + bad)::DOUBLE, 4) ELSE 0.0 END AS sentiment_score FROM c""")
+def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "sentiment_label", "sentiment_score")
+
+
+@query("classify_ecb", """
+SELECT doc_id, ['policy', 'speeches', 'bulletins', 'pressreleases', 'policy'][doc_id % 5 + 1] AS kind, ['policy', 'speeches', 'bulletins', 'speeches', 'policy'][doc_id % 5 + 1] AS section_kind,
+       ['policy_decision', 'speech', 'bulletin', 'press_release', 'policy_decision'][doc_id % 5 + 1] AS document_type FROM documents""")
+def classify_ecb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = _pick("doc_id", "Monetary policy decision", "Remarks by A", "Economic Bulletin 3", "Annual accounts", "Speech by B on the Interest Rate")
+    d = table(spark, sf_dir, "documents").select("doc_id", classify.ecb_type(title, F.col("lang")).alias("kind"))
+    return d.select("doc_id", "kind", classify.ecb_section_type(F.col("kind"), F.lit("speeches")).alias("section_kind"), classify.ecb_label(F.col("kind")).alias("document_type"))
+
+
+@query("classify_fed", """
+SELECT conv_id, turn, ['fomc_statement', 'speech', 'testimony', 'minutes', 'press_release', 'press_release', 'speech'][turn % 7 + 1] AS kind, ['policy', 'speeches', 'other'][turn % 3 + 1] AS category_kind FROM conversations""")
+def classify_fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = _pick("turn", "FOMC statement by X", "Governor Y", "Testimony on banks", "Minutes of June", "Board announces rule", "Notice", "Testimony by Chair Z")
+    kind = classify.fed_category_type(_pick("turn", "Monetary Policy", "Monetary Policy", "Unknown"), F.col("turn") % 3 == 1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.fed_type(title, F.lit("")).alias("kind"), kind.alias("category_kind"))
+
+
+@query("classify_boe", "SELECT page_id, ['speeches', 'summaries', 'statements'][page_id % 3 + 1] AS bucket, ['boe_speech', 'monetary_policy_summary', 'press_release'][page_id % 3 + 1] AS kind FROM pages")
+def classify_boe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.col("url"), _pick("page_id", "/Speech/2024/a", "/monetary-policy-summary-and-minutes/x", "/news/2020/y"))
+    found = table(spark, sf_dir, "pages").select("page_id", classify.boe_type(url).alias("c"))
+    return found.select("page_id", F.col("c.bucket").alias("bucket"), F.col("c.type").alias("kind"))
+
+
+@query("speakers_ecb", "SELECT c_custkey, ['Anna Maria Bell', 'Carl Dorn', NULL][c_custkey % 3 + 1] AS speaker FROM customer")
+def speakers_ecb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(_pick("c_custkey", "Speech by Anna Maria  Bell at the ", "Carl Dorn, President of ", "News about "), F.lower("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", classify.ecb_speaker(title, F.lit("")).alias("speaker"))
+
+
+@query("speakers_fed", "SELECT c_custkey, ['Vice Chair Bell', 'Chairman Dorn', 'Governor Eng', ''][c_custkey % 4 + 1] AS title_speaker, ['Philip N. Bell', 'J. Dorn', 'Eng', NULL][c_custkey % 4 + 1] AS speaker FROM customer")
+def speakers_fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = _pick("c_custkey", "Remarks of Vice Chair Bell", "Chairman Dorn speaks", "On growth: Governor Eng", "Nothing")
+    named = _pick("c_custkey", "Vice Chair Philip N. Bell", " Chair J. Dorn", "Eng", "")
+    return table(spark, sf_dir, "customer").select("c_custkey", classify.fed_title_speaker(title).alias("title_speaker"), classify.fed_speaker(named).alias("speaker"))
+
+
+@query("speakers_boe", "SELECT s_suppkey, ['Ann Ash', 'Bo Birch', 'Cy Cedar', NULL][s_suppkey % 4 + 1] AS speaker FROM supplier")
+def speakers_boe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    author, head = _pick("s_suppkey", " Ann Ash ", "", "", ""), _pick("s_suppkey", "x", "Title\n\nSpeech by  Bo Birch\nmore", "Title", "Title")
+    body = F.concat(_pick("s_suppkey", "", "speech by Z", "Intro\na speech by Cy Cedar", "no one"), F.lit("\n"), F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", classify.boe_speaker(author, head, body).alias("speaker"))
+
+
+@query("url_filter", """
+SELECT page_id, page_id % 4 < 3 AS wanted, page_id % 4 IN (0, 2) AS in_years, 'https://b/' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 2 = 0 THEN '.en.html' ELSE '.de.html' END AS url, page_id % 2 = 0 AS english FROM pages""")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _pick("page_id", "https://b/speech/2021/x", "https://b/news/2012/y", "https://b/minutes/z", "https://b/about/2021/")
+    href = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("https://b")).otherwise(""), F.lit("/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".en.html").otherwise(".de.html"))
+    full = text.absolute_url(href, "https://b")
+    return table(spark, sf_dir, "pages").select("page_id", classify.boe_url_wanted(path).alias("wanted"), classify.boe_url_wanted(path, 2020, 2022).alias("in_years"), full.alias("url"), text.is_english_page(full).alias("english"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.when(F.col("p_partkey") % 5 == 0, "n.d.").otherwise(F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("p_partkey") * 60), "yyyyMMddHHmmss")).alias("date"),
+        F.concat(F.lit("https://n/"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("url"),
+        _pick("p_partkey", "www.reuters.com", "wsj.com", "microsoft.com", "blog.net").alias("source_domain"),
+        F.col("p_size").cast("string").alias("tone"),
+        F.concat(_pick("p_partkey", "ECON_CURRENCY;EUR ", "ECON_CENTRAL_BANK; USD", "TAX;EUR", "ECON_CURRENCY"), F.lit(";"), F.col("p_brand")).alias("themes"),
+        F.col("p_type").alias("locations"),
+        F.lit(None).cast("string").alias("organizations"),
+        "p_partkey",
+    )
+
+
+GRAPH = """
+g AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'n.d.' ELSE strftime(TIMESTAMP '2024-01-01' + p_partkey * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%SZ') END AS published, 'https://n/' || CAST(p_partkey // 2 AS VARCHAR) AS url,
+             [1, 2, 1, 3][p_partkey % 4 + 1] AS tier, [2, 2, 2, 1][p_partkey % 4 + 1] + 1 AS n_themes, CAST(p_size AS VARCHAR) AS tone FROM part
+      WHERE p_partkey % 4 < 2 QUALIFY row_number() OVER (PARTITION BY p_partkey // 2 ORDER BY p_partkey) = 1)
+"""
+
+
+@query("gkg_documents", f"WITH {GRAPH} SELECT url, published AS timestamp_published, tone, tier AS credibility_tier, sha256(url) AS url_hash, n_themes, 0 AS n_organizations FROM g")
+def gkg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = news.graph_documents(_graph(spark, sf_dir).where(news.wanted_themes()), ["p_partkey"])
+    return rows.select("url", "timestamp_published", "tone", "metadata.credibility_tier", "metadata.url_hash", F.size("themes").alias("n_themes"), F.size("organizations").alias("n_organizations"))
+
+
+@query("gkg_tiers", f"WITH {GRAPH} SELECT tier AS credibility_tier, count(*) AS n FROM g GROUP BY 1")
+def gkg_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = news.graph_documents(_graph(spark, sf_dir).where(news.wanted_themes()), ["p_partkey"])
+    return rows.groupBy("metadata.credibility_tier").agg(F.count("*").alias("n"))
+
+
+@query("gkg_priority", f"WITH {GRAPH} SELECT url FROM g ORDER BY tier, published, sha256(url) LIMIT 100")
+def gkg_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 in order of tier, time and hash: a top-k report."""
+    return news.by_priority(news.graph_documents(_graph(spark, sf_dir).where(news.wanted_themes()), ["p_partkey"])).select("url").limit(100)
+
+
+@query("page_plain_text", r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', ' ', 'g'), '(?is)<header\b[^>]*>.*?</header\s*>', ' ', 'g'),
+  '(?is)<footer\b[^>]*>.*?</footer\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x0b]+', ' ', 'g')) AS text FROM pages""")
+def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pages.plain_text(F.col("html")).alias("text"))
+
+
+@query("page_main_text")
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("page_links", r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>')) AS link, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>'), 1) - 1 AS position FROM pages),
+b AS (SELECT page_id, position, regexp_extract(link, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS href, regexp_extract(link, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS inside FROM a)
+SELECT page_id, position, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://b' || href END AS url, trim(regexp_replace(regexp_replace(inside, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS anchor FROM b WHERE href <> ''""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.links(table(spark, sf_dir, "pages"), "page_id", "html", "https://b")
+
+
+@query("page_meta", r"""
+SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS h1,
+       trim(regexp_extract(html, '(?is)<meta\s+(?:name|property)="author"\s+content="([^"]*)"', 1)) AS author FROM pages""")
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.metadata(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", *(found[c].alias(c) for c in ("title", "h1", "author")))
+
+
+@query("noise_removal", r"""
+SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '\n\s*\n', chr(10) || chr(10), 'g'), '(?is)Last Update:.*?[0-9]{4}', '', 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM pages""")
+def noise_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.concat(F.lit("Skip to main content\n \n"), F.col("html"), F.lit("\nStay connected\n a RSS  Last update: May\n 2024 \n"))
+    bare = F.regexp_replace(text.without_noise(shown), r"^\s+|\s+$", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(bare, 256).alias("text_hash"))
+
+
+@query("link_statistics", "SELECT source AS section, count(*) AS n_links, strftime(min(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER)), '%Y-%m-%d') AS first_day, strftime(max(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER)), '%Y-%m-%d') AS last_day FROM documents GROUP BY 1")
+def link_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")), "yyyy-MM-dd")
+    return pages.link_statistics(table(spark, sf_dir, "documents").select(F.col("source").alias("section"), day.alias("day")), "section", "day")
+
+
+@query("calendar_rows", """
+SELECT o_custkey AS page, strftime(min(o_orderdate) OVER (PARTITION BY o_custkey), 'Day %Y-%m-%d') AS day, o_orderpriority AS event, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) END AS actual FROM orders""")
+def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    actual = F.when(F.col("o_orderkey") % 3 > 0, F.rint("o_totalprice").cast("long").cast("string")).otherwise("-")
+    tr = F.concat(F.lit('<tr class="event"><td>8:30am</td><td>USD</td><td><b>high</b></td><td>'), F.col("o_orderpriority"), F.lit("</td><td>"), actual, F.lit("</td><td>n/a</td><td></td><td>x</td></tr>"))
+    day = F.concat(F.lit('<tr class="new day"><td>Day '), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd"), F.lit("</td></tr>"))
+    html = o.withColumn("_tr", tr).groupBy(F.col("o_custkey").alias("page")).agg(F.concat(day, F.array_join(F.collect_list("_tr"), "\n")).alias("html"))
+    return pages.calendar_rows(html, "page", "html").select("page", "day", "event", "actual")
+
+
+@query("listing_rows", """
+SELECT doc_id, strftime(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') AS day, 'https://f/newsevents/' || CAST(doc_id AS VARCHAR) AS url, 'Item ' || lang AS title, CASE WHEN doc_id % 2 = 0 THEN 'policy' ELSE 'other' END AS kind FROM documents WHERE doc_id % 10 > 0""")
+def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    shown = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")), "MM/dd/yyyy")
+    li = F.concat(F.lit('<ul><li class="item"><time>'), F.when(F.col("doc_id") % 10 > 0, shown).otherwise(""), F.lit('</time> <a href="/newsevents/'), F.col("doc_id").cast("string"), F.lit('">Item '), F.col("lang"), F.lit("</a><em>"), F.when(F.col("doc_id") % 2 == 0, "Monetary Policy").otherwise("x"), F.lit("</em></li></ul>"))
+    out = pages.listing_rows(d.select("doc_id", li.alias("html")), "doc_id", "html", "https://f")
+    return out.select("doc_id", F.date_format(times.us_date(F.col("date")), "yyyy-MM-dd").alias("day"), "url", "title", classify.fed_category_type(F.col("category"), F.lit(False)).alias("kind"))
+
+
+@query("document_rows", """
+SELECT doc_id, upper(source) AS source, CASE WHEN doc_id % 4 = 0 THEN 'Untitled' ELSE 'T' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN coalesce(toxic, 0) = 1 THEN '' ELSE lang END AS content, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'en') AS language,
+       strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS day FROM documents LEFT JOIN labels USING (doc_id)""")
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    title = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("T"), F.col("doc_id").cast("string")))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
+    row = d.select("doc_id", F.upper("source").alias("source"), F.coalesce(text.blank_to_null(title), F.lit("Untitled")).alias("title"), F.when(F.coalesce("toxic", F.lit(0)) == 1, "").otherwise(F.col("lang")).alias("content"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language")).alias("metadata"), F.try_to_date(day).alias("day"))
+    return row.select("doc_id", "source", "title", "content", F.coalesce("metadata.language", F.lit("en")).alias("language"), F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("document_filters", """
+SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 100 AND source <> '' AND (doc_id % 5 = 0 OR TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20')""")
+def document_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.when(F.col("doc_id") % 5 > 0, F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600))
+    d = table(spark, sf_dir, "documents").where(dedup.present("source", "text") & dedup.between(stamp, "2024-01-05", "2024-01-20", missing=True))
+    return d.where(F.length("text") > 100).select("doc_id", F.length("text").alias("n"))
+
+
+@query("speaker_filter", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND contains(text, 'the')")
+def speaker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.col("text").contains("the")).select("conv_id", "turn")
+
+
+@query("type_counts", "SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)")
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count("*").alias("n"))
+
+
+@query("samples_per_type", "SELECT lang, doc_id, length(text) AS n, substr(text, 1, 80) AS shown FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) = 1")
+def samples_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_per(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), "lang", ["doc_id"]).select("lang", "doc_id", F.length("text").alias("n"), text.preview(F.col("text")).alias("shown"))
+
+
+@query("quality_news", f"""WITH {ARTICLES}, n AS (SELECT *, CASE WHEN doc_id % 50 = 0 THEN 2.0 ELSE 0.5 END AS sentiment_score, CASE WHEN doc_id % 40 = 0 THEN 'odd' ELSE 'neutral' END AS sentiment_label FROM article)
+SELECT 'range_sentiment_score' AS rule, count(*) FILTER (sentiment_score > 1) AS violations FROM n UNION ALL SELECT 'domain_sentiment_label', count(*) FILTER (sentiment_label = 'odd') FROM n""")
+def quality_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.contracts import NEWS
+
+    a = _articles(spark, sf_dir).withColumns({"sentiment_score": F.when(F.col("_doc_id") % 50 == 0, 2.0).otherwise(0.5), "sentiment_label": F.when(F.col("_doc_id") % 40 == 0, "odd").otherwise("neutral")})
+    return quality.checked(a, NEWS).where("violations > 0")

@@ -1 +1,128 @@
-"""Queries."""
+"""Queries: landed files, sinks, streams.  Each writes rows of the given tables to the shared folder and reads them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import times
+from tidemark.functions.times import iso
+from tidemark.operators import dedup, prices
+from tidemark.plans import tables
+from tidemark.plans.common import scratch, table
+from tidemark.plans.registry import query
+from tidemark.sources import files, sinks
+from tidemark.streaming import documents as streams
+
+
+@query("csv_roundtrip", """
+SELECT pair, timeframe, count(*) AS n, sum(volume) AS volume, min(timestamp_utc) AS first_ts FROM (
+  SELECT strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc, 'EUR' || upper(substr(event_type, 1, 3)) AS pair, 'M1' AS timeframe, CAST(user_id AS DOUBLE) AS volume
+  FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('minute', ts), event_type ORDER BY event_id) = 1) GROUP BY 1, 2""")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    rows = tables._epoch(spark, sf_dir)
+    for pair in ("EURSIG", "EURERR", "EURCLI", "EURVIE", "EURPUR"):
+        own = rows.where(F.col("pair") == pair).orderBy("event_id").drop("pair", "timeframe", "event_id")
+        own.write.option("header", True).csv(f"{root}/mt5_{pair}_M1_20240130.csv")
+    bars = prices.epoch_bars(files.routed(spark, {"mt5": root, "unknown": root}), files.POSITION)
+    return bars.groupBy("pair", "timeframe").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"), iso(F.min("timestamp_utc")).alias("first_ts"))
+
+
+@query("jsonl_roundtrip", "SELECT doc_id, lang AS source, sha256(coalesce(text, '')) AS text_hash FROM documents")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.coalesce("text", F.lit("")).alias("content"), F.col("doc_id").cast("string").alias("title"), F.lit("article").alias("document_type"))
+    sinks.json_lines(d, f"{path}/a", "article", ("article", "speech"))
+    spark.createDataFrame([("",), ("{broken",)], "value string").write.text(f"{path}/b.jsonl")
+    back = files.json_lines(spark, path)
+    return back.where("title is not null").select(F.col("title").cast("long").alias("doc_id"), "source", F.sha2("content", 256).alias("text_hash"))
+
+
+@query("known_urls", "SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0 AND url <> ''")
+def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.json_lines(table(spark, sf_dir, "pages").where("page_id % 2 = 0").select("url"), path)
+    return files.known_urls(spark, path)
+
+
+@query("export_by_group", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def export_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.by_group(table(spark, sf_dir, "documents").select("doc_id", "lang"), path, "lang")
+    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("silver_export", f"SELECT pair, count(*) AS n, sum(\"close\") AS total FROM (SELECT timestamp_utc, pair, round(\"close\") AS \"close\" FROM ({tables.SYNTHETIC})) GROUP BY 1")
+def silver_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = tables.synthetic_bars(spark, sf_dir).withColumn("timestamp_utc", F.to_timestamp("timestamp_utc"))
+    path = sinks.silver(bars, scratch(spark), "ohlcv", "timestamp_utc", "EUR_D1")
+    return spark.read.parquet(path).groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.round("close")).alias("total"))
+
+
+@query("calendar_csv", "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 = 3) AS n_blank_impact, 12 AS n_columns FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def calendar_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.calendar_csv(tables._calendar(spark, sf_dir), scratch(spark))
+    back = files.csv(spark, path)
+    return back.agg(F.count("*").alias("n"), F.count_if(F.coalesce("impact", F.lit("")) == "").alias("n_blank_impact")).withColumn("n_columns", F.lit(len(back.columns)))
+
+
+@query("partition_counts", "SELECT 'ecb' || CAST(o_orderkey % 3 AS VARCHAR) AS part_source, strftime(o_orderdate, '%Y') AS \"year\", strftime(o_orderdate, '%m') AS \"month\", count(*) AS n_rows FROM orders GROUP BY 1, 2, 3")
+def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ecb"), (F.col("o_orderkey") % 3).cast("string")).alias("source"), F.col("o_orderdate").cast("timestamp").alias("timestamp_utc"))
+    path = scratch(spark)
+    sinks.partitioned(o, path)
+    sinks.partitioned(o.where("source = 'ecb1'"), path)  # a re-run replaces what it writes and leaves the rest
+    schema = "o_orderkey long, source string, timestamp_utc timestamp, part_source string, year string, month string"
+    return spark.read.schema(schema).parquet(path).groupBy("part_source", "year", "month").agg(F.count("*").alias("n_rows"))
+
+
+@query("partition_scan", "SELECT event_id, value FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-05' AND CAST(ts AS DATE) < DATE '2024-01-08'")
+def partition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).write.partitionBy("day").parquet(path)
+    return files.day_partitions(spark, path, "2024-01-05", "2024-01-08", ["event_id", "value"])
+
+
+@query("feed_items", "SELECT page_id, url, strftime(TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS published FROM pages")
+def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 3600), "EEE, dd MMM yyyy HH:mm:ss")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("title"), F.col("url").alias("link"), F.concat(stamp, F.lit(" GMT")).alias("pubDate"))
+    rows.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    items = files.feed_items(spark, path)
+    return items.select(F.col("title").cast("long").alias("page_id"), F.col("link").alias("url"), iso(times.feed_date(F.col("pubDate"))).alias("published"))
+
+
+@query("sitemap_urls", "SELECT url FROM pages WHERE page_id % 3 = 0 OR DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER) BETWEEN DATE '2024-02-01' AND DATE '2024-05-31'")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd")
+    table(spark, sf_dir, "pages").select(F.col("url").alias("loc"), F.when(F.col("page_id") % 3 > 0, day).alias("lastmod")).write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return files.sitemap(spark, path).where(dedup.between(times.iso_parse(F.col("lastmod")), "2024-02-01", "2024-05-31", missing=True)).select(F.col("loc").alias("url"))
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Documents as landed files with a time and a URL that four of them share."""
+    path, schema = scratch(spark), "doc_id long, source string, url string, title string, ts timestamp"
+    d = table(spark, sf_dir, "documents")
+    d.select("doc_id", F.col("lang").alias("source"), F.concat(F.lit("https://x/"), F.floor(F.col("doc_id") / 4).cast("string")).alias("url"), F.lit("t").alias("title"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 2000000).alias("ts")).write.parquet(path)
+    return path, schema
+
+
+@query("stream_new_documents", "SELECT count(DISTINCT doc_id // 4) AS n_new, count(DISTINCT doc_id // 4) AS n_urls FROM documents")
+def stream_new_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, schema = _landed(spark, sf_dir)
+    out = scratch(spark)
+    streams.drained(streams.new_documents(streams.landed(spark, path, schema), "ts"), out, scratch(spark), "ts")
+    return spark.read.parquet(out).agg(F.count("*").alias("n_new"), F.countDistinct("url").alias("n_urls"))
+
+
+@query("stream_partition_sink", "SELECT lang AS part_source, strftime(TIMESTAMP '2024-01-01' + (doc_id % 2000000) * INTERVAL 1 SECOND, '%m') AS \"month\", count(*) AS n FROM documents GROUP BY 1, 2")
+def stream_partition_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, schema = _landed(spark, sf_dir)
+    out, mark = scratch(spark), scratch(spark)
+    for _ in range(2):  # the second run finds nothing new
+        streams.drained(streams.landed(spark, path, schema), out, mark, "ts")
+    back = spark.read.schema(f"{schema}, part_source string, year string, month string, batch string").parquet(out)
+    return back.groupBy("part_source", "month").agg(F.count("*").alias("n"))

@@ -1 +1,126 @@
-"""Queries."""
+"""Queries: keyed storage, coverage, quality of tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.contracts import EVENTS, MACRO, OHLCV
+from tidemark.functions.numbers import ohlc_consistent
+from tidemark.functions.times import iso
+from tidemark.operators import dedup, news, quality, store
+from tidemark.plans import tables
+from tidemark.plans.common import scratch, table
+from tidemark.plans.registry import query
+
+
+@query("insert_ignore", """
+WITH target AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month" FROM orders WHERE o_orderkey % 3 = 0),
+batch AS (SELECT * FROM (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month", o_orderkey FROM orders WHERE o_orderkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY o_custkey, "month" ORDER BY o_orderkey) = 1)
+SELECT o_custkey, "month", o_orderkey FROM batch b WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.o_custkey = b.o_custkey AND t."month" = b."month")""")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey")
+    return store.new_rows(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 2 = 0"), ["o_custkey", "month"], ["o_orderkey"])
+
+
+@query("insert_ignore_count", """
+WITH t AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0)
+SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS n_before, (SELECT count(*) FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM t)) AS n_inserted, 0 AS n_again""")
+def insert_ignore_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, path = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), scratch(spark)
+    o.where("o_orderkey % 3 = 0").write.parquet(path)
+    before = spark.read.parquet(path).count()
+    batch = o.where("o_orderkey % 2 = 0")
+    first = store.insert_ignore(spark, path, batch, ["o_custkey"], ["o_orderkey"])
+    again = store.insert_ignore(spark, path, batch, ["o_custkey"], ["o_orderkey"])
+    return spark.createDataFrame([(before, first, again)], "n_before long, n_inserted long, n_again long")
+
+
+@query("new_urls", "SELECT url, min(page_id) AS page_id FROM pages WHERE page_id % 3 > 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+def new_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("url", "page_id")
+    return news.fresh(p.where("page_id % 3 > 0"), p.where("page_id % 3 = 0"), "url", ["page_id"])
+
+
+@query("latest_n", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest 100 orders: a top-k report."""
+    return dedup.latest(table(spark, sf_dir, "orders"), "o_orderdate", 100, "o_orderkey").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("pair_coverage", "SELECT event_type, count(*) AS n_rows, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_ts, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_ts FROM events GROUP BY 1")
+def pair_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = store.coverage(table(spark, sf_dir, "events"), "event_type", "ts")
+    return c.select("event_type", "n_rows", iso(F.col("first_ts").cast("timestamp")).alias("first_ts"), iso(F.col("last_ts").cast("timestamp")).alias("last_ts"))
+
+
+@query("row_counts", "SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
+def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.row_counts({n: table(spark, sf_dir, n) for n in ("orders", "events", "documents")})
+
+
+@query("coverage_gaps", """
+WITH seen AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate)::DATE AS m FROM orders), span AS (SELECT o_custkey, min(m) AS a, max(m) AS b FROM seen GROUP BY 1),
+every AS (SELECT o_custkey, unnest(generate_series(a, b, INTERVAL 1 MONTH))::DATE AS m FROM span)
+SELECT o_custkey, strftime(m, '%Y-%m') AS "month" FROM every e WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.o_custkey = e.o_custkey AND s.m = e.m)""")
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"))
+    return store.missing_months(o, "o_custkey", "day").select("o_custkey", F.date_format("month", "yyyy-MM").alias("month"))
+
+
+@query("coverage_requests", """
+WITH s AS (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1)
+SELECT c_custkey AS series_id FROM customer LEFT JOIN s ON o_custkey = c_custkey WHERE a IS NULL OR a > DATE '1996-01-01' OR b < DATE '2000-01-01'""")
+def coverage_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("series_id"), F.to_date("o_orderdate").alias("ts"))
+    want = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("series_id"), F.lit("1996-01-01").cast("date").alias("start"), F.lit("2000-01-01").cast("date").alias("end"))
+    return store.uncovered(have, want).select("series_id")
+
+
+@query("column_and_row_difference", "SELECT o_orderstatus, o_orderpriority FROM orders EXCEPT ALL SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 5 > 0")
+def column_and_row_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey")
+    return dedup.missing_rows(o.drop("o_orderkey"), o.where("o_orderkey % 5 > 0").drop("o_orderkey"))
+
+
+@query("distinct_values", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query("table_filters", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY")
+def table_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    newest = o.agg(F.max("o_orderdate").alias("newest"))  # one row
+    return o.join(F.broadcast(newest)).where("o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderdate >= newest - interval 365 days").select("o_orderkey")
+
+
+@query("calendar_range", "SELECT o_orderkey FROM orders WHERE o_orderkey % 9 > 0 AND o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31'")
+def calendar_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.when(F.col("o_orderkey") % 9 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").where(F.try_to_date(day, "yyyy-MM-dd").between("1997-01-01", "1997-12-31")).select("o_orderkey")
+
+
+@query("quality_ohlcv", f"""WITH b AS (SELECT * FROM ({tables.EPOCH}))
+SELECT 'ohlc_consistent' AS rule, count(*) FILTER (open >= 40 AND pair <> 'EURERR') + 2 * count(*) FILTER (open >= 40 AND pair = 'EURERR') AS violations FROM b
+UNION ALL SELECT 'null_close', count(*) FILTER (pair = 'EURCLI') FROM b UNION ALL SELECT 'unique_key', 2 * count(*) FILTER (pair = 'EURERR') FROM b""")
+def quality_ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.epoch_bars_silver(spark, sf_dir).withColumn("high", F.when(F.col("open") >= 40, F.col("low") - 1).otherwise(F.col("high"))).withColumn("close", F.when(F.col("pair") != "EURCLI", F.col("close")))
+    return quality.checked(b.unionByName(b.where("pair = 'EURERR'")), OHLCV, {"ohlc_consistent": ~ohlc_consistent()}).where("violations > 0")
+
+
+@query("quality_macro", """
+SELECT 'unique_key' AS rule, sum(n - 1)::BIGINT AS violations FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, strftime(o_orderdate, '%Y-%m')) HAVING sum(n - 1) > 0
+UNION ALL SELECT 'null_value', count(*) FROM orders WHERE o_orderkey % 17 = 0""")
+def quality_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    m = o.select(F.trunc("o_orderdate", "month").cast("timestamp").alias("timestamp_utc"), F.col("o_custkey").cast("string").alias("series_id"), F.when(F.col("o_orderkey") % 17 > 0, F.col("o_totalprice")).alias("value"), F.lit("fred").alias("source"), F.lit("M").alias("frequency"), F.lit("N/A").alias("units"))
+    return quality.checked(m, MACRO, count_all=False, exact=True).where("violations > 0")
+
+
+@query("quality_events", f"""WITH {tables.CALENDAR}
+SELECT 'domain_impact' AS rule, count(*) FILTER (impact = 'low') AS violations FROM silver UNION ALL SELECT 'country_length', count(*) FILTER (country = 'DE') FROM silver""")
+def quality_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.events_silver(spark, sf_dir)
+    e = e.withColumn("impact", F.when(F.col("impact") == "low", "lo").otherwise(F.col("impact"))).withColumn("country", F.when(F.col("country") == "DE", "GER").otherwise(F.col("country")))
+    return quality.checked(e, EVENTS, {"country_length": F.length("country") != 2}).where("violations > 0")

@@ -29,10 +29,10 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None
 
 
 def price_bars(spark: SparkSession, path: str, prefix: str = "mt5") -> DataFrame:
-    """Bars with pair and timeframe taken from names like ``mt5_EURUSD_H1_20210101.csv``; shorter names are skipped."""
-    df = positioned(csv(spark, path, PRICE_COLUMNS, f"{prefix}_*.csv"))
-    stem = F.regexp_replace(F.element_at(F.split("_file", "/"), -1), r"\.csv$|-[0-9a-f-]{36}.*$", "")
-    parts = F.split(stem, "_")
+    """Bars with pair and timeframe taken from names like ``mt5_EURUSD_H1_20210101.csv`` (files or folders of parts); shorter names are skipped."""
+    df = positioned(csv(spark, f"{path}/{prefix}_*.csv", PRICE_COLUMNS))
+    named = F.element_at(F.filter(F.split("_file", "/"), lambda x: x.startswith(f"{prefix}_")), -1)
+    parts = F.split(F.regexp_replace(named, r"\.csv$", ""), "_")
     return df.where(F.size(parts) >= 3).withColumns({"pair": F.get(parts, F.lit(1)), "timeframe": F.get(parts, F.lit(2))})
 
 
