@@ -18,7 +18,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The characters with Unicode's White_Space property.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 LEAD = re.compile(f"[{WHITE}]*")
 #: Most units: a line break or nothing, a word with at most one space before it, and marks after it: a piece each.
