@@ -39,7 +39,7 @@ def blank_to_null(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """All runs of Unicode white space to one space, zero-width spaces out, ends trimmed; NULL to ''."""
-    spaced = F.regexp_replace(F.translate(c, "​", ""), r"(?U)[\s\x1c-\x1f]+", " ")
+    spaced = F.regexp_replace(F.translate(c, "\u200b", ""), r"(?U)[\s\x1c-\x1f]+", " ")
     return F.coalesce(F.trim(spaced), F.lit(""))
 
 

@@ -70,7 +70,7 @@ def url_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("clean_text", r"""
 SELECT doc_id, sha256(trim(regexp_replace(replace(chr(160) || coalesce(text, '') || chr(8203) || '  x', chr(8203), ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS text_hash FROM documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.concat(F.lit("\xa0"), F.coalesce("text", F.lit("")), F.lit("​  x"))
+    shown = F.concat(F.lit("\xa0"), F.coalesce("text", F.lit("")), F.lit("\u200b  x"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clean_text(shown), 256).alias("text_hash"))
 
 
