@@ -2,7 +2,8 @@
 
 Pages become WARC records in archives of ``PER_ARCHIVE`` consecutive ids.  Each
 record is hashed; ordered ranges of 16 records (and of their offsets) are
-hashed into nodes, 16 nodes into the next level, up to one root.  Two replicas
+hashed into nodes, 16 nodes into the next level, up to one root (two, where
+records without an id stand below place zero).  Two replicas
 are compared from the root down: a level is joined only below nodes that differ,
 so intact ranges are never looked at again, and what is left at the leaves are
 the damaged, lost or foreign records.
@@ -98,7 +99,7 @@ def tree(catalogue: DataFrame) -> list[DataFrame]:
     levels = [stored(catalogue.select(F.col("place").alias("node"), F.col("sha256").alias("digest"), F.col("offset").alias("first_offset"), F.lit(1).cast("long").alias("n_records")))]
     ends = levels[0].agg(F.min("node").alias("low"), F.max("node").alias("high")).first()
     low, high = ends["low"], ends["high"]
-    while low is not None and low != high:
+    while low is not None and low != high and (low, high) != (-1, 0):  # places below zero have a top node of their own
         children = F.array_sort(F.collect_list(F.struct("node", "digest")))
         joined = F.array_join(F.transform(children, lambda c: F.concat_ws("=", c["node"].cast("string"), c["digest"])), ";")
         up = levels[-1].groupBy(F.shiftright("node", FAN_BITS).alias("up"))
