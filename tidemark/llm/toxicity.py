@@ -33,7 +33,7 @@ from tidemark.llm.common import slices, table
 
 BUCKETS = 1 << 20
 #: Labelled rows that the model is fitted on at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 #: Sampled texts that must have a bucket, and how far from chance its share of toxic texts must be.
 LEAST_TEXTS, LEAST_Z = 3, 4.0
 FACTORS, STEPS, RATE = 4, 200, 0.05
@@ -140,19 +140,21 @@ def fitted(terms: list[bytes], toxic: np.ndarray, seed: int = 7) -> Machine:
     none = Machine(float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     if not n or rate in (0.0, 1.0):
         return none
-    sizes = np.array([len(t) // 4 for t in terms])
-    text = np.repeat(np.arange(n), sizes)
-    term = np.frombuffer(b"".join(terms), "<i4").astype(np.int64)
-    have = np.bincount(term, minlength=BUCKETS)
-    bad = np.bincount(term, weights=toxic[text], minlength=BUCKETS)
+    have, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for low in range(0, n, 500):  # the sample's terms are never all unpacked at once
+        part = slice(low, low + 500)
+        one = np.frombuffer(b"".join(terms[part]), "<i4")
+        guilty = np.repeat(toxic[part] > 0, [len(t) // 4 for t in terms[part]])
+        have += np.bincount(one, minlength=BUCKETS)
+        bad += np.bincount(one[guilty], minlength=BUCKETS)
     z = (bad - have * rate) / np.sqrt(np.maximum(have * rate * (1 - rate), 1e-9))
     buckets = np.flatnonzero((have >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
     if not len(buckets):
         return none
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
-    term = place[term]
-    text, term = text[term >= 0], term[term >= 0]
+    own = [(x := place[np.frombuffer(t, "<i4")])[x >= 0] for t in terms]
+    text, term = np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own)
     rng = np.random.default_rng(seed)
     base = none.base
     params = [np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), FACTORS)), np.array([base])]
