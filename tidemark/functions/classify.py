@@ -112,7 +112,7 @@ def boe_speaker(author: Column, head_text: Column, main_text: Column) -> Column:
     """The page's author, else what follows 'speech by ' in the first 25 lines by the title, else in 80 lines of the main text."""
 
     def after(text: Column, lines: int) -> Column:
-        full = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+        full = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
         hit = F.get(F.filter(F.slice(full, 1, lines), lambda x: F.lower(x).contains("speech by ")), F.lit(0))
         return F.trim(F.substring(hit, F.locate("speech by ", F.lower(hit)) + 10, F.length(hit)))
 

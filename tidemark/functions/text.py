@@ -70,7 +70,7 @@ def impact_level(classes: Column, title: Column, text: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Items between semicolons, each trimmed; NULL or '' to an empty array."""
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, ";", -1), F.trim))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, ";", -1), lambda x: F.trim(x)))
 
 
 def credibility_tier(domain: Column, match: str = "substring") -> Column:

@@ -45,9 +45,8 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str = DOCUMENT_COLUMNS) -> DataFrame:
     """All ``*.jsonl`` below ``path``; blank lines are skipped and lines that are no JSON are dropped."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("columnNameOfCorruptRecord", "_corrupt")
-    df = reader.schema(f"{schema}, _corrupt string").json(path)
-    return positioned(df).where("_corrupt is null").drop("_corrupt")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("mode", "DROPMALFORMED")
+    return positioned(reader.schema(schema).json(path))
 
 
 def known_urls(spark: SparkSession, path: str) -> DataFrame:
