@@ -91,8 +91,8 @@ def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("table_filters", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY")
 def table_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    newest = o.agg(F.max("o_orderdate").alias("newest"))  # one row
-    return o.join(F.broadcast(newest)).where("o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderdate >= newest - interval 365 days").select("o_orderkey")
+    newest = table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).scalar()
+    return o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderdate") >= newest - F.expr("interval 365 days"))).select("o_orderkey")
 
 
 @query("calendar_range", "SELECT o_orderkey FROM orders WHERE o_orderkey % 9 > 0 AND o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31'")
