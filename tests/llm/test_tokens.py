@@ -16,7 +16,7 @@ PIECES = ["a", "the", " ", "  ", "\n", "\t", "'", "'s", "'ll", "'re", "ll", "l",
 
 @pytest.fixture(scope="module")
 def library():
-    return bpe.Vocabulary(bpe.default_path()).tokenizer
+    return bpe.vocabulary(bpe.default_path()).tokenizer
 
 
 def ids(library, text):

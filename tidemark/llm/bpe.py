@@ -12,6 +12,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -23,8 +24,8 @@ UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 LEAD = re.compile(f"[{WHITE}]*")
 #: Most units: a line break or nothing, a word with at most one space before it, and marks after it: a piece each.
 PLAIN = re.compile(r"(\n?)((?:(?<!\n) )?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Units that a worker keeps; the cache starts anew beyond that, which costs time only.
-KEPT = 600_000
+#: Units in one generation of a worker's cache.  A full generation becomes the old one, out of which units that come again are taken.
+KEPT = 200_000
 #: Words of up to so many bytes have their prefixes counted many at a time.
 SHORT = 40
 
@@ -59,25 +60,36 @@ class Vocabulary:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        back = byte_of_char()
-        model = spec["model"]
-        self.ids = {bytes(back[c] for c in token): n for token, n in model["vocab"].items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.stand_in = StandIn({b: c for c, b in byte_of_char().items()})
+        self.special = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+
+    @cached_property
+    def spec(self) -> tuple[dict[bytes, int], dict[tuple[int, int], tuple[int, int]]]:
+        """Ids by token bytes, and (left, right) -> (rank, merged); read when prefixes are counted."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        back, vocab = byte_of_char(), model["vocab"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        vocab = model["vocab"]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.bytes = {n: b for b, n in self.ids.items()}
-        self.longest = max(map(len, self.ids))
-        self.stand_in = StandIn({b: c for c, b in back.items()})
-        size = max([*self.bytes, *self.special.values()]) + 1
-        self.width = np.zeros(size, np.int64)
-        for n, b in self.bytes.items():
-            self.width[n] = len(b)
-        for text, n in self.special.items():
-            self.width[n] = len(text.encode())
+        return {bytes(back[c] for c in token): n for token, n in vocab.items()}, {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+
+    @property
+    def ids(self) -> dict[bytes, int]:
+        return self.spec[0]
+
+    @property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        return self.spec[1]
+
+    @cached_property
+    def bytes(self) -> dict[int, bytes]:
+        return {n: b for b, n in self.ids.items()}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.ids))
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of a short byte string by the merges alone."""
@@ -91,23 +103,35 @@ class Vocabulary:
         return ids
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One per worker process, for all its tasks."""
+    return Vocabulary(path)
+
+
 class UnitIds(dict):
     """unit -> its ids as little-endian bytes, by the library."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary(path)
         self.model = self.vocabulary.tokenizer.model
         self.marks: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         if any(PLAIN.search(s) and PLAIN.search(s)[0] == s for s in self.vocabulary.special):
             raise ValueError("a special token that looks like a word needs the library's own splitting")
-        self.kind = np.dtype("<u2") if len(self.vocabulary.width) <= 1 << 16 else np.dtype("<u4")
+        self.kind = np.dtype("<u2") if self.vocabulary.size <= 1 << 16 else np.dtype("<u4")
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= KEPT:
+            self.old = dict(self)
             self.clear()
+        value = self.old.get(unit)
+        if value is not None:
+            self[unit] = value
+            return value
         plain = PLAIN.fullmatch(unit)
         if plain:  # no splitting to do: straight to the library's model
             lead, word, tail = plain.groups()
@@ -179,7 +203,7 @@ class PrefixTable:
     BASE = np.uint64(0x100000001B3)
 
     def __init__(self, vocabulary: Vocabulary):
-        v, size = vocabulary, len(vocabulary.width)
+        v, size = vocabulary, vocabulary.size
         self.never = np.int32(1 << 30)
         self.rank, self.left, self.right = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(size, np.int32)
         made = np.array([(a, b, rank, new) for (a, b), (rank, new) in v.merges.items()], np.int64)
@@ -261,11 +285,12 @@ class UnitCounts(dict):
     """unit -> what each of its code points adds to the token count, as little-endian int16."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary(path)
         self.split = self.vocabulary.tokenizer.pre_tokenizer.pre_tokenize_str
         self.table = PrefixTable(self.vocabulary)
         self.marks: dict[str, bytes] = {"": b""}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.old: dict[str, bytes] = {}
 
     def follows(self, before: int, token: int) -> bool:
         data = self.vocabulary.bytes
@@ -330,8 +355,12 @@ class UnitCounts(dict):
     def learn(self, units: set[str]) -> None:
         new = units.difference(self)
         if len(self) + len(new) > KEPT:
+            self.old = dict(self)
             self.clear()
-            new = units
+            new = set(units)
+        again = new.intersection(self.old)
+        self.update((u, self.old[u]) for u in again)
+        new -= again
         plain, words = {}, set()
         for unit in new:
             found = PLAIN.fullmatch(unit)

@@ -187,7 +187,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         def close() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(held), units.kind)
             sizes = np.array([len(h) // units.kind.itemsize for h in held])
-            payload = pack(doc_ids, data, sizes, len(units.vocabulary.width))
+            payload = pack(doc_ids, data, sizes, units.vocabulary.size)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (block, pa.int64()), (len(held), pa.int64()), (len(data), pa.int64()), (payload, pa.binary()))], ["shard", "block", "n_docs", "n_ids", "payload"])
 
         for batch in slices(batches):

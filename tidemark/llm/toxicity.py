@@ -56,7 +56,7 @@ class Terms:
     def of(self, word: str) -> tuple[int, int, int, int]:
         out = self.known.get(word)
         if out is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             w = word.strip(MARKS).lower()
             n = len(w)
