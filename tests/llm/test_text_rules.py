@@ -127,6 +127,29 @@ def test_clean_documents_are_kept_and_junk_is_not():
     assert bad.tolist() == [False, True, True, True, True]
 
 
+def test_few_distinct_words_at_every_length():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    junk = [f"word{k}" for k in range(100)]
+    prose = [f"term{k}" for k in range(6000)]
+    texts = [" ".join(rng.choice(junk) for _ in range(n)) for n in (4_999, 5_000, 5_001, 20_000)]
+    texts += [" ".join(rng.choice(prose) for _ in range(n)) for n in (4_999, 5_001, 20_000, 60_000)]
+    assert quality.RULES["few_distinct_words"](quality.Texts(pa.array(texts))).tolist() == [True] * 4 + [False] * 4
+
+
+def test_distinct_share_is_the_mean_over_all_windows():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [*("".join(rng.choice("abcde") + " " for _ in range(rng.randint(0, 40))) for _ in range(60)), "", None]
+    found = quality.Texts(pa.array(texts)).distinct_share(window=7)
+    for text, share in zip(texts, found, strict=True):
+        words = (text or "").split()
+        windows = [words[k : k + 7] for k in range(max(1, len(words) - 6))]
+        assert share == pytest.approx(sum(len(set(w)) / max(1, len(w)) for w in windows) / len(windows))
+
+
 def test_personal_data_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = whole_table(spark, sf)

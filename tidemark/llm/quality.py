@@ -29,6 +29,8 @@ from tidemark.llm.common import slices, table
 SAMPLE_ROWS = 1_000
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Words of a window in which distinct words are counted; a longer text is judged by the mean over all its windows.
+WINDOW = 5_000
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
@@ -100,9 +102,20 @@ class Texts:
             covered[first + step] = True
         return np.bincount(self.owner[covered], minlength=self.n)
 
-    def distinct_words(self) -> np.ndarray:
+    def distinct_share(self, window: int = WINDOW) -> np.ndarray:
+        """Mean share of distinct words over all windows of consecutive words; a text of one window or less is one window."""
         size = int(self.ids.max()) + 1 if len(self.ids) else 1
-        return np.bincount(np.unique(self.owner * size + self.ids) // size, minlength=self.n)
+        key = self.owner * size + self.ids
+        order = np.argsort(key, kind="stable")
+        again = key[order[1:]] == key[order[:-1]]
+        at = np.arange(len(key)) - (np.cumsum(self.n_words) - self.n_words)[self.owner]
+        before = np.full(len(key), -1, np.int64)
+        before[order[1:][again]] = at[order[:-1][again]]
+        wide = np.minimum(self.n_words, window)
+        last = self.n_words - wide
+        # a word is new in the windows that start after its previous place and hold it
+        new = np.minimum(at, last[self.owner]) - np.maximum(before, at - wide[self.owner])
+        return np.bincount(self.owner, weights=np.maximum(0, new), minlength=self.n) / np.maximum(1, (last + 1) * wide)
 
 
 def _per(value: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -131,7 +144,7 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "word_length": lambda t: (_per(t.word_chars(), t.n_words) < 2) | (_per(t.word_chars(), t.n_words) > 20),
     "repeated_lines": lambda t: _per(t.lines()[1], t.lines()[0]) > 0.3,
     "repeated_words": lambda t: 100 * t.repeat_words() > 30 * t.n_words,
-    "few_distinct_words": lambda t: (t.n_words >= 50) & (t.n_words < 5_000) & (_per(t.distinct_words(), t.n_words) < 0.2),
+    "few_distinct_words": lambda t: (t.n_words >= 50) & (t.distinct_share() < 0.2),
     "compressible": _packed,
 }
 
