@@ -130,3 +130,9 @@ def test_sinks(spark, tmp_path):
         sinks.json_lines(df, str(tmp_path / "j"), "poem", ("article",))
     path = sinks.calendar_csv(df, str(tmp_path / "c"))
     assert len(files.csv(spark, path).columns) == 12
+
+
+def test_lexicon_counts_all_words():
+    late = "word " * 600 + "strong growth " * 3 + "risk"
+    assert scoring.lexicon()([late]) == [("positive", 6 / 7)]
+    assert scoring.lexicon(512)([late]) == [("neutral", 1.0)]

@@ -17,18 +17,18 @@ from pyspark.sql import types as T
 from tidemark.functions.numbers import signed_score
 
 Scorer = Callable[[list[str]], list[tuple[str, float]]]
-BATCH, LONGEST = 32, 512
+BATCH = 32
 GOOD = frozenset("growth gain gains strong improve improved rise rises optimistic recovery boost stable".split())
 BAD = frozenset("loss losses weak decline fall falls crisis recession worthless risk risks fear default".split())
 
 
-def lexicon() -> Scorer:
-    """Counts of good and bad words; the share of the larger count is the confidence."""
+def lexicon(longest: int | None = None) -> Scorer:
+    """Counts of good and bad words; the share of the larger count is the confidence.  All words count unless ``longest`` is given."""
 
     def score(texts: list[str]) -> list[tuple[str, float]]:
         out = []
         for text in texts:
-            words = re.findall(r"[^\W\d_]+", text.lower())[:LONGEST]
+            words = re.findall(r"[^\W\d_]+", text.lower())[:longest]
             good, bad = sum(w in GOOD for w in words), sum(w in BAD for w in words)
             label = "positive" if good > bad else "negative" if bad > good else "neutral"
             out.append((label, max(good, bad) / (good + bad) if label != "neutral" else 1.0))

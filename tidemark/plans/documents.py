@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,8 @@ c AS (SELECT doc_id, text, len(list_filter(words, lambda x: x IN ('growth', 'gai
 SELECT doc_id, CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label,
        CASE WHEN good > bad THEN round(good / (good + bad)::DOUBLE, 4) WHEN bad > good THEN -round(bad / (good + bad)::DOUBLE, 4) ELSE 0.0 END AS sentiment_score FROM c""")
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "sentiment_label", "sentiment_score")
+    first_words = partial(scoring.lexicon, 512)  # as the SQL has it; the scorer by itself counts all words
+    return scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", first_words).select("doc_id", "sentiment_label", "sentiment_score")
 
 
 @query("classify_ecb", """
