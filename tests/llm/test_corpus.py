@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import collections
+import glob
+import gzip
+import hashlib
+import os
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +160,54 @@ def test_a_truncated_archive_ends_in_one_odd_record():
     assert [(r[0], r[1]) for r in warc.parsed(data)] == [(1, 0), (None, 67)]
 
 
+def test_audit_of_archives_changed_on_disk(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://p/{k}", f"<html>{hashlib.sha256(str(k).encode()).hexdigest() * 9}</html>") for k in range(1280)] + [(700, "again", "a"), (700, "again", "b")], "page_id long, url string, html string")
+    found = warc.records(pages)
+    catalogue = warc.catalogued(found).cache()
+    warc.write_archives(found, f"{tmp_path}/a")
+    files = {k: glob.glob(f"{tmp_path}/a/archive={k}/*.gz")[0] for k in range(5)}
+    raw = {k: open(f, "rb").read() for k, f in files.items()}
+    rows = {(r.archive, r.offset): r for r in catalogue.collect()}
+    at = {k: sorted((r.offset, r.length) for r in rows.values() if r.page_id == k) for k in (10, 520, 700)}
+
+    def put(k, content):
+        os.remove(files[k])
+        with open(f"{os.path.dirname(files[k])}/part-again.gz", "wb") as f:
+            f.write(content)
+
+    (low, size), text = at[10][0], gzip.decompress(raw[0])
+    put(0, gzip.compress(text[:low] + text[low + size :]))  # one record lost
+    put(1, raw[1][: len(raw[1]) // 2] + bytes([raw[1][len(raw[1]) // 2] ^ 255]) + raw[1][len(raw[1]) // 2 + 1 :])  # a byte flipped
+    text = gzip.decompress(raw[2])
+    (low, size), (low2, size2) = at[520][0], at[700][0]
+    foreign = b"WARC/1.0\r\nWARC-Record-ID: <urn:page:9999>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    put(2, gzip.compress(foreign + text[: low + size - 1] + b"?" + text[low + size : low2] + text[low2 + size2 :]))  # foreign, a separator, one of three repeats
+    put(3, raw[3][: len(raw[3]) // 3])  # cut off
+    put(4, raw[4][:-8] + bytes([raw[4][-8] ^ 1]) + raw[4][-7:])  # only the check sum is wrong
+    replica = warc.read_archives(spark, f"{tmp_path}/a")
+    bad = warc.audit(warc.tree(catalogue), warc.tree(replica))
+    gone = [rows[r.archive, r.offset] for r in warc.unlike(catalogue, replica, bad).collect()]
+    by = {k: sorted(r.page_id for r in gone if r.archive == k) for k in range(5)}
+    assert by[0] == [10] and by[2] == [520, 700] and by[4] == []
+    assert [r.offset for r in gone if r.page_id == 700] == [low2]
+    assert 0 < len(by[1]) < 256 and by[3] == list(range(by[3][0], 1024)) and 768 < by[3][0]
+    assert {r.node // warc.PLACES for r in bad.collect()} == {0, 1, 2, 3, 4}
+
+
+def test_fixity_query_against_its_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    want = con.sql(warc.OP7_SQL)
+    found = warc.op7_warc_fixity(spark, sf)
+    assert sorted(map(repr, map(tuple, found.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_a_separator_is_part_of_the_audit():
+    data = b"WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    other = data[:-1] + b"x"
+    assert [r[3] for r in warc.parsed(data)] != [r[3] for r in warc.parsed(other)]
+
+
 def test_stages_do_what_their_operators_say(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     now = docs

@@ -1,12 +1,16 @@
 """WARC archives and their fixity audit by Merkle trees.
 
 Pages become WARC records in archives of ``PER_ARCHIVE`` consecutive ids.  Each
-record is hashed; ordered ranges of 16 records (and of their offsets) are
+record is hashed with its offset and length; ordered ranges of 16 records are
 hashed into nodes, 16 nodes into the next level, up to one root (two, where
 records without an id stand below place zero).  Two replicas
 are compared from the root down: a level is joined only below nodes that differ,
 so intact ranges are never looked at again, and what is left at the leaves are
-the damaged, lost or foreign records.
+the damaged, lost, moved or foreign records.  A record's place goes by its id and
+its number among equal ids, so a loss leaves the places behind it alone; records
+that have only moved are told from damaged ones by content (``unlike``).  What a
+broken archive still yields is compared like any other; the break itself is one
+more record at its end.
 
 Defined results: null url is an empty URI, null html an empty body; rows
 without an id are spread over archives -1 to -65536 by their content; repeated rows are separate records in a stable order;
@@ -17,7 +21,9 @@ differences.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +34,15 @@ from tidemark.llm.common import scratch, stored, table
 
 #: Consecutive ids whose records share an archive, and places that an archive has in the order of all records.
 PER_ARCHIVE, PLACES = 256, 1 << 20
+#: Places for the ids of an archive and those without one; then come those of their second rows, and so on. Beyond ``REPEATS`` rows share places.
+SLOTS = 2 * PER_ARCHIVE
+REPEATS = PLACES // SLOTS
+#: Archive of files that lie in no archive's folder.
+ASTRAY = -65537
 #: Children of a tree node, as a number of bits.
 FAN_BITS = 4
 END = "\r\n\r\n"
+START = "WARC/1.0\r\n"
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -48,7 +60,9 @@ def catalogued(found: DataFrame) -> DataFrame:
     each = found.select("archive", "page_id", (F.octet_length("record") + len(END)).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"))
     order = Window.partitionBy("archive").orderBy(F.asc_nulls_first("page_id"), "sha256")
     upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return each.select("archive", "page_id", (upto - F.col("length")).alias("offset"), "length", "sha256", (F.col("archive") * PLACES + F.row_number().over(order) - 1).alias("place"))
+    nth = F.row_number().over(Window.partitionBy("archive", "page_id").orderBy("sha256")) - 1
+    slot = F.coalesce(F.pmod("page_id", F.lit(PER_ARCHIVE)), F.lit(PER_ARCHIVE))
+    return each.select("archive", "page_id", (upto - F.col("length")).alias("offset"), "length", "sha256", (F.col("archive") * PLACES + nth % REPEATS * SLOTS + slot).alias("place"))
 
 
 def write_archives(found: DataFrame, path: str) -> None:
@@ -58,36 +72,78 @@ def write_archives(found: DataFrame, path: str) -> None:
 
 
 def parsed(data: bytes) -> Iterator[tuple[int | None, int, int, str]]:
-    """(page id, offset, length, sha256) of each record; goes by the declared lengths and stops where the bytes are no record."""
+    """(page id, offset, length, sha256) of each record; goes by the declared lengths.
+
+    Bytes that are no record with its end mark are one odd record up to the next start mark.
+    """
     at = 0
     while at < len(data):
         body = data.find(END.encode(), at)
         head = dict(line.split(": ", 1) for line in data[at : max(at, body)].decode("utf-8", "replace").split("\r\n") if ": " in line)
         size = head.get("Content-Length", "")
-        if body < 0 or not size.isdigit() or body + 4 + int(size) > len(data):
-            yield None, at, len(data) - at, hashlib.sha256(data[at:]).hexdigest()
-            return
-        stop = body + 4 + int(size)
+        stop = body + 4 + int(size) if body >= 0 and re.fullmatch("[0-9]{1,18}", size) else len(data)
+        if not data.startswith(START.encode(), at) or data[stop : stop + 4] != END.encode():
+            mark = data.find((END + START).encode(), at)
+            if data.startswith(START.encode(), stop + 4) and data.startswith(START.encode(), at):
+                mark = stop  # only the end mark is odd
+            stop = mark + 4 if mark >= 0 else len(data)
+            yield None, at, stop - at, hashlib.sha256(data[at:stop]).hexdigest()
+            at = stop
+            continue
         name = head.get("WARC-Record-ID", "").removeprefix("<urn:page:").removesuffix(">")
-        yield int(name) if name.lstrip("-").isdigit() else None, at, stop + 4 - at, hashlib.sha256(data[at:stop]).hexdigest()
+        page = int(name) if re.fullmatch("-?[0-9]{1,19}", name) else None
+        yield page if page is not None and -(1 << 63) <= page < 1 << 63 else None, at, stop + 4 - at, hashlib.sha256(data[at:stop]).hexdigest()
         at = stop + 4
 
 
+def unpacked(content: bytes) -> tuple[bytes, bool]:
+    """What can be unpacked of gzip members, and whether that is all of them."""
+    try:
+        member = zlib.decompressobj(31)
+        data = member.decompress(content)
+        if member.eof and not member.unused_data:
+            return data, True
+    except zlib.error:
+        pass
+    out, at, step, member = [], 0, 4096, zlib.decompressobj(31)
+    while at < len(content):
+        part, before = content[at : at + step], member.copy()
+        try:
+            out.append(member.decompress(part))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), False
+            member, step = before, 1  # up to the very byte that breaks it
+            continue
+        at += len(part) - len(member.unused_data)
+        if member.eof and at < len(content):
+            member = zlib.decompressobj(31)
+    return b"".join(out), member.eof
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue of the archives as their bytes are now; a task holds one archive at a time beside its batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                archive = batch.column(0)[k].as_py()
-                rows = list(parsed(zlib.decompress(batch.column(1)[k].as_py(), 31)))
+                archive, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                data, whole = unpacked(content)
+                rows = list(parsed(data))
+                if not whole:
+                    rows.append((None, len(data), 0, hashlib.sha256(content).hexdigest()))
                 if rows:
-                    cols = [[archive] * len(rows), *zip(*rows, strict=True), [archive * PLACES + n for n in range(len(rows))]]
+                    seen, places = Counter(), []
+                    for page, *_ in rows:
+                        places.append(archive * PLACES + seen[page] % REPEATS * SLOTS + (PER_ARCHIVE if page is None else page % PER_ARCHIVE))
+                        seen[page] += 1
+                    cols = [[archive] * len(rows), *zip(*rows, strict=True), places]
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["archive", "page_id", "offset", "length", "sha256", "place"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    files = files.select(F.col("archive").cast("long").alias("archive"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    archive = F.regexp_extract("path", "/archive=(-?[0-9]{1,13})/[^/]*$", 1)
+    files = files.select(F.coalesce(archive.try_cast("long"), F.lit(ASTRAY)).cast("long").alias("archive"), "content")
     return files.mapInArrow(run, "archive long, page_id long, offset long, length long, sha256 string, place long")
 
 
@@ -96,7 +152,9 @@ def tree(catalogue: DataFrame) -> list[DataFrame]:
 
     A node gathers at most 16 children, so no group grows with the data.
     """
-    levels = [stored(catalogue.select(F.col("place").alias("node"), F.col("sha256").alias("digest"), F.col("offset").alias("first_offset"), F.lit(1).cast("long").alias("n_records")))]
+    own = F.array_sort(F.collect_list(F.concat_ws(":", "offset", "length", "sha256")))  # one record but beyond REPEATS or among foreign ones
+    leaves = catalogue.groupBy(F.col("place").alias("node")).agg(F.sha2(F.array_join(own, ";").cast("binary"), 256).alias("digest"), F.min("offset").alias("first_offset"), F.count("*").alias("n_records"))
+    levels = [stored(leaves)]
     ends = levels[0].agg(F.min("node").alias("low"), F.max("node").alias("high")).first()
     low, high = ends["low"], ends["high"]
     while low is not None and low != high and (low, high) != (-1, 0):  # places below zero have a top node of their own
@@ -129,6 +187,19 @@ def audit(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     return bad
 
 
+def unlike(catalogue: DataFrame, replica: DataFrame, bad: DataFrame) -> DataFrame:
+    """archive and offset of the catalogue's records, among those at the places ``bad``, whose bytes the replica lacks.
+
+    Equal leaves hold equal records, so what has moved is found among the other differing leaves.
+    """
+    key = ["archive", "page_id", "length", "sha256"]
+    places = bad.select(F.col("node").alias("place"))
+    there = replica.join(places, "place", "left_semi").groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.count("*").alias("_n"))
+    here = catalogue.join(places, "place", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("offset")))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return here.join(there, [*same, F.col("_nth") <= F.col("_n")], "left_anti").select("archive", "offset")
+
+
 def damage(found: DataFrame, hit: Column) -> DataFrame:
     """A drill: the records for which ``hit`` holds get their last character replaced."""
     broken = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("\x7f"))
@@ -142,8 +213,9 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     hit = (F.substring(F.md5(F.col("page_id").cast("string")), 1, 1) == "0") & (F.substring(F.md5(F.col("page_id").cast("string")), 2, 1) < "8")
     write_archives(damage(found, hit), path)
-    bad = audit(tree(catalogue), tree(read_archives(spark, path)))
-    rows = catalogue.join(bad.select(F.col("node").alias("place"), F.lit(False).alias("_intact")), "place", "left")
+    replica = stored(read_archives(spark, path))
+    lost = unlike(catalogue, replica, audit(tree(catalogue), tree(replica)))
+    rows = catalogue.join(lost.withColumn("_intact", F.lit(False)), ["archive", "offset"], "left")
     return rows.select("page_id", "archive", "offset", "length", "sha256", F.coalesce("_intact", F.lit(True)).alias("intact"))
 
 
