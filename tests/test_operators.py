@@ -136,3 +136,18 @@ def test_lexicon_counts_all_words():
     late = "word " * 600 + "strong growth " * 3 + "risk"
     assert scoring.lexicon()([late]) == [("positive", 6 / 7)]
     assert scoring.lexicon(512)([late]) == [("neutral", 1.0)]
+
+
+def test_policy_rates_take_the_first_frequency_without_a_window(spark):
+    rows = [("DFR", "2024-01-02", "1", "D", 2), ("DFR", "2024-01-01", "2", None, 1), ("MRR_FR", "2024-01-01", "3", "M", 4), ("MRR_FR", "2024-01-02", "x", "W", 3), ("other", "2024-01-01", "3", "M", 5)]
+    out = macro.policy_rates(spark.createDataFrame(rows, "code string, date string, value string, frequency string, pos long").withColumn("source", F.lit("ecb")), ["pos"])
+    assert sorted((r.series_id, r.value, str(r.frequency)) for r in out.collect()) == [("ECB_DFR", 1.0, "None"), ("ECB_DFR", 2.0, "None"), ("ECB_MRR", 3.0, "W")]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_busy_customer_has_several_bounded_calendar_pages(spark):
+    from tidemark.plans.documents import PAGE_KEYS, _calendar_pages
+
+    o = spark.range(3 * PAGE_KEYS).select(F.lit(1).alias("o_custkey"), F.col("id").alias("o_orderkey"), F.lit(2.0).alias("o_totalprice"), F.lit("p").alias("o_orderpriority"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 9).cast("int")).alias("o_orderdate"))
+    rows = _calendar_pages(o).select(F.regexp_count("html", F.lit('class="event"')).alias("n"), F.col("html").contains("Day 2024-01-01").alias("first")).collect()
+    assert [(r.n, r.first) for r in rows] == [(PAGE_KEYS, True)] * 3

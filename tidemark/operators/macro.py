@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.contracts import MACRO, completed
@@ -28,7 +28,11 @@ def series(df: DataFrame, order: list[str]) -> DataFrame:
 def policy_rates(df: DataFrame, order: list[str]) -> DataFrame:
     """code, date, value -> series rows; the first row's frequency (default B) holds for its code, the last of equal keys stays."""
     out = mapped(df, "code", RATES, "series_id")
-    first = F.first("frequency").over(Window.partitionBy("code").orderBy(*order)) if "frequency" in df.columns else F.lit("B")
+    first = F.lit("B")
+    if "frequency" in df.columns:
+        each = out.groupBy(F.col("code").alias("_code")).agg(F.min_by(F.struct("frequency"), F.struct(*order)).alias("_first"))
+        out = out.join(F.broadcast(each), F.col("code") == F.col("_code"))  # a row per code of a fixed list
+        first = F.col("_first.frequency")
     out = out.withColumns({"frequency": first, "units": F.lit("Percent"), "timestamp_utc": F.try_to_timestamp(F.col("date").cast("string")), "value": to_number(F.col("value").cast("string"))})
     return completed(deduplicated(out.where("value is not null and timestamp_utc is not null"), list(MACRO.key), order, keep="last"), MACRO)
 

@@ -216,15 +216,24 @@ def link_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.link_statistics(table(spark, sf_dir, "documents").select(F.col("source").alias("section"), day.alias("day")), "section", "day")
 
 
+#: Order keys that a calendar page covers; keys are unique, so no page has more rows.
+PAGE_KEYS = 1 << 16
+
+
+def _calendar_pages(o: DataFrame) -> DataFrame:
+    """A customer's orders as HTML pages of ``PAGE_KEYS`` order keys each, all with the customer's first day."""
+    actual = F.when(F.col("o_orderkey") % 3 > 0, F.rint("o_totalprice").cast("long").cast("string")).otherwise("-")
+    tr = F.concat(F.lit('<tr class="event"><td>8:30am</td><td>USD</td><td><b>high</b></td><td>'), F.col("o_orderpriority"), F.lit("</td><td>"), actual, F.lit("</td><td>n/a</td><td></td><td>x</td></tr>"))
+    day = F.concat(F.lit('<tr class="new day"><td>Day '), F.date_format("_first", "yyyy-MM-dd"), F.lit("</td></tr>"))
+    first = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("_first"))
+    part = o.groupBy("o_custkey", F.floor(F.col("o_orderkey") / PAGE_KEYS).alias("_part")).agg(F.array_join(F.collect_list(tr), "\n").alias("_trs"))
+    return part.join(first, "o_custkey").select(F.struct("o_custkey", "_part").alias("page"), F.concat(day, F.col("_trs")).alias("html"))
+
+
 @query("calendar_rows", """
 SELECT o_custkey AS page, strftime(min(o_orderdate) OVER (PARTITION BY o_custkey), 'Day %Y-%m-%d') AS day, o_orderpriority AS event, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) END AS actual FROM orders""")
 def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    actual = F.when(F.col("o_orderkey") % 3 > 0, F.rint("o_totalprice").cast("long").cast("string")).otherwise("-")
-    tr = F.concat(F.lit('<tr class="event"><td>8:30am</td><td>USD</td><td><b>high</b></td><td>'), F.col("o_orderpriority"), F.lit("</td><td>"), actual, F.lit("</td><td>n/a</td><td></td><td>x</td></tr>"))
-    day = F.concat(F.lit('<tr class="new day"><td>Day '), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd"), F.lit("</td></tr>"))
-    html = o.withColumn("_tr", tr).groupBy(F.col("o_custkey").alias("page")).agg(F.concat(day, F.array_join(F.collect_list("_tr"), "\n")).alias("html"))
-    return pages.calendar_rows(html, "page", "html").select("page", "day", "event", "actual")
+    return pages.calendar_rows(_calendar_pages(table(spark, sf_dir, "orders")), "page", "html").select("page.o_custkey", "day", "event", "actual").withColumnRenamed("o_custkey", "page")
 
 
 @query("listing_rows", """
