@@ -108,4 +108,34 @@ def test_one_document_of_each_class_stays(odd, odd_rows):
     assert kept and set(kept[0].asDict()) == set(odd.columns)
     rows = want([r[:2] for r in odd_rows])
     assert sorted(str(r.doc_id) for r in kept if r.doc_id is not None) == sorted({str(c) for d, _, c in rows if d != "None"})
-    assert sum(r.doc_id is None for r in kept) == 2
+    # of the rows without an id one is empty, as others are, and the other one is the only one of its class
+    assert [r.text[:5] for r in kept if r.doc_id is None] == ["no id"]
+
+
+PROSE = "the quick brown fox jumps over a lazy dog while seven wizards quietly watch from beyond the old stone bridge near town"
+OTHER = "an entirely different text about ships that sail at dawn with grain and salt for cities on the far coast of the sea"
+
+
+@pytest.mark.parametrize(
+    ("rows", "stay"),
+    [
+        ([(3, PROSE), (7, PROSE), (7, OTHER)], [(3, PROSE), (7, OTHER)]),
+        ([(None, PROSE), (None, PROSE), (None, OTHER)], [(None, OTHER), (None, PROSE)]),
+        ([(None, PROSE), (5, PROSE), (5, PROSE), (5, PROSE)], [(5, PROSE)]),
+        ([(1, OTHER), (1, PROSE), (2, OTHER), (2, PROSE)], [(1, OTHER), (1, PROSE)]),
+        ([], []),
+    ],
+)
+def test_rows_are_told_apart_by_more_than_their_id(spark, rows, stay):
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(stay, key=str)
+
+
+def test_the_last_dealing_leaves_few_free_bits():
+    assert max(64 - (m | f).bit_count() for m in simhash.masks(4) for f in simhash.finer(4, simhash.LEVELS[-1])) == 25
+
+
+def test_a_dense_bucket_is_spanned_quickly():
+    members = np.random.default_rng(5).choice(1 << 20, 60_000, replace=False).astype(np.uint64)
+    left, right = simhash.spanning(members, 4)
+    assert sum(map(len, left)) == sum(map(len, right)) == len(members) - 1

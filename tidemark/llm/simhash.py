@@ -29,6 +29,9 @@ from tidemark.llm.graph import components
 
 #: A bucket of more fingerprints is dealt again by more bits.
 LARGE_BUCKET = 8192
+#: Blocks whole in common at each dealing.  After the last one the numbers of a bucket differ in 25 bits at most, a
+#: space in which few can stand apart by more than the radius: what is taken up first clears most of the rest away.
+LEVELS = (0, 1, 2, 3)
 #: byte -> its 8 bits, one in each byte of a 64-bit number.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -66,15 +69,17 @@ def majority(each: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, its fingerprint as a signed long, and the columns ``carry`` as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             value = majority([hashes(t, size) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, "doc_id long, fp long" + kinds)
 
 
 def masks(radius: int) -> list[int]:
@@ -187,36 +192,37 @@ def links(fps: DataFrame, radius: int = 4, large: int = LARGE_BUCKET) -> DataFra
 
     Each table's bucket yields a spanning set of links, never all pairs.  Large
     buckets are dealt again by the same mask and more bits, so that no pair
-    within the radius is lost, up to three times.
+    within the radius is lost.
     """
     base = masks(radius)
     found, rest = None, fps.select("fp", F.explode(F.array([F.lit(k) for k in range(len(base))])).alias("v"))
-    for level in range(4):
+    for level in LEVELS:
         more = finer(radius, level)
         mask = F.array([F.lit(signed(m)) for m in base])[F.col("v")]
         extra = [F.struct((F.col("v") * len(more) + j).cast("long").alias("t"), F.col("fp").bitwiseAND(mask.bitwiseOR(F.lit(signed(m)))).alias("k")) for j, m in enumerate(more)]
         dealt = rest.select("fp", F.explode(F.array(extra)).alias("x")).select("x.t", "x.k", "fp")
-        out = stored(dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(linked(radius, level == 3, large), "t long, k long, fp long"))
+        out = stored(dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(linked(radius, level == LEVELS[-1], large), "t long, k long, fp long"))
         own = out.where("t = -1").select(F.col("k").alias("a"), F.col("fp").alias("b"))
         found = own if found is None else found.unionByName(own)
         rest = out.where("t >= 0")
-        if level == 3 or rest.isEmpty():
+        if level == LEVELS[-1] or rest.isEmpty():
             return found
         rest = rest.select("fp", F.expr(f"cast(t div {len(more)} as int)").alias("v")).distinct()
-    return found
+
+
+def classes(prints: DataFrame, radius: int = 4, large: int = LARGE_BUCKET) -> DataFrame:
+    """fp, root and component_id: each fingerprint's class, named by a fingerprint and by the smallest id in it."""
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    joined = components(links(first, radius, large)).withColumnRenamed("a", "fp")
+    member = stored(first.join(joined, "fp", "left").select("fp", "first_id", F.coalesce("b", "fp").alias("root")))
+    name = stored(member.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    return stored(member.join(name, "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, large: int = LARGE_BUCKET) -> DataFrame:
     """doc_id, fp and component_id of each row of ``docs``."""
     prints = stored(fingerprints(docs, size))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = components(links(first, radius, large))
-    member = joined.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(joined.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    member = member.join(first, "fp")
-    name = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(member.join(name, "root").select("fp", "component_id"))
-    lone = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(lone, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(classes(prints, radius, large), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +231,14 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: its smallest id; rows without an id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each class: that of the smallest id, of equal ids (or where all are null) that of the smallest hash of its text.
+
+    Rows go by a number of their own, so neither repeated nor missing ids take others with them.
+    """
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = numbered.withColumn("_hash", F.xxhash64("text"))
+    prints = stored(fingerprints(numbered, carry=("_row", "_hash")))
+    found = stored(prints.join(classes(prints), "fp").select("root", "_row", F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "_hash", "_row").alias("order")))
+    best = stored(found.groupBy("root").agg(F.min("order").alias("best")))
+    gone = found.join(best, "root").where("_row <> best._row").select("_row")
+    return numbered.join(gone, "_row", "left_anti").select(docs.columns)
