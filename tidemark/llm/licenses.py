@@ -1,11 +1,12 @@
 """Fuzzy search for short license notices.
 
 A notice of n letters may differ in k = n // 10 places.  Its text is split into
-k + 1 parts; k edits leave at least one part untouched, so an automaton over all
-parts finds every candidate place exactly.  Around a candidate the ``regex``
-library matches the whole notice with at most k errors and gives the span.
-Texts are compared as lower-case words joined by single spaces; a match starts
-and ends at word borders.
+k + 1 parts; k edits leave at least one part untouched and move it by k letters at
+most, so an automaton over all parts finds every candidate place.  The runs of
+whole words about it whose length is within k of the notice's are matched by the
+``regex`` library with at most k errors.  Texts are compared as lower-case words
+joined by single spaces.  Of matches of a notice that overlap the one with the
+fewest errors stays, then the first, then the shorter one.
 
 Defined results: null text is empty (no words, no places, score 0, empty
 labels); repeated rows are treated alike; other columns are ignored; an empty
@@ -14,7 +15,8 @@ table gives an empty table.  Whole texts only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -64,7 +66,7 @@ def seeds(phrase: str) -> list[tuple[int, str]]:
 class Search:
     def __init__(self, notices: dict[str, str] | None = None):
         self.notices = notices or NOTICES
-        self.fuzzy = {p: regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(p, literal_spaces=True)}){{e<={errors_for(p)}}}(?![^ ])") for p in self.notices}
+        self.fuzzy = {p: regex.compile(rf"(?b)(?:{regex.escape(p, literal_spaces=True)}){{e<={errors_for(p)}}}") for p in self.notices}
         places: dict[str, list[tuple[str, int]]] = {}
         for phrase in self.notices:
             for offset, part in seeds(phrase):
@@ -77,35 +79,47 @@ class Search:
     def find(self, text: str | None) -> tuple[int, list[tuple[str, int, int, int, bool]]]:
         """(words, [(label, first word, words, errors, exact place of a base phrase)])."""
         norm = b" ".join((text or "").encode().translate(WORD_BYTES).split()).decode()
+        self.best = 0.0
         if not norm:
             return 0, []
-        found: dict[tuple[str, int], tuple[int, int]] = {}
-        tried = set()
+        tried: set[tuple[str, int]] = set()
+        found: dict[str, dict[tuple[int, int], int | None]] = {}
+        starts = ends = None
         for end, (size, where) in self.automaton.iter(norm):
             for phrase, offset in where:
                 start = end + 1 - size - offset
                 if (phrase, start) in tried:
                     continue
                 tried.add((phrase, start))
-                if start >= 0 and norm.startswith(phrase, start) and (not start or norm[start - 1] == " ") and norm[start + len(phrase) : start + len(phrase) + 1] in ("", " "):
-                    found[phrase, start] = (start + len(phrase), 0)
-                    continue
-                k = errors_for(phrase)
-                if not k:
-                    continue
-                for match in self.fuzzy[phrase].finditer(norm, max(0, start - k), min(len(norm), start + len(phrase) + k), overlapped=False):
-                    low, high = match.span()
-                    if low < high:
-                        found.setdefault((phrase, low), (high, sum(match.fuzzy_counts)))
+                if starts is None:
+                    spaces = [k for k, c in enumerate(norm) if c == " "]
+                    starts, ends = [0, *(k + 1 for k in spaces)], [*spaces, len(norm)]
+                k, n = errors_for(phrase), len(phrase)
+                own = found.setdefault(phrase, {})
+                for low in starts[bisect_left(starts, start - k) : bisect_right(starts, start + k)]:
+                    for high in ends[bisect_left(ends, max(low + 1, low + n - k)) : bisect_right(ends, low + n + k)]:
+                        if (low, high) not in own:
+                            match = self.fuzzy[phrase].fullmatch(norm, low, high)
+                            own[low, high] = sum(match.fuzzy_counts) if match else None
         spans = []
-        for (phrase, low), (high, wrong) in found.items():
-            # an inexact place that overlaps an exact one of the same phrase is that one, shifted
-            if wrong and any(p == phrase and not e and a < high and low < b for (p, a), (b, e) in found.items()):
-                continue
-            spans.append((self.notices[phrase], norm.count(" ", 0, low), norm.count(" ", low, high) + 1, wrong, not wrong and phrase in BASE, 1 - wrong / len(phrase)))
+        for phrase, own in found.items():
+            for wrong, low, high in apart((e, low, high) for (low, high), e in own.items() if e is not None):
+                first = bisect_left(starts, low)
+                spans.append((self.notices[phrase], first, bisect_right(starts, high) - first, wrong, not wrong and phrase in BASE))
+                self.best = max(self.best, 1 - wrong / len(phrase))
         spans.sort()
-        self.best = max((s[5] for s in spans), default=0.0)
-        return norm.count(" ") + 1, [s[:5] for s in spans]
+        return norm.count(" ") + 1, spans
+
+
+def apart(matches: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Of (errors, start, end) in ascending order those that overlap none before them."""
+    taken: list[tuple[int, int]] = []
+    for wrong, low, high in sorted(matches):
+        at = bisect_left(taken, (low, high))
+        if (at and taken[at - 1][1] > low) or (at < len(taken) and taken[at][0] < high):
+            continue
+        taken.insert(at, (low, high))
+        yield wrong, low, high
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
@@ -118,7 +132,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 words, spans = search.find(text)
                 starts = [s[1] for s in spans if s[4]]
-                rows.append((words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted({s[0] for s in spans if s[4]})), ",".join(sorted({s[0] for s in spans})), search.best if spans else 0.0, [dict(zip(("label", "first_word", "n_words", "errors", "exact_base"), s, strict=True)) for s in spans]))
+                rows.append((words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted({s[0] for s in spans if s[4]})), ",".join(sorted({s[0] for s in spans})), search.best, [dict(zip(("label", "first_word", "n_words", "errors", "exact_base"), s, strict=True)) for s in spans]))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), SPANS]
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names)
