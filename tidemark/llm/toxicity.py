@@ -6,16 +6,21 @@ beginning that several different words share, hashed to ``BUCKETS``.  The score
 so a pair of terms, such as an insult and the mention of a group, counts beyond
 what each of them adds.
 
-Learning: a bounded sample of labelled rows (``SAMPLE_ROWS``, by hash of the id)
-is turned into hashed terms on the executors; the machine is fitted on the
-driver, whose memory the bound keeps small.  Buckets that too few sampled texts
-have, or that toxic texts have no more or less often than others, are left out.  Scoring covers all texts whole.
+Learning: a bounded sample of labelled ids (``SAMPLE_ROWS``, by hash of the id),
+one text each, is turned into hashed terms; one task, whose memory the bound
+keeps small, fits the machine, and only the machine comes to the driver.
+Buckets stay if enough sampled texts have them and they tell toxic texts from
+others, among all sampled texts or among those that hold a bucket which does:
+so a term that tells nothing by itself may still count in pairs.  Scoring covers
+all texts whole.
 
 Defined results: null or empty text has no terms and scores the model's base
 rate; without any label of either kind every text scores the share of toxic
 rows (0 without labels); a label of null is no label; of several labels of a
-document the largest holds; repeated rows score alike; other columns are
-ignored by ``scored`` and pass through ``without_toxic``.
+document the largest holds, of several texts of a labelled id the first in
+order; rows without an id are in no fold (``held_out`` false) and never learned
+from; repeated rows score alike; other columns are ignored by ``scored`` and
+pass through ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ SAMPLE_ROWS = 6_000
 LEAST_TEXTS, LEAST_Z = 3, 4.0
 FACTORS, STEPS, RATE = 4, 200, 0.05
 #: L2 penalties of a weight and of a factor, in texts.
-PENALTY, FACTOR_PENALTY = 1.0, 5.0
+PENALTY, FACTOR_PENALTY = 1.0, 20.0
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -129,26 +134,36 @@ def samples(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
             data = term.astype("<i4")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([data[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "toxic", "terms"])
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    return rows_.mapInArrow(run, "doc_id long, toxic int, terms binary")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    one = each.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    return one.mapInArrow(run, "doc_id long, toxic int, terms binary")
 
 
-def fitted(terms: list[bytes], toxic: np.ndarray, seed: int = 7) -> Machine:
-    """Fit by Adam on the whole sample at each step; the same sample gives the same machine."""
-    n = len(toxic)
-    rate = float(toxic.mean()) if n else 0.0
-    none = Machine(float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    if not n or rate in (0.0, 1.0):
-        return none
+def tells(terms: list[bytes], toxic: np.ndarray, least_z: float) -> np.ndarray:
+    """By bucket: whether enough of the texts have it and toxic ones more or less often than chance would."""
     have, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for low in range(0, n, 500):  # the sample's terms are never all unpacked at once
+    for low in range(0, len(terms), 500):  # the sample's terms are never all unpacked at once
         part = slice(low, low + 500)
         one = np.frombuffer(b"".join(terms[part]), "<i4")
         guilty = np.repeat(toxic[part] > 0, [len(t) // 4 for t in terms[part]])
         have += np.bincount(one, minlength=BUCKETS)
         bad += np.bincount(one[guilty], minlength=BUCKETS)
+    rate = float(toxic.mean()) if len(toxic) else 0.0
     z = (bad - have * rate) / np.sqrt(np.maximum(have * rate * (1 - rate), 1e-9))
-    buckets = np.flatnonzero((have >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
+    return (have >= LEAST_TEXTS) & (np.abs(z) >= least_z)
+
+
+def fitted(terms: list[bytes], toxic: np.ndarray, seed: int = 7, least_z: float = LEAST_Z) -> Machine:
+    """Fit by Adam on the whole sample at each step; the same sample gives the same machine."""
+    n = len(toxic)
+    rate = float(toxic.mean()) if n else 0.0
+    none = Machine(float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+    if not n or rate in (0.0, 1.0):
+        return none
+    telling = tells(terms, toxic, least_z)
+    near = np.array([telling[np.frombuffer(t, "<i4")].any() for t in terms])
+    telling |= tells([t for t, ok in zip(terms, near, strict=True) if ok], toxic[near], least_z)
+    buckets = np.flatnonzero(telling)
     if not len(buckets):
         return none
     place = np.full(BUCKETS, -1, np.int32)
@@ -175,9 +190,22 @@ def fitted(terms: list[bytes], toxic: np.ndarray, seed: int = 7) -> Machine:
     return Machine(float(params[2][0]), buckets, params[0], params[1])
 
 
+MODEL = "base double, buckets binary, weights binary, factors binary"
+
+
 def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
-    sample = sorted(samples(docs, labels, rows).collect(), key=lambda r: (r["doc_id"], r["terms"]))  # at most ``rows`` documents
-    return fitted([r["terms"] for r in sample], np.array([r["toxic"] for r in sample], float))
+    """The machine fitted on the sample, by one task that holds the terms of at most ``rows`` documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = sorted((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda x: x[0])
+        m = fitted([x[2] for x in seen], np.array([x[1] for x in seen], float))
+        parts = [m.buckets.astype("<i8"), m.weights.astype("<f8"), m.factors.astype("<f8")]
+        yield pa.RecordBatch.from_arrays([pa.array([m.base]), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["base", "buckets", "weights", "factors"])
+
+    found = samples(docs, labels, rows).repartition(1).mapInArrow(run, MODEL).first()
+    if found is None:  # without a single sampled row no task may run
+        return fitted([], np.zeros(0))
+    return Machine(found["base"], np.frombuffer(found["buckets"], "<i8"), np.frombuffer(found["weights"], "<f8"), np.frombuffer(found["factors"], "<f8").reshape(-1, FACTORS))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -208,4 +236,4 @@ def without_toxic(docs: DataFrame, machine: Machine, at: float = 0.5) -> DataFra
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, learned(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(~is_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
