@@ -3,7 +3,8 @@
 A unit is a run of white space with the run of other characters after it.  The
 library's splitting pattern always has a border where white space begins, and
 what it does inside a unit depends on that unit alone, so ids and counts of a
-text are those of its units in order.  Workers keep units they have met.
+text are those of its units in order.  Workers look at the distinct units of
+many texts at once, keep those they have met, and learn new ones together.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -22,10 +24,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 LEAD = re.compile(f"[{WHITE}]*")
+WHITE_SET = frozenset(WHITE)
+ASCII_WHITE = np.isin(np.arange(256), [ord(c) for c in WHITE if c.isascii()])
+#: The last byte but one, and the last, of the UTF-8 form of other white space.
+LAST_BYTES = [np.array(sorted({c.encode()[k] for c in WHITE if not c.isascii()}), np.uint8) for k in (-2, -1)]
 #: Most units: a line break or nothing, a word with at most one space before it, and marks after it: a piece each.
 PLAIN = re.compile(r"(\n?)((?:(?<!\n) )?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Units in one generation of a worker's cache.  A full generation becomes the old one, out of which units that come again are taken.
-KEPT = 200_000
+#: Bytes of units that a worker keeps; when there are more, it goes on with those of the texts at hand.
+KEPT_BYTES = 24 << 20
+#: Text bytes whose units are looked up together.
+SLICE_BYTES = 8 << 20
 #: Words of up to so many bytes have their prefixes counted many at a time.
 SHORT = 40
 
@@ -43,17 +51,6 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class StandIn(dict):
-    """For str.translate: a character -> the stand-ins of its UTF-8 bytes."""
-
-    def __init__(self, of: dict[int, str]):
-        self.of = of
-
-    def __missing__(self, code: int) -> str:
-        value = self[code] = "".join(self.of[b] for b in chr(code).encode())
-        return value
-
-
 class Vocabulary:
     """The library's tokenizer, its tokens as bytes, and its merges."""
 
@@ -62,7 +59,6 @@ class Vocabulary:
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.stand_in = StandIn({b: c for c, b in byte_of_char().items()})
         self.special = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
 
@@ -87,6 +83,17 @@ class Vocabulary:
     def bytes(self) -> dict[int, bytes]:
         return {n: b for b, n in self.ids.items()}
 
+    def widths(self) -> np.ndarray:
+        """Bytes of text behind each id."""
+        out = np.zeros(self.size, np.int64)
+        for token, n in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            out[n] = len(token)  # one stand-in a byte
+        for n, token in self.tokenizer.get_added_tokens_decoder().items():
+            if token.lstrip or token.rstrip or token.single_word or not WHITE_SET.isdisjoint(token.content):
+                raise ValueError(f"{token.content!r} reaches beyond its own bytes")
+            out[n] = len(token.content.encode())
+        return out
+
     @cached_property
     def longest(self) -> int:
         return max(map(len, self.ids))
@@ -109,53 +116,108 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class UnitIds(dict):
-    """unit -> its ids as little-endian bytes, by the library."""
+def ends_white(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space."""
+    out = ASCII_WHITE[data[ends - 1]]
+    wide = np.flatnonzero(data[ends - 1] >= 0x80)
+    maybe = np.isin(data[ends[wide] - 2], LAST_BYTES[0]) & np.isin(data[ends[wide] - 1], LAST_BYTES[1])
+    for k in wide[maybe].tolist():
+        out[k] = data[max(0, ends[k] - 3) : ends[k]].tobytes().decode("utf-8", "ignore")[-1:] in WHITE_SET
+    return out
 
-    def __init__(self, path: str):
-        self.vocabulary = vocabulary(path)
-        self.model = self.vocabulary.tokenizer.model
-        self.marks: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        if any(PLAIN.search(s) and PLAIN.search(s)[0] == s for s in self.vocabulary.special):
-            raise ValueError("a special token that looks like a word needs the library's own splitting")
-        self.kind = np.dtype("<u2") if self.vocabulary.size <= 1 << 16 else np.dtype("<u4")
 
-    def packed(self, ids: list[int]) -> bytes:
-        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= KEPT:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(unit)
-        if value is not None:
-            self[unit] = value
-            return value
-        plain = PLAIN.fullmatch(unit)
-        if plain:  # no splitting to do: straight to the library's model
-            lead, word, tail = plain.groups()
-            value = self.piece(word)
-            if lead or tail:
-                value = self.mark(lead) + value + self.mark(tail)
-        else:
-            value = self.packed(self.vocabulary.tokenizer.encode(unit, add_special_tokens=False).ids)
-        self[unit] = value
-        return value
-
-    def piece(self, text: str) -> bytes:
-        known = text.replace(" ", "\u0120") if text.isascii() and text.isprintable() else text.translate(self.vocabulary.stand_in)
-        return self.packed([t.id for t in self.model.tokenize(known)])
+def unit_starts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where texts (``cuts`` has their ends too) begin, and ASCII white space after a character that is none."""
+    white = ASCII_WHITE[data]
+    start = white.copy()
+    start[1:] &= ~white[:-1]
+    start[:1] = True
+    at = np.flatnonzero(start)
+    odd = at[1:][data[at[1:] - 1] >= 0x80]
+    start[odd] = ~ends_white(data, odd)
+    start[cuts[:-1][np.diff(cuts) > 0]] = True
+    return np.flatnonzero(start)
 
-    def mark(self, text: str) -> bytes:
-        if text not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks = {"": b""}
-            self.marks[text] = self.piece(text)
-        return self.marks[text]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+class Units:
+    """A run of numbers for each unit, kept for those met before; units and numbers lie in flat arrays.
+
+    ``learn`` gives the numbers of new units: (how many for each, all in order).
+    A unit here begins with ASCII white space or a text, so it may hold several of ``UNIT``.
+    """
+
+    kind: np.dtype
+
+    def __init__(self) -> None:
+        self.known, self.cuts = pa.array([], pa.binary()), np.zeros(1, np.int64)
+        self.flat = np.zeros(0, self.kind)
+
+    def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many numbers for each place, all in order) of the units kept at these places."""
+        n = self.cuts[at + 1] - self.cuts[at]
+        ends = np.cumsum(n)
+        return n, self.flat[np.repeat(self.cuts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all texts in order, where each text's begin and the last one's end); a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        cuts = offsets - offsets[0]
+        if not cuts[-1]:
+            return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts = unit_starts(data, cuts)
+        edges = np.append(starts, len(data))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        units = coded.dictionary
+        found = pc.index_in(units, self.known)
+        lacking = np.asarray(pc.is_null(found))
+        place = np.asarray(pc.fill_null(found, 0)).astype(np.int64)
+        if lacking.any():
+            if self.known.nbytes > KEPT_BYTES:  # go on with the units of these texts alone
+                n, self.flat = self.gathered(place[~lacking])
+                self.known, self.cuts = units.filter(pa.array(~lacking)), np.append(0, np.cumsum(n))
+                place[~lacking] = np.arange(len(n))
+            new = units.filter(pa.array(lacking))
+            place[lacking] = len(self.known) + np.arange(len(new))
+            n, flat = self.learn(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.cuts, self.flat = np.append(self.cuts, self.cuts[-1] + np.cumsum(n)), np.append(self.flat, flat)
+        n, flat = self.gathered(place[np.asarray(coded.indices)])
+        return flat, np.append(0, np.cumsum(n))[np.searchsorted(starts, cuts)]
+
+
+class UnitIds(Units):
+    """Ids by the library: new units are strung together, a few hundred to a call, and told apart by their bytes."""
+
+    TOGETHER = 300
+
+    def __init__(self, path: str):
+        self.vocabulary = vocabulary(path)
+        self.kind = np.dtype("<u2") if self.vocabulary.size <= 1 << 16 else np.dtype("<u4")
+        self.width = self.vocabulary.widths()
+        super().__init__()
+
+    def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1].astype(np.int64)
+        data = np.frombuffer(units.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        # a unit can stand behind another if white space begins there, as it does in a text
+        alone = ~ASCII_WHITE[data[edges[:-1]]]
+        alone[1:] |= ends_white(data, edges[1:-1])
+        alone[:: self.TOGETHER] = True
+        cuts = np.append(edges[:-1][alone], edges[-1]).tolist()
+        raw = data.tobytes()
+        found = self.vocabulary.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
+        ids = np.concatenate([np.array(f.ids, self.kind) for f in found])
+        ends = np.cumsum(self.width[ids])
+        last = np.searchsorted(ends, edges[1:])
+        if last[-1] != len(ids) - 1 or (ends[last] != edges[1:]).any():
+            raise ValueError("ids do not spell the units they came from")
+        return np.diff(last, prepend=-1), ids
 
 
 class Slots:
@@ -281,16 +343,20 @@ class PrefixTable:
         return count[1:].T
 
 
-class UnitCounts(dict):
-    """unit -> what each of its code points adds to the token count, as little-endian int16."""
+class UnitCounts(Units):
+    """What each code point of a unit adds to the token count."""
+
+    kind = np.dtype("<i2")
 
     def __init__(self, path: str):
+        super().__init__()
         self.vocabulary = vocabulary(path)
         self.split = self.vocabulary.tokenizer.pre_tokenizer.pre_tokenize_str
         self.table = PrefixTable(self.vocabulary)
         self.marks: dict[str, bytes] = {"": b""}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.old: dict[str, bytes] = {}
+        if any((m := PLAIN.search(s)) and m[0] == s for s in self.vocabulary.special):
+            raise ValueError("a special token that looks like a word")
 
     def follows(self, before: int, token: int) -> bool:
         data = self.vocabulary.bytes
@@ -327,12 +393,18 @@ class UnitCounts(dict):
         return [count[k] for k in ends]
 
     def counts(self, unit: str) -> list[int]:
-        for special in self.vocabulary.special:
-            if special in unit:
-                head, tail = unit.split(special, 1)
-                out = self.counts(head + special[:-1])
-                base = (out[len(head) - 1] if head else 0) + 1
-                return [*out, base, *(base + n for n in (self.counts(tail) if tail else []))]
+        out, base = [], 0
+        while found := min(((unit.find(s), s) for s in self.vocabulary.special if s in unit), default=None):
+            head, special = found
+            own = self.plain_counts(unit[:head] + special[:-1])
+            out += [base + n for n in own]
+            base += (own[head - 1] if head else 0) + 1
+            out.append(base)
+            unit = unit[head + len(special) :]
+        return out + [base + n for n in self.plain_counts(unit)] if unit else out
+
+    def plain_counts(self, unit: str) -> list[int]:
+        """Counts of a unit's prefixes without special strings."""
         white = LEAD.match(unit).end()
         pieces = [span for _, span in self.split(unit)]
         if white < 2:
@@ -352,28 +424,22 @@ class UnitCounts(dict):
     def alone(self, unit: str) -> bytes:
         return np.diff(np.array(self.counts(unit), np.int32), prepend=0).astype("<i2").tobytes()
 
-    def learn(self, units: set[str]) -> None:
-        new = units.difference(self)
-        if len(self) + len(new) > KEPT:
-            self.old = dict(self)
-            self.clear()
-            new = set(units)
-        again = new.intersection(self.old)
-        self.update((u, self.old[u]) for u in again)
-        new -= again
+    def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = [UNIT.findall(u) for u in units.cast(pa.string()).to_pylist()]
+        known: dict[str, bytes] = {}
         plain, words = {}, set()
-        for unit in new:
+        for unit in set().union(*parts):
             found = PLAIN.fullmatch(unit)
             if found and len(found[2]) * 2 <= SHORT:
                 plain[unit] = found
                 words.add(found[2])
             else:
-                self[unit] = self.alone(unit)
-        if not words:
-            return
-        steps = self.steps_of([w.encode() for w in words])
+                known[unit] = self.alone(unit)
+        steps = self.steps_of([w.encode() for w in words]) if words else {}
         for unit, found in plain.items():
-            self[unit] = self.mark(found[1]) + steps[found[2].encode()] + self.mark(found[3])
+            known[unit] = self.mark(found[1]) + steps[found[2].encode()] + self.mark(found[3])
+        each = [b"".join(map(known.__getitem__, p)) for p in parts]
+        return np.array([len(x) // 2 for x in each], np.int64), np.frombuffer(b"".join(each), self.kind)
 
     def mark(self, text: str) -> bytes:
         if text not in self.marks:
@@ -398,7 +464,13 @@ class UnitCounts(dict):
         cuts = np.append(0, place * 2).tolist()
         return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
 
-    def steps(self, texts: list[str]) -> list[bytes]:
-        parts = [UNIT.findall(t) for t in texts]
-        self.learn(set().union(*parts))
-        return [b"".join(map(self.__getitem__, p)) for p in parts]
+
+@lru_cache(maxsize=2)
+def unit_ids(path: str) -> UnitIds:
+    """One per worker process, for all its tasks."""
+    return UnitIds(path)
+
+
+@lru_cache(maxsize=2)
+def unit_counts(path: str) -> UnitCounts:
+    return UnitCounts(path)

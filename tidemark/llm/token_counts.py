@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,17 +42,22 @@ def token_prefixes(docs: DataFrame, path: str | None = None, budget: int = 512)
     path = path or bpe.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = bpe.UnitCounts(path)
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            steps = counts.steps(texts)
+        counts = bpe.unit_counts(path)
+        for batch in slices(batches, most=bpe.SLICE_BYTES):
+            steps, cuts = counts.of(batch.column(1))
+            upto = np.append(0, np.cumsum(steps, dtype=np.int64))
+            size = np.diff(cuts)
+            nth = np.arange(len(steps)) - np.repeat(cuts[:-1], size) + 1
+            within = np.where(upto[1:] - np.repeat(upto[cuts[:-1]], size) <= budget, nth, 0)
+            fits = np.zeros(batch.num_rows, np.int64)
+            fits[size > 0] = np.maximum.reduceat(within, cuts[:-1][size > 0]) if len(within) else 0
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array([int(np.frombuffer(s, "<i2").sum(dtype=np.int64)) for s in steps], pa.int64()),
-                    pa.array([cut(s, budget) for s in steps], pa.int64()),
-                    pa.array(steps, pa.binary()),
+                    pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64()),
+                    pa.array(upto[cuts[1:]] - upto[cuts[:-1]]),
+                    pa.array(fits),
+                    pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(cuts * 2), pa.py_buffer(steps)]).cast(pa.binary()),
                 ],
                 ["doc_id", "n_bytes", "n_tokens", "cut_chars", "steps"],
             )

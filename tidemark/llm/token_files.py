@@ -1,23 +1,25 @@
 """Token ids in a binary file format with Re-Pair grammars.
 
-A file holds blocks of consecutive documents.  In each block the most frequent
-neighbouring pairs of ids are replaced by new symbols, round after round; the
-block stores the rules, the number of ids each rule expands to, and the
-shortened sequence with every document's share of it, so that any document, or
-any range of its ids, is decoded without the rest.  No rule crosses a
-document's end.
-
-The payload (little-endian): magic ``TMRP1``, byte width of a symbol, then
-counts (documents, rules, symbols, ids, first rule's symbol) as int64, then
-doc_id int64 and a null byte per document, ids per document int64, symbols per
-document int64, left and right symbol of each rule int32, expansion length of
-each rule int64, and the symbols.  Payloads are the binary column of a Parquet
+A file holds blocks of consecutive documents.  In each block frequent
+neighbouring pairs of symbols are replaced by new symbols, round after round,
+until no pair occurs ``LEAST`` times; the block stores the rules, the number of
+ids each rule expands to, and the shortened sequence with every document's share
+of it, so that any document, or any range of its ids, is decoded without the
+rest.  No rule crosses a document's end.
+
+The payload (little-endian): magic ``TMRP2``, byte width of a symbol, then
+counts (documents, distinct ids, rules, symbols, ids) as int64, then doc_id int64
+and a null byte per document, ids per document and symbols per document uint32,
+the distinct ids uint32 (a symbol is a place among these or, behind them, among
+the rules), left and right symbol of each rule, expansion length of each rule
+uint32, and the symbols.  Payloads are the binary column of a Parquet
 table (shard, block, n_docs, n_ids, payload): Spark's committer keeps rewritten
 or lost tasks from leaving partial files.
 
 Defined results: null text is empty and gives the end id alone; rows of equal
-id keep a stable order by text; null ids come first; other columns are ignored;
-an empty table gives no blocks and reads back empty.
+id, or without one, keep a stable order by a hash of their text; null ids come
+first; other columns are ignored; an empty table gives no blocks and reads back
+empty.
 """
 
 from __future__ import annotations
@@ -35,82 +37,100 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe
 from tidemark.llm.common import scratch, slices, table
 
-MAGIC = b"TMRP1"
+MAGIC = b"TMRP2"
 #: A block closes after so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
-#: A pair is replaced if the block has so many of it; rounds and rules per round and block.
-LEAST, ROUNDS, PER_ROUND, RULES = 24, 4, 3700, 15_000
-#: Places of the table that says which rule a pair may have.
-SLOT_BITS = 18
-
-
-def slots(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.int64(-7046029254386353131)) >> (64 - SLOT_BITS)) & ((1 << SLOT_BITS) - 1)
-
-
-def repair(ids: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols per document, rules): the ids with frequent pairs replaced, ``first`` naming the first rule."""
-    seq = ids.astype(np.int64)
-    inner = np.ones(len(seq), bool)  # False at a document's last symbol
-    inner[np.cumsum(sizes) - 1] = False
-    doc_end = ~inner
-    rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or made >= RULES:
-            break
-        pair = seq[:-1] << 32 | seq[1:]
-        usable = ~doc_end[:-1]
-        ordered = np.sort(pair[usable])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(count >= LEAST)
+#: A pair becomes a rule while a block has so many of it; a rule that fewer than half as many places can take is not made.
+LEAST = 16
+
+
+def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct ids, symbols, symbols per document, rules) of documents' ids, no pair of symbols occurring ``least`` times.
+
+    A symbol is a place among the distinct ids or, behind these, among the
+    rules.  Each round counts the pairs exactly and replaces all that are
+    frequent; where two of them overlap the more frequent one goes first.
+    Replacing never adds to the count of a pair of older symbols, so a place
+    whose pair is rare is looked at again only when one of its symbols changes.
+    """
+    there = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    there[ids] = True
+    alphabet = np.flatnonzero(there)
+    seq = (np.cumsum(there, dtype=np.uint32) - np.uint32(1))[ids]
+    last = np.zeros(len(seq), bool)  # a document's last symbol
+    last[np.cumsum(sizes) - 1] = True
+    live = ~last
+    rules = np.zeros(0, np.uint64)
+    while len(where := np.flatnonzero(live)):
+        place_bits, symbol_bits = len(seq).bit_length(), (len(alphabet) + len(rules)).bit_length()
+        pair = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
+        if place_bits + 2 * symbol_bits <= 64:  # pair and place in one number
+            key = (seq[where].astype(np.uint64) << np.uint64(symbol_bits) | seq[where + 1]) << np.uint64(place_bits) | where.astype(np.uint64)
+            key.sort()
+            where = (key & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+            pair = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
+        else:
+            order = np.argsort(pair, kind="stable")
+            where, pair = where[order], pair[order]
+        edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        count = np.diff(np.append(edge, len(pair)))
+        often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        often = often[np.lexsort((often, -count[often]))][: min(PER_ROUND, RULES - made)]
-        chosen = ordered[edge[often]]
-        own = slots(chosen)
-        chosen = chosen[np.sort(np.unique(own, return_index=True)[1])]  # of pairs that share a slot the more frequent one
-        rule_of = np.full(1 << SLOT_BITS, -1, np.int32)
-        rule_of[slots(chosen)] = np.arange(len(chosen))
-        rule = rule_of[slots(pair)]
-        at = np.flatnonzero((rule >= 0) & usable)
-        rule = rule[at]
-        good = chosen[rule] == pair[at]
-        at, rule = at[good], rule[good]
-        # of overlapping places take every other one
-        run = np.append(True, np.diff(at) != 1)
-        start = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-        keep = (at - start) % 2 == 0
-        at, rule = at[keep], rule[keep]
-        seq[at] = first + made + rule
-        doc_end[at] |= doc_end[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, doc_end = seq[stay], doc_end[stay]
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
-        made += len(chosen)
-    ends = np.flatnonzero(doc_end) + 1
-    table_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, np.diff(ends, prepend=0), table_
+        often = often[np.argsort(-count[often], kind="stable")]
+        n = count[often]
+        ends = np.cumsum(n)
+        at = where[np.repeat(edge[often] - (ends - n), n) + np.arange(ends[-1])]
+        rank = np.full(len(seq) + 1, len(often), np.int32)  # also what stands before the first place
+        rank[at] = np.repeat(np.arange(len(often), dtype=np.int32), n)
+        at.sort()
+        own = rank[at]
+        first = (own <= rank[at + 1]) & (own <= rank[at - 1])
+        take, own = at[first], own[first]
+        run = np.append(True, np.diff(take) != 1)  # equal neighbours: every other one
+        start = take[np.maximum.accumulate(np.where(run, np.arange(len(take)), 0))]
+        even = (take - start) % 2 == 0
+        take, own = take[even], own[even]
+        useful = np.bincount(own, minlength=len(often)) >= least // 2
+        useful[0] = True  # so each round shortens
+        take, own = take[useful[own]], own[useful[own]]
+        code = pair[edge[often]]
+        number, known = np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        if len(rules):
+            order = np.argsort(rules)
+            near = order[np.minimum(np.searchsorted(rules, code, sorter=order), len(rules) - 1)]
+            known = rules[near] == code
+            number[known] = near[known]
+        new = useful & ~known
+        number[new] = len(rules) + np.arange(new.sum())
+        rules = np.append(rules, code[new])
+        live[:] = False
+        live[at] = live[take] = True
+        seq[take] = len(alphabet) + number[own]
+        last[take] = last[take + 1]
+        stay, fresh = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        stay[take + 1], fresh[take] = False, True
+        kept = np.flatnonzero(stay)
+        seq, last, live, fresh = seq[kept], last[kept], live[kept], fresh[kept]
+        live[:-1] |= fresh[1:]
+        live &= ~last
+    return alphabet, seq, np.diff(np.flatnonzero(last) + 1, prepend=0), np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
 
 
 def expanded_sizes(rules: np.ndarray, first: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1)
-    return out
+    size = [1] * first
+    for a, b in rules.tolist():
+        size.append(size[a] + size[b])
+    return np.array(size[first:], np.int64)
 
 
-def pack(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, first: int) -> bytes:
-    symbols, share, rules = repair(ids, sizes, first)
-    width = 2 if first + len(rules) <= 1 << 16 else 4
-    head = MAGIC + struct.pack("<B5q", width, len(doc_ids), len(rules), len(symbols), len(ids), first)
+def pack(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> bytes:
+    alphabet, symbols, share, rules = repair(ids, sizes)
+    width = 2 if len(alphabet) + len(rules) <= 1 << 16 else 4
+    head = MAGIC + struct.pack("<B5q", width, len(doc_ids), len(alphabet), len(rules), len(symbols), len(ids))
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
-    parts = [known, null, sizes.astype("<i8"), share.astype("<i8"), rules.astype("<i4"), expanded_sizes(rules, first).astype("<i8"), symbols.astype(f"<u{width}")]
+    parts = [known, null, sizes.astype("<u4"), share.astype("<u4"), alphabet.astype("<u4"), rules.astype(f"<u{width}"), expanded_sizes(rules, len(alphabet)).astype("<u4"), symbols.astype(f"<u{width}")]
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -120,7 +140,7 @@ class Block:
     def __init__(self, data: bytes):
         if data[:5] != MAGIC:
             raise ValueError("not a block of token ids")
-        width, docs, rules, symbols, self.n_ids, self.first = struct.unpack_from("<B5q", data, 5)
+        width, docs, plain, rules, symbols, self.n_ids = struct.unpack_from("<B5q", data, 5)
         at = 5 + struct.calcsize("<B5q")
 
         def take(kind: str, count: int) -> np.ndarray:
@@ -131,22 +151,22 @@ class Block:
 
         known, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if n else int(d) for d, n in zip(known, null, strict=True)]
-        self.sizes, self.share = take("<i8", docs), take("<i8", docs)
-        self.rules, self.lengths = take("<i4", 2 * rules).reshape(-1, 2), take("<i8", rules)
+        self.sizes, self.share = take("<u4", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
+        self.alphabet = take("<u4", plain)
+        self.rules, self.lengths = take(f"<u{width}", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
         self.symbols = take(f"<u{width}", symbols)
         self.cuts = np.append(0, np.cumsum(self.share))
         self.words: np.ndarray | None = None
 
     def dictionary(self) -> None:
         """All expansions in one array: first the plain ids, then the rules."""
-        self.length = np.append(np.ones(self.first, np.int64), self.lengths)
+        self.length = np.append(np.ones(len(self.alphabet), np.int64), self.lengths)
         self.start = np.cumsum(self.length) - self.length
-        self.words = np.empty(int(self.length.sum()), np.uint32)
-        self.words[: self.first] = np.arange(self.first)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at, own = self.start[self.first + k], self.length[a]
-            self.words[at : at + own] = self.words[self.start[a] : self.start[a] + own]
-            self.words[at + own : at + own + self.length[b]] = self.words[self.start[b] : self.start[b] + self.length[b]]
+        data = self.alphabet.tobytes()
+        words = [data[k : k + 4] for k in range(0, len(data), 4)]
+        for a, b in self.rules.tolist():
+            words.append(words[a] + words[b])
+        self.words = np.frombuffer(b"".join(words), "<u4")
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         if self.words is None:
@@ -177,35 +197,36 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     tokenizer = tokenizer or bpe.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = bpe.UnitIds(tokenizer)
-        end = units.packed([end_id])
+        units = bpe.unit_ids(tokenizer)
         shard, block = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(held), units.kind)
-            sizes = np.array([len(h) // units.kind.itemsize for h in held])
-            payload = pack(doc_ids, data, sizes, units.vocabulary.size)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (block, pa.int64()), (len(held), pa.int64()), (len(data), pa.int64()), (payload, pa.binary()))], ["shard", "block", "n_docs", "n_ids", "payload"])
-
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = units.encode(text or "") + end
-                n = len(data) // units.kind.itemsize
-                if held and size + n > BLOCK_IDS:
+            data, sizes = np.concatenate(held), np.array([len(h) for h in held])
+            row = [(shard, pa.int64()), (block, pa.int64()), (len(held), pa.int64()), (len(data), pa.int64()), (pack(doc_ids, data, sizes), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], ["shard", "block", "n_docs", "n_ids", "payload"])
+
+        for batch in slices(batches, most=bpe.SLICE_BYTES):
+            ids, cuts = units.of(batch.column(1))
+            ids = np.insert(ids.astype(np.uint32), cuts[1:], end_id)
+            cuts = cuts + np.arange(len(cuts))
+            for doc_id, low, high in zip(batch.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and size + high - low > BLOCK_IDS:
                     yield close()
                     block += 1
                     doc_ids, held, size = [], [], 0
                 doc_ids.append(doc_id)
-                held.append(data)
-                size += n
+                held.append(ids[low:high])
+                size += high - low
         if held:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # rows of one id, or without one, are dealt out by their text, so they need not lie in one task
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first(F.when(F.col("text").isNotNull(), F.xxhash64("text"))), F.asc_nulls_first("text")]
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     rows.mapInArrow(run, BLOCKS).write.parquet(path)
 
 
