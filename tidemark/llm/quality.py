@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule has a cost and a rejection rate, both measured on a bounded sample
-of documents (``SAMPLE_ROWS``).  Rules run in descending order of rejections
-per second; each sees only the documents that all earlier ones let pass.  The
-order changes the work, never the verdict: a document is kept if no rule
-rejects it.
+Every rule has a cost and a rejection rate, both measured on a sample of about
+``SAMPLE_ROWS`` documents drawn from the whole table.  Rules run in descending
+order of rejections per second; each works on the documents that all earlier
+ones let pass and on no other.  Words are split once, and rules about what the
+base columns count anyway take those counts.  The order changes the work, never
+the verdict: a document is kept if no rule rejects it.
 
 Defined results: null text has no words and fails the base rules; repeated rows
 are judged alike; other columns are ignored by ``judge``; an empty table gives
@@ -16,6 +17,7 @@ from __future__ import annotations
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, table
 
-#: Documents on which cost and selectivity of the rules are measured.
+#: Documents, about, on which cost and selectivity of the rules are measured.
 SAMPLE_ROWS = 1_000
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -36,7 +38,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 class Texts:
-    """Some documents, and what several rules need of them, computed on first use for all of them at once."""
+    """Some documents with their words, split once, and the counts of the base columns."""
 
     def __init__(self, column: pa.Array):
         text = pc.fill_null(column.cast(pa.string()), "")
@@ -50,21 +52,27 @@ class Texts:
         self.words = flat.filter(pa.array(real)).dictionary_encode() if not real.all() else flat.dictionary_encode()
         self.ids = np.asarray(self.words.indices).astype(np.int64)
         self.n_words = np.bincount(self.owner, minlength=self.n)
-        data = np.frombuffer(b"".join(t.encode() for t in text.to_pylist()), np.uint8)
-        sizes = np.asarray(pc.binary_length(text)).astype(np.int64)
-        self.bytes, self.cuts = data, np.append(0, np.cumsum(sizes))
-
-    def sum_by_text(self, value_of_byte: np.ndarray) -> np.ndarray:
-        total = np.append(0, np.cumsum(value_of_byte[self.bytes], dtype=np.int64))
-        return total[self.cuts[1:]] - total[self.cuts[:-1]]
-
+        whole = text.cast(pa.large_string())
+        self.cuts = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + self.n + 1]
+        self.bytes = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+
+    def marked(self, of: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Bytes of each of the texts ``of`` for which ``chosen`` (by byte value) holds."""
+        parts = [self.bytes[a:b] for a, b in zip(self.cuts[of].tolist(), self.cuts[of + 1].tolist(), strict=True)]
+        total = np.append(0, np.cumsum(chosen[np.concatenate(parts)] if parts else np.zeros(0, bool), dtype=np.int64))
+        ends = np.append(0, np.cumsum(self.cuts[of + 1] - self.cuts[of]))
+        return total[ends[1:]] - total[ends[:-1]]
+
+    @cached_property
     def word_chars(self) -> np.ndarray:
         size = np.asarray(pc.utf8_length(self.words.dictionary)).astype(np.int64)
         return np.bincount(self.owner, weights=size[self.ids], minlength=self.n).astype(np.int64) if len(self.ids) else np.zeros(self.n, np.int64)
 
-    def symbols(self) -> np.ndarray:
-        return self.sum_by_text(np.isin(np.arange(256), [ord(c) for c in SYMBOLS]).astype(np.int64))
+    @cached_property
+    def n_symbols(self) -> np.ndarray:
+        return self.marked(np.arange(self.n), bytes_in(SYMBOLS))
 
+    @cached_property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """(lines with a word, such lines equal to an earlier one) of each text."""
         parts = pc.split_pattern(self.text, "\n")
@@ -79,6 +87,7 @@ class Texts:
         distinct = np.unique(owner * (int(ids.max()) + 1) + ids)
         return count, count - np.bincount(distinct // (int(ids.max()) + 1), minlength=self.n)
 
+    @cached_property
     def repeat_words(self) -> np.ndarray:
         """Words that stand in a window of three words found more than once in the text."""
         out = np.zeros(self.n, np.int64)
@@ -102,67 +111,90 @@ class Texts:
             covered[first + step] = True
         return np.bincount(self.owner[covered], minlength=self.n)
 
-    def distinct_share(self, window: int = WINDOW) -> np.ndarray:
+    @property
+    def base_failed(self) -> np.ndarray:
+        return (self.n_words < 50) | (100 * self.repeat_words > 50 * self.n_words)
+
+    def distinct_share(self, of: np.ndarray, window: int = WINDOW) -> np.ndarray:
         """Mean share of distinct words over all windows of consecutive words; a text of one window or less is one window."""
-        size = int(self.ids.max()) + 1 if len(self.ids) else 1
-        key = self.owner * size + self.ids
+        place = np.full(self.n, -1, np.int64)
+        place[of] = np.arange(len(of))
+        own = place[self.owner]
+        own, ids, n_words = own[own >= 0], self.ids[own >= 0], self.n_words[of]
+        size = int(ids.max()) + 1 if len(ids) else 1
+        key = own * size + ids
         order = np.argsort(key, kind="stable")
         again = key[order[1:]] == key[order[:-1]]
-        at = np.arange(len(key)) - (np.cumsum(self.n_words) - self.n_words)[self.owner]
+        first = np.zeros(len(of) + 1, np.int64)
+        first[1:] = np.cumsum(n_words)
+        at = np.arange(len(key)) - first[own]
         before = np.full(len(key), -1, np.int64)
         before[order[1:][again]] = at[order[:-1][again]]
-        wide = np.minimum(self.n_words, window)
-        last = self.n_words - wide
+        wide = np.minimum(n_words, window)
+        last = n_words - wide
         # a word is new in the windows that start after its previous place and hold it
-        new = np.minimum(at, last[self.owner]) - np.maximum(before, at - wide[self.owner])
-        return np.bincount(self.owner, weights=np.maximum(0, new), minlength=self.n) / np.maximum(1, (last + 1) * wide)
+        new = np.minimum(at, last[own]) - np.maximum(before, at - wide[own])
+        return np.bincount(own, weights=np.maximum(0, new), minlength=len(of)) / np.maximum(1, (last + 1) * wide)
+
+
+def bytes_in(characters: str) -> np.ndarray:
+    return np.isin(np.arange(256), [ord(c) for c in characters])
 
 
 def _per(value: np.ndarray, of: np.ndarray) -> np.ndarray:
     return value / np.maximum(1, of)
 
 
-def _capitals(t: Texts) -> np.ndarray:
-    upper = t.sum_by_text(((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.int64))
-    lower = t.sum_by_text(((np.arange(256) >= 97) & (np.arange(256) <= 122)).astype(np.int64))
+def _capitals(t: Texts, of: np.ndarray) -> np.ndarray:
+    upper, lower = t.marked(of, bytes_in("ABCDEFGHIJKLMNOPQRSTUVWXYZ")), t.marked(of, bytes_in("abcdefghijklmnopqrstuvwxyz"))
     return _per(upper, upper + lower) > 0.5
 
 
-def _packed(t: Texts) -> np.ndarray:
-    out = np.zeros(t.n, bool)
-    for k in range(t.n):
-        data = t.bytes[t.cuts[k] : t.cuts[k + 1]].tobytes()
-        out[k] = len(data) >= 200 and len(zlib.compress(data, 1)) < 0.2 * len(data)
+def _packed(t: Texts, of: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(of), bool)
+    for k, (a, b) in enumerate(zip(t.cuts[of].tolist(), t.cuts[of + 1].tolist(), strict=True)):
+        out[k] = b - a >= 200 and len(zlib.compress(t.bytes[a:b], 1)) < 0.2 * (b - a)
     return out
 
 
-#: name -> texts it rejects.
-RULES: dict[str, Callable[[Texts], np.ndarray]] = {
-    "symbols": lambda t: _per(t.symbols(), t.n_words) > 0.2,
-    "exclamation": lambda t: _per(t.sum_by_text((np.arange(256) == ord("!")).astype(np.int64)), t.n_words) > 0.5,
+#: name -> which of the texts ``of`` it rejects.
+RULES: dict[str, Callable[[Texts, np.ndarray], np.ndarray]] = {
+    "symbols": lambda t, of: _per(t.n_symbols[of], t.n_words[of]) > 0.2,
+    "exclamation": lambda t, of: _per(t.marked(of, bytes_in("!")), t.n_words[of]) > 0.5,
     "capitals": _capitals,
-    "word_length": lambda t: (_per(t.word_chars(), t.n_words) < 2) | (_per(t.word_chars(), t.n_words) > 20),
-    "repeated_lines": lambda t: _per(t.lines()[1], t.lines()[0]) > 0.3,
-    "repeated_words": lambda t: 100 * t.repeat_words() > 30 * t.n_words,
-    "few_distinct_words": lambda t: (t.n_words >= 50) & (t.distinct_share() < 0.2),
+    "word_length": lambda t, of: (_per(t.word_chars[of], t.n_words[of]) < 2) | (_per(t.word_chars[of], t.n_words[of]) > 20),
+    "repeated_lines": lambda t, of: _per(t.lines[1][of], t.lines[0][of]) > 0.3,
+    "repeated_words": lambda t, of: 100 * t.repeat_words[of] > 30 * t.n_words[of],
+    "few_distinct_words": lambda t, of: (t.n_words[of] >= 50) & (t.distinct_share(of) < 0.2),
     "compressible": _packed,
 }
 
 
+def columns(t: Texts) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    return [x.astype(np.int64) for x in (t.n_words, t.word_chars, t.n_symbols, t.lines[1], t.repeat_words)]
+
+
 def measured(docs: DataFrame, rules: list[str] | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """rule, seconds, seen, rejected on the first ``rows`` documents that the table yields."""
+    """rule, seconds, seen, rejected on about ``rows`` documents; only these counts leave the tasks."""
     names = rules or list(RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column=0):
+            texts = Texts(batch.column(0))
+            columns(texts)
+            of = np.flatnonzero(~texts.base_failed)
             for name in names:
-                texts = Texts(batch.column(0))
                 began = time.thread_time()
-                bad = RULES[name](texts)
+                bad = RULES[name](texts, of)
                 took = time.thread_time() - began
-                yield pa.RecordBatch.from_pydict({"rule": [name], "seconds": [took], "seen": [texts.n], "rejected": [int(bad.sum())]})
+                yield pa.RecordBatch.from_pydict({"rule": [name], "seconds": [took], "seen": [len(of)], "rejected": [int(bad.sum())]})
 
-    each = docs.select(F.col("text").cast("string")).limit(rows).mapInArrow(run, "rule string, seconds double, seen long, rejected long")
+    texts = docs.select(F.col("text").cast("string"))
+    n = docs.count()
+    if n > rows:
+        texts = texts.sample(rows / n, seed=11)
+    each = texts.mapInArrow(run, "rule string, seconds double, seen long, rejected long")
     return each.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("seen").alias("seen"), F.sum("rejected").alias("rejected"))
 
 
@@ -186,21 +218,17 @@ def judge(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = Texts(batch.column(1))
-            repeated = texts.repeat_words()
-            base = (texts.n_words < 50) | (100 * repeated > 50 * texts.n_words)
+            counts, base = columns(texts), texts.base_failed
             by = np.where(base, "base", "").astype(object)
             left = np.flatnonzero(~base)
-            part = Texts(batch.column(1).take(pa.array(left))) if len(left) < texts.n else texts
             for name in order:
                 if not len(left):
                     break
-                bad = RULES[name](part)
-                if bad.any():
-                    by[left[bad]] = name
-                    left = left[~bad]
-                    part = Texts(batch.column(1).take(pa.array(left)))
+                bad = RULES[name](texts, left)
+                by[left[bad]] = name
+                left = left[~bad]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x.astype(np.int64)) for x in (texts.n_words, texts.word_chars(), texts.symbols(), texts.lines()[1], repeated)), pa.array(base), pa.array(by == ""), pa.array([x or None for x in by], pa.string())],
+                [batch.column(0), *map(pa.array, counts), pa.array(base), pa.array(by == ""), pa.array([x or None for x in by], pa.string())],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"],
             )
 
