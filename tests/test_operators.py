@@ -146,8 +146,8 @@ def test_policy_rates_take_the_first_frequency_without_a_window(spark):
 
 
 def test_a_busy_customer_has_several_bounded_calendar_pages(spark):
-    from tidemark.plans.documents import PAGE_KEYS, _calendar_pages
+    from tidemark.plans.pages import PAGE_KEYS, _calendar_pages
 
     o = spark.range(3 * PAGE_KEYS).select(F.lit(1).alias("o_custkey"), F.col("id").alias("o_orderkey"), F.lit(2.0).alias("o_totalprice"), F.lit("p").alias("o_orderpriority"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 9).cast("int")).alias("o_orderdate"))
-    rows = _calendar_pages(o).select(F.regexp_count("html", F.lit('class="event"')).alias("n"), F.col("html").contains("Day 2024-01-01").alias("first")).collect()
+    rows = _calendar_pages(o).select(F.regexp_count("html", F.lit("calendar_row\"")).alias("n"), F.col("html").contains("Monday, January 01, 2024").alias("first")).collect()
     assert [(r.n, r.first) for r in rows] == [(PAGE_KEYS, True)] * 3

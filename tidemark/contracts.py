@@ -43,13 +43,13 @@ NEWS = Contract(
     {"sentiment_label": ("positive", "negative", "neutral")},
     {"sentiment_score": (-1.0, 1.0)},
 )
-#: The five stored tables: key columns and widths of text columns.
+#: The five stored tables: columns, keys, what may not be null, and widths of text columns.
 STORED = {
-    "fx_prices": Contract({}, ("timestamp_utc", "pair", "timeframe"), ("timestamp_utc", "pair"), widths={"pair": 10, "timeframe": 10}),
-    "economic_events": Contract({}, ("timestamp_utc", "event_name"), ("timestamp_utc",)),
-    "ecb_policy_rates": Contract({}, ("timestamp_utc", "rate_type"), ("timestamp_utc",)),
-    "ecb_exchange_rates": Contract({}, ("timestamp_utc", "currency_pair"), ("timestamp_utc",)),
-    "macro_indicators": Contract({}, ("timestamp_utc", "series_id"), ("timestamp_utc",)),
+    "fx_prices": Contract({"timestamp_utc": "timestamp", "pair": "string", "timeframe": "string", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "double", "source": "string"}, ("timestamp_utc", "pair", "timeframe"), ("timestamp_utc", "pair"), widths={"pair": 10, "timeframe": 10, "source": 50}),
+    "economic_events": Contract({"timestamp_utc": "timestamp", "country": "string", "event_name": "string", "impact": "string", "actual": "double", "forecast": "double", "previous": "double", "source": "string"}, ("timestamp_utc", "event_name"), ("timestamp_utc",), widths={"country": 50, "event_name": 100, "impact": 20, "source": 50}),
+    "ecb_policy_rates": Contract({"timestamp_utc": "timestamp", "rate_type": "string", "rate": "double", "frequency": "string", "unit": "string", "source": "string"}, ("timestamp_utc", "rate_type"), ("timestamp_utc",), widths={"rate_type": 50, "frequency": 20, "unit": 20, "source": 50}),
+    "ecb_exchange_rates": Contract({"timestamp_utc": "timestamp", "currency_pair": "string", "rate": "double", "frequency": "string", "source": "string"}, ("timestamp_utc", "currency_pair"), ("timestamp_utc",), widths={"currency_pair": 20, "frequency": 20, "source": 50}),
+    "macro_indicators": Contract({"timestamp_utc": "timestamp", "series_id": "string", "value": "double", "source": "string"}, ("timestamp_utc", "series_id"), ("timestamp_utc",), widths={"series_id": 100, "source": 50}),
 }
 
 

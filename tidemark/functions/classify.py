@@ -83,6 +83,15 @@ def source_currency(source: Column) -> Column:
     return F.coalesce(lookup(SOURCE_CURRENCY, F.lower(source)), F.lit("OTHER"))
 
 
+#: Patterns of speakers' names.
+ECB_SPEAKERS = [
+    r"(?i)(?:speech|remarks|interview|statement)\s+by\s+([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)(?:\s+at|\s+in|\s+to|\s+for|\s+on|,|$)",
+    r"(?i)([A-Z][a-z]+\s+[A-Z][a-z]+)(?:\s*,\s*(?:President|Vice-President|Member|Chief))",
+]
+FED_TITLE_SPEAKERS = [r"(?i)(Vice\s+Chair(?:man)?\s+\w+)", r"(?i)(Chair(?:man)?\s+\w+)", r"(?i)(Governor\s+\w+)"]
+FED_OFFICES = r"(?i)^(Governor|Chair|Vice Chair|President|Member)\s+"
+
+
 def _one_spaced(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -90,22 +99,19 @@ def _one_spaced(c: Column) -> Column:
 def ecb_speaker(title: Column, content: Column) -> Column:
     """Two patterns over the title and the first 500 characters; names of 4 to 49 characters."""
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(content, F.lit("")), 1, 500))
-    word = "[A-Z][a-z]+"
-    first = rf"(?i)(?:speech|remarks|interview|statement)\s+by\s+({word}\s+{word}(?:\s+{word})?)(?:\s+at|\s+in|\s+to|\s+for|\s+on|,|$)"
-    second = rf"(?i)({word}\s+{word})(?:\s*,\s*(?:President|Vice-President|Member|Chief))"
-    names = [_one_spaced(F.regexp_extract(text, p, 1)) for p in (first, second)]
+    names = [_one_spaced(F.regexp_extract(text, p, 1)) for p in ECB_SPEAKERS]
     return F.coalesce(*(F.when((F.length(n) > 3) & (F.length(n) < 50), n) for n in names))
 
 
 def fed_title_speaker(title: Column) -> Column:
     """'Vice Chair X', 'Chair X' or 'Governor X' of a title; '' where there is none."""
-    found = [blank_to_null(F.trim(F.regexp_extract(title, rf"(?i)({p}\s+\w+)", 1))) for p in (r"Vice\s+Chair(?:man)?", "Chair(?:man)?", "Governor")]
+    found = [blank_to_null(F.trim(F.regexp_extract(title, p, 1))) for p in FED_TITLE_SPEAKERS]
     return F.coalesce(*found, F.lit(""))
 
 
 def fed_speaker(text: Column) -> Column:
     """The name without the office before it; NULL where nothing is left."""
-    return blank_to_null(F.trim(F.regexp_replace(F.trim(text), r"(?i)^(Governor|Chair|Vice Chair|President|Member)\s+", "")))
+    return blank_to_null(F.trim(F.regexp_replace(F.trim(text), FED_OFFICES, "")))
 
 
 def boe_speaker(author: Column, head_text: Column, main_text: Column) -> Column:

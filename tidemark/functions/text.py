@@ -94,7 +94,10 @@ def preview(c: Column, size: int = 80) -> Column:
 
 
 def absolute_url(href: Column, base: str) -> Column:
-    return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href))
+    """``href`` under ``base`` (scheme and host): absolute as it is, a path, query or fragment behind the host."""
+    scheme = F.lit(base.partition("//")[0])
+    joined = F.when(href.startswith("//"), F.concat(scheme, href)).when(href.rlike("^[/?#]") | (href == ""), F.concat(F.lit(base), href))
+    return F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).otherwise(joined.otherwise(F.concat(F.lit(base + "/"), href)))
 
 
 def is_english_page(url: Column) -> Column:

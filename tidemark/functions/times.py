@@ -92,3 +92,14 @@ def month_key(c: Column) -> Column:
 def months_between(start: Column, end: Column) -> Column:
     """First days of all months from start to end, as an array."""
     return F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+
+
+def week_number(c: Column) -> Column:
+    """ISO week of the year."""
+    return F.weekofyear(c)
+
+
+def week_key(c: Column) -> Column:
+    """ISO year and week, as 2024-W05."""
+    thursday = F.date_add(F.trunc(c, "week"), 3)
+    return F.format_string("%d-W%02d", F.year(thursday), F.weekofyear(c))

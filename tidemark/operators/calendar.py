@@ -42,3 +42,8 @@ def row_errors(raw: DataFrame, row: str) -> DataFrame:
     own.append(F.when(bad_date, F.concat(F.lit("Invalid date format '"), F.col("date"), F.lit("'"))))
     found = F.when(empty, F.array(F.lit("Empty event data"))).otherwise(F.array_compact(F.array(*own)))
     return raw.select(F.col(row), F.explode(found).alias("message"))
+
+
+def table(raw: DataFrame) -> DataFrame:
+    """Scraped rows with ``date`` as a date; what is none becomes NULL."""
+    return raw.withColumn("date", F.try_to_date(F.col("date").cast("string")))

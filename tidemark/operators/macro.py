@@ -39,7 +39,7 @@ def policy_rates(df: DataFrame, order: list[str]) -> DataFrame:
 
 def with_metadata(observations: DataFrame, metadata: DataFrame) -> DataFrame:
     """Frequency and units from the series' metadata, N/A where there is none."""
-    meta = F.broadcast(metadata.select(F.col("series_id").alias("_id"), "frequency_short", "units"))  # a row per series of a fixed list
+    meta = metadata.select(F.col("series_id").alias("_id"), "frequency_short", "units")  # small or not: the planner sees its size
     out = observations.join(meta, F.col("series_id") == F.col("_id"), "left").drop("_id")
     return out.withColumns({"frequency_short": F.coalesce("frequency_short", F.lit("N/A")), "units": F.coalesce("units", F.lit("N/A"))})
 

@@ -60,10 +60,40 @@ def graph_documents(rows: DataFrame, order: list[str]) -> DataFrame:
     return deduplicated(out, ["url"], order).drop(*order)
 
 
+#: The order of graph documents: tier, time, hash.
+PRIORITY = ["metadata.credibility_tier", "timestamp_published", "metadata.url_hash"]
+
+
 def by_priority(docs: DataFrame) -> DataFrame:
-    return docs.orderBy("metadata.credibility_tier", F.asc_nulls_first("timestamp_published"), "metadata.url_hash")
+    return docs.orderBy(*PRIORITY)
 
 
 def fresh(found: DataFrame, known: DataFrame, key: str, order: list[str]) -> DataFrame:
     """What is not known yet, first discovery only."""
     return deduplicated(found.join(known.select(key).where(F.col(key) != "").distinct(), key, "left_anti"), [key], order)
+
+
+def tagged(df: DataFrame, source: str) -> DataFrame:
+    """Column names in lower case, and the source's name as a column."""
+    return df.toDF(*(c.lower() for c in df.columns)).withColumn("source", F.lit(source))
+
+
+DOCUMENT = ("source", "timestamp_collected", "timestamp_published", "url", "title", "content", "document_type", "speaker", "metadata")
+
+
+def document_rows(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Collected items -> landed documents: the summary stands in for missing content, Untitled for a missing title, en for a missing language.
+
+    Columns that ``found`` lacks are NULL; ``metadata`` has language, author and summary; ``keep`` names columns that stay beside.
+    """
+    have = set(found.columns)
+    text = lambda c: blank_to_null(F.col(c).cast("string")) if c in have else F.lit(None).cast("string")
+    own = {c: text(c) for c in DOCUMENT if c != "metadata"}
+    own |= {"title": F.coalesce(text("title"), F.lit("Untitled")), "content": F.coalesce(text("content"), text("summary"), F.lit(""))}
+    own["metadata"] = F.struct(F.coalesce(text("language"), F.lit("en")).alias("language"), text("author").alias("author"), text("summary").alias("summary"))
+    return found.select(*keep, *(own[c].alias(c) for c in DOCUMENT))
+
+
+def by_speaker(docs: DataFrame, name: str) -> DataFrame:
+    """Documents whose speaker's name contains ``name``."""
+    return docs.where(F.col("speaker").contains(name))

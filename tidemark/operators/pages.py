@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -10,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import absolute_url, clean_value
+from tidemark.functions.classify import fed_speaker
+from tidemark.functions.text import absolute_url, blank_to_null, clean_value, impact_level, is_english_page, without_noise
+from tidemark.functions.times import header_date, url_date, us_date
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _DROPPED = r"(?is)<(script|style|nav|header|footer)\b[^>]*>.*?</\1\s*>"
@@ -19,28 +22,63 @@ _ANCHOR = r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 
 @dataclass(frozen=True)
 class Profile:
-    """What to drop, where to look for the main text, and how long it must be there."""
+    """What to drop, where to look for the main text, how long it must be there, and where to look last (``*``: all text).
+
+    A selector is a tag with classes or an id: ``div.a.b``, ``main#c``; behind ``.~`` or ``#~`` stands a pattern
+    that one class or the id must contain.
+    """
 
     drop: tuple[str, ...] = ("script", "style", "nav", "header", "footer")
     drop_classes: tuple[str, ...] = ()
     selectors: tuple[str, ...] = ("main", "article", "div.content")
     longer_than: int = 100
+    last: str = "body"
+    clean: bool = False
+
+
+_BOE_DROP = ("script", "style", "nav", "header", "footer", "aside", "form", "button")
+_BOE_NOISE = ("cookie-notice", "nav-bypass", "global-header", "global-footer", "page-survey", "accordion", "pdf-button", "footer-social-bank", "footer-topics")
+#: The page layouts of the sources, in the order in which places are tried.
+PROFILES = {
+    "ecb": Profile(selectors=("div.~content|article|body", "article", "main", "div#~content|article")),
+    "fed": Profile(selectors=("article", "main", "div.col-xs-12", "div#article", "div.row"), last="*"),
+    "fed_feed": Profile(drop=("script", "style", "nav", "header", "footer", "aside"), selectors=("div#article", "div.col-xs-12.col-sm-8.col-md-8", "div.row", "article", "main", "div#content", "body"), longer_than=200, clean=True),
+    "boe": Profile(_BOE_DROP, _BOE_NOISE, ("div.page-content", "section.page-section", "div.accordion-content", "article", "main#main-content", "body"), 200),
+    "boe_sitemap": Profile(_BOE_DROP, _BOE_NOISE, ("div.content-block", "div.page-content", "section.page-section", "div.accordion-content", "article", "main#main-content", "body"), 200),
+}
+
+
+def _matcher(selector: str) -> Callable[[str, list[str], str], bool]:
+    tag, sign, rest = re.fullmatch(r"([a-z0-9]+|\*)(\.~|#~|\.|#)?(.*)", selector).groups()
+    if not sign:
+        return lambda t, classes, own: t == tag
+    if sign.endswith("~"):
+        found = re.compile(rest)
+        return lambda t, classes, own: t == tag and any(found.search(x) for x in (classes if sign == ".~" else [own]))
+    if sign == "#":
+        return lambda t, classes, own: t == tag and own == rest
+    wanted = set(rest.split("."))
+    return lambda t, classes, own: t == tag and wanted <= set(classes)
 
 
 class _Reader(HTMLParser):
-    """Text lines by the first open element of each selector, and of the body."""
+    """Text lines by the first element that fits each selector, by the body, and of all."""
 
     def __init__(self, profile: Profile):
         super().__init__(convert_charrefs=True)
-        self.profile, self.stack, self.lines = profile, [], {s: [] for s in (*profile.selectors, "body", "*")}
+        self.profile, self.stack = profile, []
+        self.fits = {s: _matcher(s) for s in (*profile.selectors, "body")}
+        self.waiting, self.lines = list(self.fits), {s: [] for s in (*self.fits, "*")}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             return
-        classes = (dict(attrs).get("class") or "").split()
-        names = {tag, "#" + (dict(attrs).get("id") or ""), *("." + c for c in classes), *(f"{tag}.{c}" for c in classes)}
-        gone = tag in self.profile.drop or any(c in self.profile.drop_classes for c in classes)
-        self.stack.append((tag, gone, [s for s in self.lines if s in names]))
+        given = dict(attrs)
+        classes, own = (given.get("class") or "").split(), given.get("id") or ""
+        gone = bool(self.stack and self.stack[-1][1]) or tag in self.profile.drop or any(c in self.profile.drop_classes for c in classes)
+        opened = [] if gone else [s for s in self.waiting if self.fits[s](tag, classes, own)]
+        self.waiting = [s for s in self.waiting if s not in opened]
+        self.stack.append((tag, gone, opened))
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -50,16 +88,16 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         text = data.strip()
-        if not text or any(gone for _, gone, _ in self.stack):
+        if not text or (self.stack and self.stack[-1][1]):
             return
-        for s in {"*", *(s for _, _, own in self.stack for s in own)}:
+        for s in ("*", *(s for _, _, own in self.stack for s in own)):
             self.lines[s].append(text)
 
     def text(self) -> str:
         for s in self.profile.selectors:
-            if len("\n".join(self.lines[s])) > self.profile.longer_than:
-                return "\n".join(self.lines[s])
-        return "\n".join(self.lines["body"] or self.lines["*"])
+            if len(found := "\n".join(self.lines[s])) > self.profile.longer_than:
+                return found
+        return "\n".join(self.lines[self.profile.last] or self.lines["*"])
 
 
 def main_text(pages: DataFrame, key: str, html: str, profile: Profile = Profile()) -> DataFrame:
@@ -75,7 +113,8 @@ def main_text(pages: DataFrame, key: str, html: str, profile: Profile = Profile(
                 out.append(reader.text())
             yield pd.DataFrame({key: batch[key], "text": out})
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, text string")
+    found = pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, text string")
+    return found.withColumn("text", without_noise(F.col("text"))) if profile.clean else found
 
 
 def plain_text(html: Column) -> Column:
@@ -92,42 +131,138 @@ def links(pages: DataFrame, key: str, html: str, base: str, pattern: str = ".")
     return found.select(key, "position", href.alias("href"), anchor.alias("anchor")).where(F.col("href").rlike(pattern)).select(key, "position", absolute_url(F.col("href"), base).alias("url"), "anchor")
 
 
+@dataclass(frozen=True)
+class Section:
+    """An archive section: what its article links look like, and their kind."""
+
+    name: str
+    pattern: str
+    category: str
+
+
+#: Archive sections.
+SECTIONS = (
+    Section("speeches", r"/press/key/date/\d{4}/html/", "speeches"),
+    Section("press_releases", r"/press/pr/date/\d{4}/html/", "pressreleases"),
+    Section("press_conferences", r"/press/press_conference/monetary-policy-statement/\d{4}/html/", "policy"),
+    Section("monetary_policy_accounts", r"/press/accounts/\d{4}/html/", "policy"),
+)
+_NO_BLOCK = r"(?:(?!</?(?:div|li|span)\b).)*"
+_LINK = rf"(?is)(?:<(?:div|li|span)\b[^>]*>({_NO_BLOCK}?))?<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>({_NO_BLOCK}?)(?=<a\b|</?(?:div|li|span)\b|\z)"
+
+
+def article_links(pages: DataFrame, key: str, html: str, base: str, sections: tuple[Section, ...] = SECTIONS, start: str | None = None, end: str | None = None) -> DataFrame:
+    """key, position, section, url, title, date_hint, category of a page's English article links.
+
+    A link belongs to the first section whose pattern its href contains.  The title is the link's text, else that of
+    the div, li or span right around it; the date comes from the URL, and links without one pass the date filter.
+    """
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(_LINK), F.lit(0))).alias("position", "_a"))
+    part = lambda k: F.regexp_extract("_a", _LINK, k)
+    of = F.coalesce(*(F.when(part(2).rlike(s.pattern), F.lit(k)) for k, s in enumerate(sections)))
+    found = found.withColumns({"_s": of, "url": absolute_url(part(2), base), "title": F.coalesce(blank_to_null(inner_text(part(3))), inner_text(F.concat(part(1), F.lit("<a>"), part(4))))})
+    found = found.where(F.col("_s").isNotNull() & is_english_page(F.col("url"))).withColumn("date_hint", url_date(F.col("url")))
+    for bound, op in ((start, ">="), (end, "<=")):
+        if bound is not None:
+            found = found.where(f"date_hint is null or date_hint {op} date'{bound}'")
+    name = lambda f: F.array(*(F.lit(f(s)) for s in sections))[F.col("_s")]
+    return found.select(key, "position", name(lambda s: s.name).alias("section"), "url", "title", "date_hint", name(lambda s: s.category).alias("category"))
+
+
+def inner_text(html: Column) -> Column:
+    """Text nodes, each stripped, strung together; the common entities resolved."""
+    bare = F.trim(F.regexp_replace(html, r"\s*(?:<!--.*?-->|<[^>]*>)\s*", ""))
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
+        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(sign))
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+
+
+def _meta(html: Column, name: str) -> Column:
+    """The content of the first meta tag of that name or property, whatever the order of its attributes."""
+    tag = F.regexp_extract(html, rf"(?is)<meta\b(?=[^>]*?\s(?:name|property)\s*=\s*[\"']{name}[\"'])[^>]*>", 0)
+    return inner_text(_attribute(tag, "content"))
+
+
 def metadata(html: Column) -> dict[str, Column]:
     """title, h1, author, published, shown_date as columns; '' where the page lacks one."""
-    meta = lambda name: F.regexp_extract(html, rf'(?is)<meta\s+(?:name|property)="{name}"\s+content="([^"]*)"', 1)
     return {
         "title": F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
         "h1": F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]*>", "")),
-        "author": F.trim(meta("author")),
-        "published": meta("article:published_time"),
-        "shown_date": F.trim(F.regexp_extract(html, r'(?is)<div class="published-date">(.*?)</div>', 1)),
+        "author": _meta(html, "author"),
+        "published": F.coalesce(*(blank_to_null(_meta(html, n)) for n in ("article:published_time", "pubdate", "datePublished")), F.lit("")),
+        "shown_date": inner_text(F.regexp_extract(html, _classed("div", "published-date") + "(.*?)</div>", 1)),
     }
 
 
+def _classed(tag: str, name: str) -> str:
+    return rf"(?is)<{tag}\b[^>]*?\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>"
+
+
 def link_statistics(found: DataFrame, section: str, day: str) -> DataFrame:
     return found.groupBy(section).agg(F.count("*").alias("n_links"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
 def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, position, class, cells (text of each td)."""
+    """key, position, class, cells (text of each td) and tds (each td as it stands) of all table rows."""
     rows = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))).alias("position", "_tr"))
-    cells = F.transform(F.regexp_extract_all("_tr", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", "")))
-    return rows.select(key, "position", F.regexp_extract("_tr", r'(?i)<tr\b[^>]*class="([^"]*)"', 1).alias("class"), cells.alias("cells"))
+    tds = F.regexp_extract_all("_tr", F.lit(r"(?is)<td\b[^>]*>.*?</td>"), F.lit(0))
+    rows = rows.select(key, "position", _attribute(F.col("_tr"), "class").alias("class"), "_tr", tds.alias("tds"))
+    return rows.withColumn("cells", F.transform("tds", inner_text))
 
 
-def calendar_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Event rows of calendar tables: rows of class day set the date that the rows below inherit; eight cells at least."""
-    rows = table_rows(pages, key, html)
+_CALENDAR = [r"(?is)<table\b[^>]*?\bclass\s*=\s*[\"'][^\"']*calendar__table.*?</table>", r"(?is)<table\b[^>]*?\bid\s*=\s*[\"']calendar_table[\"'].*?</table>", r"(?is)<table\b[^>]*?\bclass\s*=\s*[\"'][^\"']*calendar.*?</table>"]
+#: Places of a row's cells: time, currency, impact, event, detail, actual, forecast, previous.  A row that opens a block of
+#: one time has the date before them.
+_PLACES = {False: (0, 1, 2, 3, 5, 6, 7, 8), True: (1, 2, 3, 4, 6, 7, 8, 9)}
+
+
+def calendar_rows(pages: DataFrame, key: str, html: str, base: str, year: int) -> DataFrame:
+    """Event rows of calendar tables, by key and position, with the day that the last date row above them set.
+
+    ``year`` completes day headers without one.  Rows before the first date, header rows, rows of fewer than eight
+    cells and rows without an event's name go.
+    """
+    whole = pages.select(key, F.coalesce(*(blank_to_null(F.regexp_extract(html, p, 0)) for p in _CALENDAR), F.col(html)).alias(html))
+    rows = table_rows(whole, key, html)
+    dated = F.lower("class").rlike(r"date|day-breaker|day_breaker")
+    span = F.coalesce(*(blank_to_null(F.regexp_extract("_tr", p, 1)) for p in (r"(?is)<span\b[^>]*?\bclass\s*=\s*[\"'][^\"']*date[^\"']*[\"'][^>]*>(.*?)</span>", r"(?is)<span\b[^>]*>(.*?)</span>")))
     w = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("day", F.last(F.when(F.col("class").contains("day"), F.element_at("cells", 1)), ignorenulls=True).over(w))
-    rows = rows.where((F.size("cells") >= 8) & ~F.col("class").contains("day"))
-    names = ["time", "currency", "impact", "event", "actual", "forecast", "previous"]
-    return rows.select(key, "position", "day", *(clean_value(F.get("cells", F.lit(k))).alias(n) for k, n in enumerate(names)))
+    rows = rows.withColumn("day", F.last(F.when(dated, header_date(inner_text(span), year)), ignorenulls=True).over(w))
+    named = F.exists(F.split(F.lower("class"), r"\s+"), lambda c: c.contains("calendar") & c.contains("row"))
+    rows = rows.where(~dated & named & ~F.lower("class").contains("head") & (F.size("cells") >= 8) & F.col("day").isNotNull())
+    at = lambda c, k: F.coalesce(F.get(c, F.when(F.size("cells") >= 11, _PLACES[True][k]).otherwise(_PLACES[False][k])), F.lit(""))
+    icon = F.regexp_extract(at("tds", 2), r"(?is)<(?:span|i|div)\b[^>]*>", 0)
+    link = F.regexp_extract(at("tds", 4), r"(?is)<a\b[^>]*>", 0)
+    out = rows.select(
+        key, "position", "day", blank_to_null(at("cells", 0)).alias("time"), blank_to_null(at("cells", 1)).alias("currency"),
+        impact_level(_attribute(at("tds", 2), "class"), _attribute(icon, "title"), at("cells", 2)).alias("impact"), at("cells", 3).alias("event"),
+        absolute_url(blank_to_null(inner_text(_attribute(link, "href"))), base).alias("event_url"), *(clean_value(at("cells", k)).alias(n) for k, n in ((5, "actual"), (6, "forecast"), (7, "previous"))),
+    )
+    return out.where("event <> ''")
+
+
+_ROW = _classed("div", "row")
 
 
 def listing_rows(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
-    """Rows of listing pages: date, url, title and category of each item; incomplete items go."""
-    items = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'(?is)<li class="item">.*?</li>'), F.lit(0))).alias("position", "_li"))
-    part = lambda p: F.trim(F.regexp_extract("_li", p, 1))
-    out = items.select(key, "position", part(r"(?is)<time[^>]*>(.*?)</time>").alias("date"), part(r'(?is)<a[^>]*href="([^"]*)"').alias("href"), part(r"(?is)<a[^>]*>(.*?)</a>").alias("title"), part(r'(?is)<em[^>]*>(.*?)</em>').alias("category"))
-    return out.where("date <> '' and href <> '' and title <> ''").withColumn("url", absolute_url(F.col("href"), base)).drop("href")
+    """Items of listing pages: key, position, date, url, title, category, speaker, location.
+
+    An item is a ``row`` with a time and an event part, up to the next row; items without a readable date or a link go.
+    """
+    items = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(rf"{_ROW}.*?(?={_ROW}|\z)"), F.lit(0))).alias("position", "_row"))
+    event = F.regexp_extract("_row", _classed("div", "eventlist__event") + "(.*)", 1)
+    items = items.withColumns({"_time": F.regexp_extract("_row", _classed("div", "eventlist__time") + r".*?<time\b[^>]*>(.*?)</time>", 1), "_event": event})
+    link = F.regexp_extract("_event", r"(?is)<a\b[^>]*>", 0)
+    speaker = _classed("p", "news__speaker")
+    shown = lambda p: blank_to_null(inner_text(F.regexp_extract("_event", p, 1)))
+    press = F.regexp_extract("_event", _classed("p", "eventlist__press") + "(.*?)</p>", 1)
+    out = items.select(
+        key, "position", us_date(inner_text(F.col("_time"))).cast("date").alias("date"), link.alias("_link"), absolute_url(inner_text(_attribute(link, "href")), base).alias("url"),
+        inner_text(F.regexp_extract("_event", r"(?is)<a\b[^>]*>(.*?)</a>", 1)).alias("title"), F.coalesce(blank_to_null(inner_text(F.regexp_extract(press, r"(?is)<strong\b[^>]*>(.*?)</strong>", 1))), F.lit("other")).alias("category"),
+        fed_speaker(shown(speaker + "(.*?)</p>")).alias("speaker"), shown(speaker + r".*?</p>\s*<p\b[^>]*>(.*?)</p>").alias("location"),
+    )
+    return out.where("date is not null and _link <> ''").drop("_link")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.contracts import STORED
+from tidemark.contracts import STORED, Contract, completed
+from tidemark.functions.times import months_between, week_number
 from tidemark.operators.dedup import deduplicated
+from tidemark.operators.quality import contract_rules
 
 
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -28,13 +30,42 @@ def insert_ignore(spark: SparkSession, path: str, batch: DataFrame, keys: list[s
     return n
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One of the stored tables; another name raises ValueError."""
+def _known(name: str) -> Contract:
     if name not in STORED:
         raise ValueError(f"unknown table {name!r}; known: {sorted(STORED)}")
+    return STORED[name]
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One of the stored tables; another name raises ValueError."""
+    _known(name)
     return spark.read.parquet(f"{root}/{name}")
 
 
+def export_csv(spark: SparkSession, root: str, name: str, path: str) -> str:
+    """A stored table as CSV with a header; an empty table gives empty files."""
+    df = table(spark, root, name)
+    df.write.mode("overwrite").option("header", not df.isEmpty()).csv(path)
+    return path
+
+
+def faults(batch: DataFrame, name: str) -> DataFrame:
+    """``batch`` with the table's columns and ``faults``: what keeps a row from being stored (null or too long), as an array."""
+    rules = contract_rules(_known(name))
+    own = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(rule)) for rule, bad in rules.items())))
+    return completed(batch, STORED[name]).withColumn("faults", own)
+
+
+def insert(spark: SparkSession, root: str, name: str, batch: DataFrame, order: list[str | Column] | None = None) -> int:
+    """Append what is new to a stored table; rows that break its constraints raise ValueError and nothing is stored."""
+    judged = faults(batch, name)
+    bad = judged.select(F.explode("faults").alias("fault")).groupBy("fault").count().collect()  # a row per constraint
+    if bad:
+        raise ValueError(f"{name}: {sorted((r['fault'], r['count']) for r in bad)}")
+    rows = judged.drop("faults")
+    return insert_ignore(spark, f"{root}/{name}", rows, list(STORED[name].key), order or rows.columns)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():
@@ -60,3 +91,17 @@ def missing_months(stored: DataFrame, key: str, day: str) -> DataFrame:
     span = seen.groupBy(key).agg(F.min("month").alias("low"), F.max("month").alias("high"))
     every = span.select(key, F.explode(F.sequence("low", "high", F.expr("interval 1 month"))).alias("month"))
     return every.join(seen, [key, "month"], "left_anti")
+
+
+def calendar_views(requests: DataFrame, start: str, end: str) -> DataFrame:
+    """``requests`` with view and first_day: the calendar pages that cover each range of days.
+
+    One day is a day view, days of one ISO week a week view, days of one month a month view, and anything longer
+    one month view for each month that it touches.
+    """
+    days = F.datediff(end, start) + 1
+    one_week = (days <= 7) & (week_number(F.col(start)) == week_number(F.col(end)))
+    one_month = (days <= 31) & (F.trunc(start, "month") == F.trunc(end, "month"))
+    view = F.when(days == 1, "day").when(one_week, "week").otherwise("month")
+    first = F.when((days == 1) | one_week | one_month, F.array(F.col(start))).otherwise(months_between(F.col(start), F.col(end)))
+    return requests.where(days >= 1).select("*", view.alias("view"), F.explode(first).alias("first_day"))

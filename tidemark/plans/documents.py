@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import classify, text, times
+from tidemark.functions import classify, text
 from tidemark.functions.times import iso
 from tidemark.operators import dedup, news, pages, quality, scoring
+from tidemark.plans.base import query
 from tidemark.plans.common import table
-from tidemark.plans.registry import query
 
 
 def _pick(key: str, *values: str | None) -> Column:
@@ -70,70 +68,6 @@ def sentiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("source", label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("lexicon_sentiment", """
-WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_slice(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}]+'), 1, 512) AS words FROM documents),
-c AS (SELECT doc_id, text, len(list_filter(words, lambda x: x IN ('growth', 'gain', 'gains', 'strong', 'improve', 'improved', 'rise', 'rises', 'optimistic', 'recovery', 'boost', 'stable'))) AS good,
-             len(list_filter(words, lambda x: x IN ('loss', 'losses', 'weak', 'decline', 'fall', 'falls', 'crisis', 'recession', 'worthless', 'risk', 'risks', 'fear', 'default'))) AS bad FROM w)
-SELECT doc_id, CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-       CASE WHEN good > bad THEN round(good / (good + bad)::DOUBLE, 4) WHEN bad > good THEN -round(bad / (good + bad)::DOUBLE, 4) ELSE 0.0 END AS sentiment_score FROM c""")
-def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first_words = partial(scoring.lexicon, 512)  # as the SQL has it; the scorer by itself counts all words
-    return scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", first_words).select("doc_id", "sentiment_label", "sentiment_score")
-
-
-@query("classify_ecb", """
-SELECT doc_id, ['policy', 'speeches', 'bulletins', 'pressreleases', 'policy'][doc_id % 5 + 1] AS kind, ['policy', 'speeches', 'bulletins', 'speeches', 'policy'][doc_id % 5 + 1] AS section_kind,
-       ['policy_decision', 'speech', 'bulletin', 'press_release', 'policy_decision'][doc_id % 5 + 1] AS document_type FROM documents""")
-def classify_ecb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = _pick("doc_id", "Monetary policy decision", "Remarks by A", "Economic Bulletin 3", "Annual accounts", "Speech by B on the Interest Rate")
-    d = table(spark, sf_dir, "documents").select("doc_id", classify.ecb_type(title, F.col("lang")).alias("kind"))
-    return d.select("doc_id", "kind", classify.ecb_section_type(F.col("kind"), F.lit("speeches")).alias("section_kind"), classify.ecb_label(F.col("kind")).alias("document_type"))
-
-
-@query("classify_fed", """
-SELECT conv_id, turn, ['fomc_statement', 'speech', 'testimony', 'minutes', 'press_release', 'press_release', 'speech'][turn % 7 + 1] AS kind, ['policy', 'speeches', 'other'][turn % 3 + 1] AS category_kind FROM conversations""")
-def classify_fed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = _pick("turn", "FOMC statement by X", "Governor Y", "Testimony on banks", "Minutes of June", "Board announces rule", "Notice", "Testimony by Chair Z")
-    kind = classify.fed_category_type(_pick("turn", "Monetary Policy", "Monetary Policy", "Unknown"), F.col("turn") % 3 == 1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.fed_type(title, F.lit("")).alias("kind"), kind.alias("category_kind"))
-
-
-@query("classify_boe", "SELECT page_id, ['speeches', 'summaries', 'statements'][page_id % 3 + 1] AS bucket, ['boe_speech', 'monetary_policy_summary', 'press_release'][page_id % 3 + 1] AS kind FROM pages")
-def classify_boe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.col("url"), _pick("page_id", "/Speech/2024/a", "/monetary-policy-summary-and-minutes/x", "/news/2020/y"))
-    found = table(spark, sf_dir, "pages").select("page_id", classify.boe_type(url).alias("c"))
-    return found.select("page_id", F.col("c.bucket").alias("bucket"), F.col("c.type").alias("kind"))
-
-
-@query("speakers_ecb", "SELECT c_custkey, ['Anna Maria Bell', 'Carl Dorn', NULL][c_custkey % 3 + 1] AS speaker FROM customer")
-def speakers_ecb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat(_pick("c_custkey", "Speech by Anna Maria  Bell at the ", "Carl Dorn, President of ", "News about "), F.lower("c_mktsegment"))
-    return table(spark, sf_dir, "customer").select("c_custkey", classify.ecb_speaker(title, F.lit("")).alias("speaker"))
-
-
-@query("speakers_fed", "SELECT c_custkey, ['Vice Chair Bell', 'Chairman Dorn', 'Governor Eng', ''][c_custkey % 4 + 1] AS title_speaker, ['Philip N. Bell', 'J. Dorn', 'Eng', NULL][c_custkey % 4 + 1] AS speaker FROM customer")
-def speakers_fed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = _pick("c_custkey", "Remarks of Vice Chair Bell", "Chairman Dorn speaks", "On growth: Governor Eng", "Nothing")
-    named = _pick("c_custkey", "Vice Chair Philip N. Bell", " Chair J. Dorn", "Eng", "")
-    return table(spark, sf_dir, "customer").select("c_custkey", classify.fed_title_speaker(title).alias("title_speaker"), classify.fed_speaker(named).alias("speaker"))
-
-
-@query("speakers_boe", "SELECT s_suppkey, ['Ann Ash', 'Bo Birch', 'Cy Cedar', NULL][s_suppkey % 4 + 1] AS speaker FROM supplier")
-def speakers_boe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    author, head = _pick("s_suppkey", " Ann Ash ", "", "", ""), _pick("s_suppkey", "x", "Title\n\nSpeech by  Bo Birch\nmore", "Title", "Title")
-    body = F.concat(_pick("s_suppkey", "", "speech by Z", "Intro\na speech by Cy Cedar", "no one"), F.lit("\n"), F.col("s_name"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", classify.boe_speaker(author, head, body).alias("speaker"))
-
-
-@query("url_filter", """
-SELECT page_id, page_id % 4 < 3 AS wanted, page_id % 4 IN (0, 2) AS in_years, 'https://b/' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 2 = 0 THEN '.en.html' ELSE '.de.html' END AS url, page_id % 2 = 0 AS english FROM pages""")
-def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _pick("page_id", "https://b/speech/2021/x", "https://b/news/2012/y", "https://b/minutes/z", "https://b/about/2021/")
-    href = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("https://b")).otherwise(""), F.lit("/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".en.html").otherwise(".de.html"))
-    full = text.absolute_url(href, "https://b")
-    return table(spark, sf_dir, "pages").select("page_id", classify.boe_url_wanted(path).alias("wanted"), classify.boe_url_wanted(path, 2020, 2022).alias("in_years"), full.alias("url"), text.is_english_page(full).alias("english"))
-
-
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
@@ -181,11 +115,6 @@ def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.plain_text(F.col("html")).alias("text"))
 
 
-@query("page_main_text")
-def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.main_text(table(spark, sf_dir, "pages"), "page_id", "html")
-
-
 @query("page_links", r"""
 WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>')) AS link, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>'), 1) - 1 AS position FROM pages),
 b AS (SELECT page_id, position, regexp_extract(link, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS href, regexp_extract(link, '(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS inside FROM a)
@@ -194,14 +123,6 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.links(table(spark, sf_dir, "pages"), "page_id", "html", "https://b")
 
 
-@query("page_meta", r"""
-SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS h1,
-       trim(regexp_extract(html, '(?is)<meta\s+(?:name|property)="author"\s+content="([^"]*)"', 1)) AS author FROM pages""")
-def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages.metadata(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", *(found[c].alias(c) for c in ("title", "h1", "author")))
-
-
 @query("noise_removal", r"""
 SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '\n\s*\n', chr(10) || chr(10), 'g'), '(?is)Last Update:.*?[0-9]{4}', '', 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM pages""")
 def noise_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,47 +137,6 @@ def link_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.link_statistics(table(spark, sf_dir, "documents").select(F.col("source").alias("section"), day.alias("day")), "section", "day")
 
 
-#: Order keys that a calendar page covers; keys are unique, so no page has more rows.
-PAGE_KEYS = 1 << 16
-
-
-def _calendar_pages(o: DataFrame) -> DataFrame:
-    """A customer's orders as HTML pages of ``PAGE_KEYS`` order keys each, all with the customer's first day."""
-    actual = F.when(F.col("o_orderkey") % 3 > 0, F.rint("o_totalprice").cast("long").cast("string")).otherwise("-")
-    tr = F.concat(F.lit('<tr class="event"><td>8:30am</td><td>USD</td><td><b>high</b></td><td>'), F.col("o_orderpriority"), F.lit("</td><td>"), actual, F.lit("</td><td>n/a</td><td></td><td>x</td></tr>"))
-    day = F.concat(F.lit('<tr class="new day"><td>Day '), F.date_format("_first", "yyyy-MM-dd"), F.lit("</td></tr>"))
-    first = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("_first"))
-    part = o.groupBy("o_custkey", F.floor(F.col("o_orderkey") / PAGE_KEYS).alias("_part")).agg(F.array_join(F.collect_list(tr), "\n").alias("_trs"))
-    return part.join(first, "o_custkey").select(F.struct("o_custkey", "_part").alias("page"), F.concat(day, F.col("_trs")).alias("html"))
-
-
-@query("calendar_rows", """
-SELECT o_custkey AS page, strftime(min(o_orderdate) OVER (PARTITION BY o_custkey), 'Day %Y-%m-%d') AS day, o_orderpriority AS event, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) END AS actual FROM orders""")
-def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.calendar_rows(_calendar_pages(table(spark, sf_dir, "orders")), "page", "html").select("page.o_custkey", "day", "event", "actual").withColumnRenamed("o_custkey", "page")
-
-
-@query("listing_rows", """
-SELECT doc_id, strftime(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') AS day, 'https://f/newsevents/' || CAST(doc_id AS VARCHAR) AS url, 'Item ' || lang AS title, CASE WHEN doc_id % 2 = 0 THEN 'policy' ELSE 'other' END AS kind FROM documents WHERE doc_id % 10 > 0""")
-def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    shown = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")), "MM/dd/yyyy")
-    li = F.concat(F.lit('<ul><li class="item"><time>'), F.when(F.col("doc_id") % 10 > 0, shown).otherwise(""), F.lit('</time> <a href="/newsevents/'), F.col("doc_id").cast("string"), F.lit('">Item '), F.col("lang"), F.lit("</a><em>"), F.when(F.col("doc_id") % 2 == 0, "Monetary Policy").otherwise("x"), F.lit("</em></li></ul>"))
-    out = pages.listing_rows(d.select("doc_id", li.alias("html")), "doc_id", "html", "https://f")
-    return out.select("doc_id", F.date_format(times.us_date(F.col("date")), "yyyy-MM-dd").alias("day"), "url", "title", classify.fed_category_type(F.col("category"), F.lit(False)).alias("kind"))
-
-
-@query("document_rows", """
-SELECT doc_id, upper(source) AS source, CASE WHEN doc_id % 4 = 0 THEN 'Untitled' ELSE 'T' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN coalesce(toxic, 0) = 1 THEN '' ELSE lang END AS content, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'en') AS language,
-       strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS day FROM documents LEFT JOIN labels USING (doc_id)""")
-def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    title = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("T"), F.col("doc_id").cast("string")))
-    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
-    row = d.select("doc_id", F.upper("source").alias("source"), F.coalesce(text.blank_to_null(title), F.lit("Untitled")).alias("title"), F.when(F.coalesce("toxic", F.lit(0)) == 1, "").otherwise(F.col("lang")).alias("content"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language")).alias("metadata"), F.try_to_date(day).alias("day"))
-    return row.select("doc_id", "source", "title", "content", F.coalesce("metadata.language", F.lit("en")).alias("language"), F.date_format("day", "yyyy-MM-dd").alias("day"))
-
-
 @query("document_filters", """
 SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 100 AND source <> '' AND (doc_id % 5 = 0 OR TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20')""")
 def document_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,3 +167,114 @@ def quality_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a = _articles(spark, sf_dir).withColumns({"sentiment_score": F.when(F.col("_doc_id") % 50 == 0, 2.0).otherwise(0.5), "sentiment_label": F.when(F.col("_doc_id") % 40 == 0, "odd").otherwise("neutral")})
     return quality.checked(a, NEWS).where("violations > 0")
+
+
+@query("lexicon_sentiment", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}]+') AS words FROM documents),
+c AS (SELECT doc_id, len(list_filter(words, lambda x: x IN ('growth', 'gain', 'gains', 'strong', 'improve', 'improved', 'rise', 'rises', 'optimistic', 'recovery', 'boost', 'stable'))) AS good,
+             len(list_filter(words, lambda x: x IN ('loss', 'losses', 'weak', 'decline', 'fall', 'falls', 'crisis', 'recession', 'worthless', 'risk', 'risks', 'fear', 'default'))) AS bad FROM w)
+SELECT doc_id, CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label,
+       CASE WHEN good > bad THEN round(good / (good + bad)::DOUBLE, 4) WHEN bad > good THEN -round(bad / (good + bad)::DOUBLE, 4) ELSE 0.0 END AS sentiment_score FROM c""")
+def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "sentiment_label", "sentiment_score")
+
+
+@query("document_rows", """
+SELECT doc_id, 'ECB' AS source, CASE WHEN doc_id % 4 = 0 THEN 'Untitled' ELSE 'T' || CAST(doc_id AS VARCHAR) END AS title, sha256(CASE WHEN coalesce(toxic, 0) = 1 THEN 'S' || lang ELSE coalesce(text, '') END) AS content_hash,
+       coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'en') AS language FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)""")
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toxic = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = table(spark, sf_dir, "documents").join(toxic, "doc_id", "left")
+    found = d.select(
+        F.col("doc_id").alias("DOC_ID"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("T"), F.col("doc_id").cast("string"))).alias("Title"),
+        F.when(F.coalesce("toxic", F.lit(0)) == 1, "").otherwise(F.coalesce("text", F.lit(""))).alias("Content"),
+        F.when(F.coalesce("toxic", F.lit(0)) == 1, F.concat(F.lit("S"), F.col("lang"))).alias("Summary"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("Language"),
+    )
+    rows = news.document_rows(news.tagged(found, "ECB"), ("doc_id",))
+    return rows.select("doc_id", "source", "title", F.sha2("content", 256).alias("content_hash"), "metadata.language")
+
+
+@query("articles_by_speaker", f"WITH {ARTICLES} SELECT article_id FROM article WHERE contains(speaker, 'A')")
+def articles_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.by_speaker(_articles(spark, sf_dir), "A").select("article_id")
+
+
+def _any_of(column: str, words: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains({column}, '{w}')" for w in words)
+
+
+@query("classify_ecb", f"""
+WITH t AS (SELECT doc_id, lower(['Monetary policy decision', 'Remarks by A', 'Economic Bulletin 3', 'Annual accounts', ''][doc_id % 5 + 1] || ' ' || coalesce(text, '')) AS t FROM documents),
+k AS (SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(t, '{'|'.join(p)}') THEN '{n}'" for n, p in classify.ECB_PATTERNS.items())} ELSE 'pressreleases' END AS kind FROM t)
+SELECT doc_id, kind, CASE WHEN kind = 'pressreleases' THEN 'speeches' ELSE kind END AS section_kind,
+       CASE kind WHEN 'pressreleases' THEN 'press_release' WHEN 'speeches' THEN 'speech' WHEN 'policy' THEN 'policy_decision' ELSE 'bulletin' END AS document_type FROM k""")
+def classify_ecb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = _pick("doc_id", "Monetary policy decision", "Remarks by A", "Economic Bulletin 3", "Annual accounts", "")
+    d = table(spark, sf_dir, "documents").select("doc_id", classify.ecb_type(title, F.col("text")).alias("kind"))
+    return d.select("doc_id", "kind", classify.ecb_section_type(F.col("kind"), F.lit("speeches")).alias("section_kind"), classify.ecb_label(F.col("kind")).alias("document_type"))
+
+
+@query("classify_fed", f"""
+WITH t AS (SELECT conv_id, turn, role, lower(['FOMC statement', '', 'Testimony', 'Minutes of June', 'Board announces rule'][turn % 5 + 1] || ' ' || coalesce(text, '')) AS t FROM conversations)
+SELECT conv_id, turn, CASE {' '.join(f"WHEN {_any_of('t', w)} THEN '{n}'" for n, w in classify.FED_WORDS.items())} ELSE 'press_release' END AS kind,
+       CASE WHEN role = 'user' THEN 'speeches' WHEN turn % 3 = 0 THEN 'policy' WHEN turn % 3 = 1 THEN 'regulation' ELSE 'other' END AS category_kind FROM t""")
+def classify_fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = _pick("turn", "FOMC statement", "", "Testimony", "Minutes of June", "Board announces rule")
+    kind = classify.fed_category_type(_pick("turn", "Monetary Policy", "Enforcement Actions", "Unknown"), F.coalesce(F.col("role") == "user", F.lit(False)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.fed_type(title, F.col("text")).alias("kind"), kind.alias("category_kind"))
+
+
+@query("classify_boe", """
+WITH u AS (SELECT page_id, lower(coalesce(url, '') || ['/Speech/2024/a', '/monetary-policy-summary-and-minutes/x', '/news/2020/y', ''][page_id % 4 + 1]) AS u FROM pages)
+SELECT page_id, CASE WHEN contains(u, '/speech/') OR contains(u, '/speeches/') THEN 'speeches' WHEN contains(u, 'monetary-policy-summary') THEN 'summaries' ELSE 'statements' END AS bucket,
+       CASE WHEN contains(u, '/speech/') OR contains(u, '/speeches/') THEN 'boe_speech' WHEN contains(u, 'monetary-policy-summary') THEN 'monetary_policy_summary' ELSE 'press_release' END AS kind FROM u""")
+def classify_boe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.coalesce("url", F.lit("")), _pick("page_id", "/Speech/2024/a", "/monetary-policy-summary-and-minutes/x", "/news/2020/y", ""))
+    found = table(spark, sf_dir, "pages").select("page_id", classify.boe_type(url).alias("c"))
+    return found.select("page_id", F.col("c.bucket").alias("bucket"), F.col("c.type").alias("kind"))
+
+
+@query("speakers_ecb", r"""
+WITH t AS (SELECT doc_id, ['Speech by Anna Maria  Bell at the ', 'Carl Dorn, President of ', '', 'Interview by '][doc_id % 4 + 1] || source || ' ' || substr(coalesce(text, ''), 1, 500) AS t FROM documents),
+n AS (SELECT doc_id, trim(regexp_replace(regexp_extract(t, '(?i)(?:speech|remarks|interview|statement)\s+by\s+([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)(?:\s+at|\s+in|\s+to|\s+for|\s+on|,|$)', 1), '\s+', ' ', 'g')) AS a,
+             trim(regexp_replace(regexp_extract(t, '(?i)([A-Z][a-z]+\s+[A-Z][a-z]+)(?:\s*,\s*(?:President|Vice-President|Member|Chief))', 1), '\s+', ' ', 'g')) AS b FROM t)
+SELECT doc_id, CASE WHEN length(a) BETWEEN 4 AND 49 THEN a WHEN length(b) BETWEEN 4 AND 49 THEN b END AS speaker FROM n""")
+def speakers_ecb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(_pick("doc_id", "Speech by Anna Maria  Bell at the ", "Carl Dorn, President of ", "", "Interview by "), F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", classify.ecb_speaker(title, F.col("text")).alias("speaker"))
+
+
+@query("speakers_fed", r"""
+WITH t AS (SELECT conv_id, turn, ['Remarks of Vice Chair ', 'Chairman ', 'On growth: Governor ', ''][turn % 4 + 1] || coalesce(text, '') AS t, ['Vice Chair ', ' Chair ', '', 'member '][turn % 4 + 1] || coalesce(text, '') AS s FROM conversations),
+n AS (SELECT *, trim(regexp_extract(t, '(?i)(Vice\s+Chair(?:man)?\s+\w+)', 1)) AS a, trim(regexp_extract(t, '(?i)(Chair(?:man)?\s+\w+)', 1)) AS b, trim(regexp_extract(t, '(?i)(Governor\s+\w+)', 1)) AS c FROM t)
+SELECT conv_id, turn, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END AS title_speaker,
+       nullif(trim(regexp_replace(trim(s), '(?i)^(Governor|Chair|Vice Chair|President|Member)\s+', '')), '') AS speaker FROM n""")
+def speakers_fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(_pick("turn", "Remarks of Vice Chair ", "Chairman ", "On growth: Governor ", ""), F.coalesce("text", F.lit("")))
+    named = F.concat(_pick("turn", "Vice Chair ", " Chair ", "", "member "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.fed_title_speaker(title).alias("title_speaker"), classify.fed_speaker(named).alias("speaker"))
+
+
+@query("speakers_boe", r"""
+WITH t AS (SELECT doc_id, [' Ann Ash ', '', '', ''][doc_id % 4 + 1] AS author, ['x', 'Title' || chr(10) || chr(10) || 'Speech by  Bo Birch' || chr(10) || 'more', 'Title', 'Title'][doc_id % 4 + 1] AS head,
+                  coalesce(text, '') || chr(10) || ['', 'speech by Z', 'Intro' || chr(10) || 'a speech by Cy Cedar', 'no one'][doc_id % 4 + 1] AS body FROM documents),
+l AS (SELECT doc_id, trim(author) AS author, list_filter(list_filter(list_transform(string_split(head, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:25], lambda x: contains(lower(x), 'speech by '))[1] AS h,
+             list_filter(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:80], lambda x: contains(lower(x), 'speech by '))[1] AS m FROM t)
+SELECT doc_id, CASE WHEN author <> '' THEN author ELSE coalesce(trim(substr(h, strpos(lower(h), 'speech by ') + 10)), trim(substr(m, strpos(lower(m), 'speech by ') + 10))) END AS speaker FROM l""")
+def speakers_boe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    author, head = _pick("doc_id", " Ann Ash ", "", "", ""), _pick("doc_id", "x", "Title\n\nSpeech by  Bo Birch\nmore", "Title", "Title")
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _pick("doc_id", "", "speech by Z", "Intro\na speech by Cy Cedar", "no one"))
+    return table(spark, sf_dir, "documents").select("doc_id", classify.boe_speaker(author, head, body).alias("speaker"))
+
+
+@query("url_filter", r"""
+WITH u AS (SELECT page_id, coalesce(url, '') || ['/speech/2021/x', '/news/2012/y', '/minutes/z', '/about/2021/', ''][page_id % 5 + 1] AS u, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN '/' || CAST(page_id AS VARCHAR) || '.en.html' ELSE 'x/' || CAST(page_id AS VARCHAR) || '.de.html' END AS href FROM pages),
+f AS (SELECT *, CASE WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN 'https://b' || href ELSE 'https://b/' || href END AS full_url, regexp_extract(u, '/([0-9]{4})/', 1) AS y,
+             contains(u, '/speech/') OR contains(u, '/news/') OR contains(u, '/minutes/') OR contains(u, '/monetary-policy-summary') OR contains(u, '/monetary-policy-committee/') AS wanted FROM u)
+SELECT page_id, wanted, wanted AND (y = '' OR CAST(nullif(y, '') AS INTEGER) BETWEEN 2020 AND 2022) AS in_years, full_url AS url, ends_with(full_url, '.en.html') AS english FROM f""")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.coalesce("url", F.lit("")), _pick("page_id", "/speech/2021/x", "/news/2012/y", "/minutes/z", "/about/2021/", ""))
+    k = F.col("page_id") % 3
+    href = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit(".en.html"))).otherwise(F.concat(F.lit("x/"), F.col("page_id").cast("string"), F.lit(".de.html")))
+    full = text.absolute_url(href, "https://b")
+    return table(spark, sf_dir, "pages").select("page_id", classify.boe_url_wanted(path).alias("wanted"), classify.boe_url_wanted(path, 2020, 2022).alias("in_years"), full.alias("url"), text.is_english_page(full).alias("english"))

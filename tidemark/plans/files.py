@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
 from tidemark.functions.times import iso
-from tidemark.operators import dedup, prices
+from tidemark.operators import dedup, news, prices
 from tidemark.plans import tables
+from tidemark.plans.base import query
 from tidemark.plans.common import scratch, table
-from tidemark.plans.registry import query
-from tidemark.sources import files, sinks
+from tidemark.sources import files, plugins, sinks
 from tidemark.streaming import documents as streams
 
 
@@ -39,13 +39,6 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("title is not null").select(F.col("title").cast("long").alias("doc_id"), "source", F.sha2("content", 256).alias("text_hash"))
 
 
-@query("known_urls", "SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0 AND url <> ''")
-def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    sinks.json_lines(table(spark, sf_dir, "pages").where("page_id % 2 = 0").select("url"), path)
-    return files.known_urls(spark, path)
-
-
 @query("export_by_group", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 def export_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
@@ -60,13 +53,6 @@ def silver_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.round("close")).alias("total"))
 
 
-@query("calendar_csv", "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 = 3) AS n_blank_impact, 12 AS n_columns FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-def calendar_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.calendar_csv(tables._calendar(spark, sf_dir), scratch(spark))
-    back = files.csv(spark, path)
-    return back.agg(F.count("*").alias("n"), F.count_if(F.coalesce("impact", F.lit("")) == "").alias("n_blank_impact")).withColumn("n_columns", F.lit(len(back.columns)))
-
-
 @query("partition_counts", "SELECT 'ecb' || CAST(o_orderkey % 3 AS VARCHAR) AS part_source, strftime(o_orderdate, '%Y') AS \"year\", strftime(o_orderdate, '%m') AS \"month\", count(*) AS n_rows FROM orders GROUP BY 1, 2, 3")
 def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ecb"), (F.col("o_orderkey") % 3).cast("string")).alias("source"), F.col("o_orderdate").cast("timestamp").alias("timestamp_utc"))
@@ -126,3 +112,118 @@ def stream_partition_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
         streams.drained(streams.landed(spark, path, schema), out, mark, "ts")
     back = spark.read.schema(f"{schema}, part_source string, year string, month string, batch string").parquet(out)
     return back.groupBy("part_source", "month").agg(F.count("*").alias("n"))
+
+
+@query("known_urls", "SELECT DISTINCT url FROM pages WHERE url <> ''")
+def known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.json_lines(table(spark, sf_dir, "pages").select("url"), path)
+    return files.known_urls(spark, path)
+
+
+@query("calendar_csv", "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 = 3) AS n_blank_impact, 12 AS n_columns FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def calendar_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    sinks.calendar_csv(tables._calendar(spark, sf_dir), f"{root}/forexfactory_calendar_20240101.csv")
+    back = files.REGISTRY["calendar"](spark, root).drop(*files.POSITION)
+    return back.agg(F.count("*").alias("n"), F.count_if(F.coalesce("impact", F.lit("")) == "").alias("n_blank_impact")).withColumn("n_columns", F.lit(len(back.columns)))
+
+
+@query("bronze_files", "SELECT event_type AS code, count(*) AS n, sum(user_id)::BIGINT AS total FROM events GROUP BY 1")
+def bronze_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    path = sinks.bronze_csv(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), root, "mt5", "EVENTS", "20240130")
+    return files.csv(spark, path).groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"), F.sum(F.col("user_id").cast("long")).alias("total"))
+
+
+@query("exchange_rate_files", f"SELECT pair, count(*) AS n, sum(round(\"close\")) AS total FROM ({tables.SYNTHETIC}) WHERE timestamp_utc BETWEEN '2024-01-05' AND '2024-01-20T23:59:59Z' GROUP BY 1")
+def exchange_rate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two landed files of daily rates, the last row of equal keys as the files hold them."""
+    root = scratch(spark)
+    rates = tables._rates(spark, sf_dir).orderBy("ts", "event_id").select(F.date_format("day", "yyyy-MM-dd").alias("TIME_PERIOD"), F.col("code").alias("CURRENCY"), F.col("rate").alias("OBS_VALUE"), "source")
+    for name, part in (("a", "TIME_PERIOD < '2024-01-16'"), ("b", "TIME_PERIOD >= '2024-01-16'")):
+        rates.where(part).write.option("header", True).csv(f"{root}/ecb_exchange_rates_{name}.csv")
+    bars = plugins.SOURCES["ecb_exchange_rates"].preprocess(spark, root, "2024-01-05", "2024-01-20 23:59:59")
+    return bars.groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.round("close")).alias("total"))
+
+
+@query("policy_rate_files", """
+WITH m AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'ECB_DFR' WHEN '2-HIGH' THEN 'ECB_MRR' WHEN '3-MEDIUM' THEN 'ECB_MLF' END AS series_id, * FROM orders),
+k AS (SELECT * FROM m WHERE series_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, o_orderdate ORDER BY o_orderkey DESC) = 1)
+SELECT series_id, count(*) AS n, sum(round(o_totalprice)) AS total FROM k GROUP BY 1""")
+def policy_rate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    o = prices.mapped(table(spark, sf_dir, "orders"), "o_orderpriority", tables.RATE_CODES, "code").orderBy("o_orderkey")
+    o.select(F.col("o_orderdate").cast("string").alias("TIME_PERIOD"), F.col("o_totalprice").cast("string").alias("OBS_VALUE"), F.col("code").alias("PROVIDER_FM_ID"), F.lit("D").alias("FREQ"), F.lit("ecb").alias("source")).write.option("header", True).csv(f"{root}/ecb_policy_rates_all.csv")
+    rows = plugins.SOURCES["ecb_policy_rates"].preprocess(spark, root)
+    return rows.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.round("value")).alias("total"))
+
+
+@query("series_files", """
+WITH k AS (SELECT user_id % 50 AS s, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id % 50 ORDER BY event_id) = 1)
+SELECT 'S' || CAST(s AS VARCHAR) AS series_id, count(*) AS n, sum(v) AS total FROM k GROUP BY 1""")
+def series_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    e = table(spark, sf_dir, "events").orderBy("event_id")
+    e.select(F.to_date("ts").cast("string").alias("date"), F.get_json_object("props", "$.k").alias("value"), F.concat(F.lit("S"), (F.col("user_id") % 50).cast("string")).alias("series_id"), F.lit("D").alias("frequency"), F.lit("N/A").alias("units"), F.lit("fred").alias("source")).write.option("header", True).csv(f"{root}/fred_all.csv")
+    source = plugins.SOURCES["fred"]
+    rows = source.preprocess(spark, root)
+    source.validate(rows)
+    return rows.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("calendar_source", f"WITH {tables.CALENDAR} SELECT country, impact, count(*) AS n FROM silver GROUP BY 1, 2")
+def calendar_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark)
+    raw = tables._calendar(spark, sf_dir)
+    raw.orderBy("o_orderkey").drop("o_orderkey").write.option("header", True).csv(f"{root}/forexfactory_all.csv")
+    source = plugins.SOURCES["calendar"]
+    rows = source.preprocess(spark, root)
+    source.validate(rows)
+    return rows.groupBy("country", "impact").agg(F.count("*").alias("n"))
+
+
+@query("document_source", """
+WITH d AS (SELECT lang, ['fed', 'ecb', 'boe'][doc_id % 3 + 1] AS source, substr(sha256('https://x/' || CAST(doc_id // 2 AS VARCHAR)), 1, 16) AS article_id, doc_id FROM documents)
+SELECT article_id, min_by(source, doc_id) AS source, CASE min_by(source, doc_id) WHEN 'fed' THEN 'USD' WHEN 'ecb' THEN 'EUR' ELSE 'GBP' END AS currency FROM d GROUP BY 1""")
+def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents landed by three collectors in a folder each, read through each one's source and cleaned as one table."""
+    root, names = scratch(spark), ("fed", "ecb", "boe")
+    d = table(spark, sf_dir, "documents").withColumn("_k", F.col("doc_id") % 3)
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    for k, name in enumerate(names):
+        rows = d.where(F.col("_k") == k).select(F.lit(name).alias("source"), stamp.alias("timestamp_collected"), F.concat(F.lit("https://x/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
+        sinks.json_lines(rows, f"{root}/{name}/all.jsonl")
+    landed = files.routed(spark, {f"{name}_documents": root for name in names})
+    source = plugins.SOURCES["documents"]
+    rows = source.clean(landed.orderBy(F.col("title").cast("long")).withColumn("_pos", F.col("title").cast("long")).withColumns({"_file": F.lit(""), "_block": F.lit(0)}))
+    source.validate(rows)
+    return rows.select("article_id", "source", "currency")
+
+
+@query("graph_jsonl", """
+WITH g AS (SELECT 'https://n/' || CAST(p_partkey // 2 AS VARCHAR) AS url, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS tier FROM part WHERE p_partkey % 4 < 2 QUALIFY row_number() OVER (PARTITION BY p_partkey // 2 ORDER BY p_partkey) = 1)
+SELECT tier, count(*) AS n, 0 AS n_out_of_order FROM g GROUP BY 1""")
+def graph_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents exported in order of priority; read back, no row of a part file stands before one of a lower tier."""
+    from tidemark.plans.documents import _graph
+
+    rows = news.graph_documents(_graph(spark, sf_dir).where(news.wanted_themes()), ["p_partkey"])
+    path = sinks.graph_json_lines(rows, scratch(spark), "20240130", news.PRIORITY)
+    back = files.positioned(spark.read.schema("url string, metadata struct<credibility_tier:int>").json(path)).withColumn("tier", F.col("metadata.credibility_tier"))
+    ends = back.groupBy("_file").agg(F.min("tier").alias("low"), F.max("tier").alias("high"))  # a row per file
+    w = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    wrong = ends.withColumn("before", F.max("high").over(w)).where("low < before").agg(F.count("*").cast("int"))
+    return back.groupBy("tier").agg(F.count("*").alias("n")).withColumn("n_out_of_order", wrong.scalar())
+
+
+@query("sorted_output", f"SELECT count(*) AS n_rows, 0 AS n_out_of_order FROM ({tables.EPOCH})")
+def sorted_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A silver file of bars read back: rows that come later in their part file, or in a later one, are never earlier in time."""
+    bars = prices.epoch_bars(tables._epoch(spark, sf_dir), ["event_id"])
+    path = sinks.silver(bars, scratch(spark), "ohlcv", "timestamp_utc")
+    back = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "timestamp_utc")
+    inner = back.withColumn("before", F.lag("timestamp_utc").over(Window.partitionBy("file").orderBy("row")))
+    each = inner.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("timestamp_utc") < F.col("before")).alias("wrong"), F.min("timestamp_utc").alias("low"), F.max("timestamp_utc").alias("high"))  # a row per file
+    each = each.withColumn("upto", F.max("high").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))
+    return each.agg(F.sum("n").alias("n_rows"), (F.sum("wrong") + F.count_if(F.col("low") < F.col("upto"))).cast("int").alias("n_out_of_order"))

@@ -1,24 +1,6 @@
-"""All registered queries of the reference operators, with their SQL."""
+"""All registered queries of the reference operators; importing the modules fills the dictionaries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-from tidemark.plans import documents, files, scalars, storage, tables  # noqa: E402, F401  (they register their queries)
+from tidemark.plans import documents, files, pages, scalars, storage, tables  # noqa: F401
+from tidemark.plans.base import ORACLES, QUERIES, query  # noqa: F401

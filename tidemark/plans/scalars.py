@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids, numbers, text, times
 from tidemark.functions.times import iso
+from tidemark.plans.base import query
 from tidemark.plans.common import table, text_time
-from tidemark.plans.registry import query
 
 
 def _pick(key: str, *values: str | None):
@@ -43,25 +43,12 @@ def country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", text.country_code(shown).alias("country"))
 
 
-@query("country_from_name", """
-SELECT p_partkey, ['DE', 'FR', NULL, 'GB', 'US', NULL, 'IT'][p_partkey % 7 + 1] AS country FROM part""")
-def country_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(_pick("p_partkey", "German WPI of ", "Index, FRANCE ", "Germanic ", "UK and US ", "The US ", "U.S. CPI ", "(Italian) "), F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.country_from_name(name).alias("country"))
-
-
 @query("event_ids", "SELECT event_id AS row_id, substr(sha256(coalesce(CASE WHEN event_id % 9 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END, 'None') || '|' || upper(substr(event_type, 1, 2)) || '|' || event_type), 1, 16) AS event_id FROM events")
 def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.when(F.col("event_id") % 9 > 0, text_time(F.col("ts")))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), ids.event_id(stamp, F.upper(F.substring("event_type", 1, 2)), F.col("event_type")).alias("event_id"))
 
 
-@query("article_ids", "SELECT doc_id, substr(sha256(CASE WHEN doc_id % 2 = 0 THEN 'https://x/' || CAST(doc_id AS VARCHAR) ELSE source || '|' || coalesce(substr(text, 1, 60), '') || '|2024' END), 1, 16) AS article_id FROM documents")
-def article_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://x/"), F.col("doc_id").cast("string"))).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", ids.article_id(url, F.col("source"), F.substring("text", 1, 60), F.lit("2024")).alias("article_id"))
-
-
 @query("url_hash", "SELECT page_id, sha256(url) AS url_hash FROM pages")
 def url_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ids.url_hash(F.col("url")).alias("url_hash"))
@@ -74,18 +61,6 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clean_text(shown), 256).alias("text_hash"))
 
 
-@query("clean_values", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN '1.5' ELSE o_orderpriority END AS shown FROM orders")
-def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.coalesce(_pick("o_orderkey", "-", " N/A ", "—", "", " 1.5 ", None), F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.clean_value(raw).alias("shown"))
-
-
-@query("impact_levels", "SELECT o_orderkey, ['High', 'Medium', 'Low', 'Unknown'][o_orderkey % 4 + 1] AS level FROM orders")
-def impact_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, title, shown = _pick("o_orderkey", "icon high-impact", "icon", "icon", "icon"), _pick("o_orderkey", "low", "Moderate impact", "", ""), _pick("o_orderkey", "", "high", "LOW", "holiday")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.impact_level(classes, title, shown).alias("level"))
-
-
 @query("sentiment_sign", """
 SELECT doc_id, CASE WHEN toxic = 1 THEN -round(0.5 + quality * 0.25 + (doc_id % 100) / 1000.0::DOUBLE, 4) WHEN quality = 1 THEN round(0.5 + quality * 0.25 + (doc_id % 100) / 1000.0::DOUBLE, 4) ELSE 0.0 END AS score,
        CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM labels""")
@@ -101,11 +76,6 @@ def trading_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", times.is_trading_time(F.col("ts").cast("timestamp")).alias("open"))
 
 
-@query("to_utc", "SELECT event_id, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events")
-def to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", iso(times.to_utc(F.col("ts").cast("timestamp"))).alias("utc"))
-
-
 @query("multi_format_dates", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN strftime(o_orderdate, '%Y-%m-%d') END AS long_date, strftime(o_orderdate, '%Y-%m-%d') AS us_date, strftime(o_orderdate, '%Y-%m-%d') AS header_date FROM orders""")
 def multi_format_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +105,67 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", iso(times.iso_parse(shown)).alias("parsed"), times.compact_timestamp(compact).alias("compact"), iso(published).alias("published"))
 
 
-@query("url_dates", """
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN strftime(DATE '2015-01-01' + CAST(page_id % 3000 AS INTEGER), '%Y-%m-%d') WHEN 1 THEN '2026-01-01' WHEN 2 THEN '1998-03-05' END AS day FROM pages""")
+_EDGE = "[^\\p{L}\\p{N}_]"
+
+
+@query("country_from_name", f"""
+WITH t AS (SELECT doc_id, lower(['German WPI of ', 'Index, FRANCE ', 'Germanic ', 'UK and US ', 'The US ', 'U.S. CPI ', '(Italian) '][doc_id % 7 + 1] || coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(t, '(?:^|{_EDGE})(?:{w})(?:$|{_EDGE})') THEN '{c}'" for w, c in text.COUNTRY_WORDS[:-2])}
+       WHEN regexp_matches(t, '(?:^|{_EDGE})(?:british|uk)(?:$|{_EDGE})') OR regexp_matches(t, '(?:^|{_EDGE})u\\.k\\.[\\p{{L}}\\p{{N}}_]') THEN 'GB'
+       WHEN regexp_matches(t, '(?:^|{_EDGE})us(?:$|{_EDGE})') OR regexp_matches(t, '(?:^|{_EDGE})u\\.s\\.[\\p{{L}}\\p{{N}}_]') THEN 'US' END AS country FROM t""")
+def country_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(_pick("doc_id", "German WPI of ", "Index, FRANCE ", "Germanic ", "UK and US ", "The US ", "U.S. CPI ", "(Italian) "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.country_from_name(name).alias("country"))
+
+
+@query("article_ids", "SELECT doc_id, substr(sha256(CASE WHEN doc_id % 2 = 0 THEN 'https://x/' || CAST(doc_id AS VARCHAR) ELSE source || '|' || coalesce(text, '') || '|2024' END), 1, 16) AS article_id FROM documents")
+def article_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://x/"), F.col("doc_id").cast("string"))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", ids.article_id(url, F.col("source"), F.col("text"), F.lit("2024")).alias("article_id"))
+
+
+@query("clean_values", """
+WITH v AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '-' WHEN 1 THEN ' N/A ' WHEN 2 THEN '—' WHEN 3 THEN '' ELSE '  ' || text || ' ' END AS v FROM conversations)
+SELECT conv_id, turn, CASE WHEN lower(trim(v)) NOT IN ('-', 'n/a', 'na', '', '—', '–') THEN trim(v) END AS shown FROM v""")
+def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("turn") % 6
+    raw = F.when(k == 0, "-").when(k == 1, " N/A ").when(k == 2, "—").when(k == 3, "").otherwise(F.concat(F.lit("  "), F.col("text"), F.lit(" ")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_value(raw).alias("shown"))
+
+
+@query("impact_levels", """
+WITH v AS (SELECT doc_id, lower(['icon high-impact', 'icon', 'icon', source][doc_id % 4 + 1]) AS a, lower(['low', 'Moderate impact', '', lang][doc_id % 4 + 1]) AS b, lower(coalesce(text, '')) AS c FROM documents),
+l AS (SELECT doc_id, CASE WHEN contains(a, 'high') THEN 'High' WHEN contains(a, 'medium') OR contains(a, 'moderate') THEN 'Medium' WHEN contains(a, 'low') THEN 'Low' END AS a,
+             CASE WHEN contains(b, 'high') THEN 'High' WHEN contains(b, 'medium') OR contains(b, 'moderate') THEN 'Medium' WHEN contains(b, 'low') THEN 'Low' END AS b,
+             CASE WHEN contains(c, 'high') THEN 'High' WHEN contains(c, 'medium') OR contains(c, 'moderate') THEN 'Medium' WHEN contains(c, 'low') THEN 'Low' END AS c FROM v)
+SELECT doc_id, coalesce(a, b, c, 'Unknown') AS level FROM l""")
+def impact_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = F.coalesce(_pick("doc_id", "icon high-impact", "icon", "icon", None), F.col("source"))
+    title = F.coalesce(_pick("doc_id", "low", "Moderate impact", "", None), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.impact_level(classes, title, F.coalesce("text", F.lit(""))).alias("level"))
+
+
+@query("to_utc", """
+WITH t AS (SELECT o_orderkey, o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR AS t FROM orders),
+y AS (SELECT *, make_date(year(t)::BIGINT, 4, 1) AS april, make_date(year(t)::BIGINT, 10, 31) AS october FROM t),
+d AS (SELECT *, april::TIMESTAMP + ((7 - dayofweek(april)) % 7) * INTERVAL 1 DAY + INTERVAL 2 HOUR AS summer, october::TIMESTAMP - dayofweek(october) * INTERVAL 1 DAY + INTERVAL 2 HOUR AS winter FROM y)
+SELECT o_orderkey, strftime(t + CASE WHEN t >= summer AND t < winter THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM d
+WHERE NOT (t >= summer AND t < summer + INTERVAL 1 HOUR) AND NOT (t >= winter - INTERVAL 1 HOUR AND t < winter)""")
+def to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order times of all seasons, 1995 to 2001, as New York time; the hour that a change of clocks skips or repeats is left to a test."""
+    o = table(spark, sf_dir, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int")))
+    april, october = F.make_date(F.year("t"), F.lit(4), F.lit(1)), F.make_date(F.year("t"), F.lit(10), F.lit(31))
+    summer, winter = F.next_day(F.date_sub(april, 1), "Sun"), F.date_sub(F.next_day(october, "Sun"), 7)
+    odd = ((F.to_date("t") == summer) & (F.hour("t") == 2)) | ((F.to_date("t") == winter) & (F.hour("t") == 1))
+    return o.where(~odd).select("o_orderkey", iso(times.to_utc(F.col("t"))).alias("utc"))
+
+
+@query("url_dates", r"""
+WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/press/key/date/2000/html/ecb.sp' || strftime(DATE '1995-01-01' + CAST(page_id * 13 % 12000 AS INTEGER), '%y%m%d') || '~ab' || url WHEN 1 THEN '/date/2026/ecb.x261399~' || url WHEN 2 THEN '/x/ecb.pr98' || lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') || '05~z' || url ELSE url END AS u FROM pages),
+s AS (SELECT page_id, regexp_extract(u, 'ecb\.\w+([0-9]{6})~', 1) AS six, regexp_extract(u, '/date/([0-9]{4})/', 1) AS y FROM u)
+SELECT page_id, strftime(coalesce(try_strptime(CASE WHEN six = '' THEN NULL WHEN six[1:2] < '50' THEN '20' ELSE '19' END || six, '%Y%m%d'), try_strptime(nullif(y, '') || '0101', '%Y%m%d')), '%Y-%m-%d') AS day FROM s""")
 def url_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    six = F.date_format(F.date_add(F.lit("2015-01-01").cast("date"), (F.col("page_id") % 3000).cast("int")), "yyMMdd")
+    six = F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), (F.col("page_id") * 13 % 12000).cast("int")), "yyMMdd")
     k = F.col("page_id") % 4
-    url = F.when(k == 0, F.concat(F.lit("/press/key/date/2000/html/ecb.sp"), six, F.lit("~ab.en.html"))).when(k == 1, "/press/key/date/2026/html/ecb.sp261399~ab.en.html").when(k == 2, "/x/ecb.pr980305~z.en.html").otherwise(F.col("url"))
+    url = F.when(k == 0, F.concat(F.lit("/press/key/date/2000/html/ecb.sp"), six, F.lit("~ab"), F.col("url"))).when(k == 1, F.concat(F.lit("/date/2026/ecb.x261399~"), F.col("url"))).when(k == 2, F.concat(F.lit("/x/ecb.pr98"), F.lpad((F.col("page_id") % 100).cast("string"), 2, "0"), F.lit("05~z"), F.col("url"))).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", F.date_format(times.url_date(url), "yyyy-MM-dd").alias("day"))

@@ -6,34 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import EVENTS, MACRO, OHLCV
+from tidemark.functions import times
 from tidemark.functions.numbers import ohlc_consistent
 from tidemark.functions.times import iso
 from tidemark.operators import dedup, news, quality, store
 from tidemark.plans import tables
+from tidemark.plans.base import query
 from tidemark.plans.common import scratch, table
-from tidemark.plans.registry import query
-
-
-@query("insert_ignore", """
-WITH target AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month" FROM orders WHERE o_orderkey % 3 = 0),
-batch AS (SELECT * FROM (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month", o_orderkey FROM orders WHERE o_orderkey % 2 = 0) QUALIFY row_number() OVER (PARTITION BY o_custkey, "month" ORDER BY o_orderkey) = 1)
-SELECT o_custkey, "month", o_orderkey FROM batch b WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.o_custkey = b.o_custkey AND t."month" = b."month")""")
-def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey")
-    return store.new_rows(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 2 = 0"), ["o_custkey", "month"], ["o_orderkey"])
-
-
-@query("insert_ignore_count", """
-WITH t AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0)
-SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS n_before, (SELECT count(*) FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM t)) AS n_inserted, 0 AS n_again""")
-def insert_ignore_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, path = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), scratch(spark)
-    o.where("o_orderkey % 3 = 0").write.parquet(path)
-    before = spark.read.parquet(path).count()
-    batch = o.where("o_orderkey % 2 = 0")
-    first = store.insert_ignore(spark, path, batch, ["o_custkey"], ["o_orderkey"])
-    again = store.insert_ignore(spark, path, batch, ["o_custkey"], ["o_orderkey"])
-    return spark.createDataFrame([(before, first, again)], "n_before long, n_inserted long, n_again long")
+from tidemark.sources import files
 
 
 @query("new_urls", "SELECT url, min(page_id) AS page_id FROM pages WHERE page_id % 3 > 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
@@ -124,3 +104,78 @@ def quality_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.events_silver(spark, sf_dir)
     e = e.withColumn("impact", F.when(F.col("impact") == "low", "lo").otherwise(F.col("impact"))).withColumn("country", F.when(F.col("country") == "DE", "GER").otherwise(F.col("country")))
     return quality.checked(e, EVENTS, {"country_length": F.length("country") != 2}).where("violations > 0")
+
+
+@query("insert_ignore", """
+WITH target AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month" FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month", min(o_orderkey) AS o_orderkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.o_custkey = o.o_custkey AND t."month" = strftime(o.o_orderdate, '%Y-%m')) GROUP BY 1, 2""")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders into a table that holds the urgent ones, one a customer and month."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_orderpriority")
+    return store.new_rows(o.where("o_orderpriority = '1-URGENT'"), o, ["o_custkey", "month"], ["o_orderkey"]).drop("o_orderpriority")
+
+
+@query("insert_ignore_count", """
+SELECT (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS n_before, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) AS n_inserted, 0 AS n_again""")
+def insert_ignore_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, path = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), scratch(spark)
+    o.where("o_orderpriority = '1-URGENT'").write.parquet(path)
+    before = spark.read.parquet(path).count()
+    first = store.insert_ignore(spark, path, o, ["o_custkey"], ["o_orderkey"])
+    again = store.insert_ignore(spark, path, o, ["o_custkey"], ["o_orderkey"])
+    return spark.createDataFrame([(before, first, again)], "n_before long, n_inserted long, n_again long")
+
+
+def _stored_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of the exchange-rate table: some without a time, some pairs too long."""
+    o = table(spark, sf_dir, "orders")
+    pair = F.when(F.col("o_orderkey") % 20 == 0, F.repeat(F.lit("EURUSD"), 4)).otherwise(F.concat(F.lit("EUR"), F.col("o_custkey").cast("string")))
+    return o.select(F.when(F.col("o_orderkey") % 30 > 0, F.col("o_orderdate").cast("timestamp")).alias("timestamp_utc"), pair.alias("currency_pair"), F.col("o_totalprice").alias("rate"), F.lit("D").alias("frequency"), F.lit("ecb").alias("source"), "o_orderkey")
+
+
+@query("constraint_faults", """
+SELECT 'null_timestamp_utc' AS fault, count(*) AS n FROM orders WHERE o_orderkey % 30 = 0 HAVING count(*) > 0 UNION ALL SELECT 'width_currency_pair', count(*) FROM orders WHERE o_orderkey % 20 = 0 HAVING count(*) > 0""")
+def constraint_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = store.faults(_stored_rates(spark, sf_dir), "ecb_exchange_rates")
+    return found.select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+RATES_TABLE = """
+SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc, 'EUR' || CAST(o_custkey AS VARCHAR) AS currency_pair, o_totalprice AS rate, 'D' AS frequency, 'ecb' AS source
+FROM orders WHERE o_orderkey % 20 > 0 AND o_orderkey % 30 > 0 QUALIFY row_number() OVER (PARTITION BY o_orderdate, o_custkey ORDER BY o_totalprice) = 1"""
+
+
+def _rates_table(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a store whose exchange-rate table got the sound rows of ``_stored_rates``."""
+    root = scratch(spark)
+    judged = store.faults(_stored_rates(spark, sf_dir), "ecb_exchange_rates")
+    judged.drop("faults").limit(0).write.parquet(f"{root}/ecb_exchange_rates")
+    store.insert(spark, root, "ecb_exchange_rates", judged.where(F.size("faults") == 0).drop("faults"))
+    return root
+
+
+@query("table_scan", RATES_TABLE)
+def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = store.table(spark, _rates_table(spark, sf_dir), "ecb_exchange_rates")
+    return found.withColumn("timestamp_utc", iso(F.col("timestamp_utc")))
+
+
+@query("table_export", RATES_TABLE)
+def table_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.export_csv(spark, _rates_table(spark, sf_dir), "ecb_exchange_rates", f"{scratch(spark)}/rates.csv")
+    back = files.csv(spark, path)
+    return back.select(iso(F.to_timestamp("timestamp_utc")).alias("timestamp_utc"), "currency_pair", F.col("rate").cast("double").alias("rate"), "frequency", "source")
+
+
+@query("calendar_views", """
+WITH r AS (SELECT c_custkey, DATE '2023-12-28' + CAST(c_custkey % 40 AS INTEGER) AS a, DATE '2023-12-28' + CAST(c_custkey % 40 + [0, 2, 5, 20, 70, 400][c_custkey % 6 + 1] AS INTEGER) AS b FROM customer),
+v AS (SELECT *, CASE WHEN a = b THEN 'day' WHEN b - a < 7 AND date_trunc('week', a) = date_trunc('week', b) THEN 'week' ELSE 'month' END AS view FROM r)
+SELECT c_custkey, view, strftime(a, '%Y-%m-%d') AS first_day, strftime(a, '%G-W%V') AS week FROM v WHERE view <> 'month' OR date_trunc('month', a) = date_trunc('month', b)
+UNION ALL SELECT c_custkey, view, strftime(m, '%Y-%m-%d'), strftime(m, '%G-W%V') FROM (SELECT c_custkey, view, unnest(generate_series(date_trunc('month', a)::TIMESTAMP, date_trunc('month', b)::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM v WHERE view = 'month' AND date_trunc('month', a) <> date_trunc('month', b))""")
+def calendar_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.date_add(F.lit("2023-12-28").cast("date"), (F.col("c_custkey") % 40).cast("int"))
+    more = F.element_at(F.array(*(F.lit(n) for n in (0, 2, 5, 20, 70, 400))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    requests = table(spark, sf_dir, "customer").select("c_custkey", start.alias("start"), F.date_add(start, more).alias("end"))
+    found = store.calendar_views(requests, "start", "end")
+    return found.select("c_custkey", "view", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), times.week_key(F.col("first_day")).alias("week"))

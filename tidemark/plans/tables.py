@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import surprise, surprise_percent
 from tidemark.functions.times import iso
 from tidemark.operators import calendar, dedup, macro, prices
+from tidemark.plans.base import query
 from tidemark.plans.common import table
-from tidemark.plans.registry import query
 
 BAR = ["pair", "timeframe", "open", "high", "low", "close", "volume", "source"]
 CODES = {"signup": "USD", "error": "GBP", "click": "JPY", "view": "CHF"}

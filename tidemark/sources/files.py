@@ -25,6 +25,7 @@ def positioned(df: DataFrame) -> DataFrame:
 def csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, glob: str = "*.csv", header: bool = True) -> DataFrame:
     """All matching CSV files as one frame; all columns text unless a schema is given; broken rows are dropped."""
     reader = spark.read.option("header", header).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("mode", "DROPMALFORMED")
+    reader = reader if schema else reader.option("enforceSchema", False)  # a file with another header is an error, not shifted columns
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -85,7 +86,43 @@ def routed(spark: SparkSession, roots: dict[str, str], strict: bool = True) -> D
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def exchange_rates(spark: SparkSession, path: str) -> DataFrame:
+    """``ecb_exchange_rates_*.csv``: code, day, rate (text), source and positions."""
+    df = required(csv(spark, f"{path}/ecb_exchange_rates_*.csv"), ["TIME_PERIOD", "CURRENCY", "OBS_VALUE", "source"])
+    return positioned(df).select(F.col("CURRENCY").alias("code"), F.try_to_date("TIME_PERIOD").alias("day"), F.col("OBS_VALUE").alias("rate"), "source", *POSITION)
+
+
+def policy_rates(spark: SparkSession, path: str) -> DataFrame:
+    """``ecb_policy_rates_*.csv``: code, date, value (text), frequency where there is one, source and positions."""
+    df = required(csv(spark, f"{path}/ecb_policy_rates_*.csv"), ["TIME_PERIOD", "OBS_VALUE", "PROVIDER_FM_ID", "source"])
+    frequency = [F.col("FREQ").alias("frequency")] if "FREQ" in df.columns else []
+    return positioned(df).select(F.col("PROVIDER_FM_ID").alias("code"), F.col("TIME_PERIOD").alias("date"), F.col("OBS_VALUE").alias("value"), *frequency, "source", *POSITION)
+
+
+def series(spark: SparkSession, path: str) -> DataFrame:
+    """``fred_*.csv`` as text; a header without one of the six columns raises."""
+    return positioned(required(csv(spark, f"{path}/fred_*.csv"), T.StructType.fromDDL(SERIES_COLUMNS).names))
+
+
+def calendar(spark: SparkSession, path: str) -> DataFrame:
+    """``forexfactory_*.csv`` as text; a header without a column that events need raises."""
+    return positioned(required(csv(spark, f"{path}/forexfactory_*.csv"), ["date", "time", "event", "impact", "actual", "forecast", "previous"]))
+
+
+def landed_documents(name: str) -> Builder:
+    """Documents that one collector landed in a folder of its own name."""
+
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        return json_lines(spark, f"{path}/{name}")
+
+    return read
+
+
 register("mt5", price_bars)
-register("fred", lambda spark, path: positioned(csv(spark, path, SERIES_COLUMNS)))
-register("calendar", lambda spark, path: positioned(csv(spark, path, glob="forexfactory_*.csv")))
+register("fred", series)
+register("ecb_exchange_rates", exchange_rates)
+register("ecb_policy_rates", policy_rates)
+register("calendar", calendar)
 register("documents", json_lines)
+for _name in ("ecb", "fed", "boe", "gdelt"):
+    register(f"{_name}_documents", landed_documents(_name))

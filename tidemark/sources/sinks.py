@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.files import CALENDAR_COLUMNS
@@ -21,12 +21,12 @@ def bronze_csv(df: DataFrame, root: str, source: str, dataset: str, day: str) ->
 
 
 def silver(df: DataFrame, root: str, category: str, ts: str, name: str = "", kind: str = "parquet") -> str:
-    """``category[_name]_start_end.kind``, the range taken from the rows."""
+    """``category[_name]_start_end.kind``, the range taken from the rows; files and their rows are in order of time."""
     if kind not in ("csv", "parquet"):
         raise ValueError(f"unknown format {kind!r}")
     ends = _some(df).agg(F.date_format(F.min(ts), "yyyyMMdd").alias("a"), F.date_format(F.max(ts), "yyyyMMdd").alias("b")).first()
     path = f"{root}/{'_'.join(x for x in (category, name, ends['a'], ends['b']) if x)}.{kind}"
-    writer = df.sortWithinPartitions(ts).write.mode("overwrite")
+    writer = df.orderBy(ts).write.mode("overwrite")  # ranges are dealt out, so no task sorts all
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
     return path
 
@@ -39,6 +39,11 @@ def json_lines(df: DataFrame, path: str, kind: str | None = None, kinds: tuple[s
     return path
 
 
+def graph_json_lines(df: DataFrame, root: str, day: str, order: list[str | Column]) -> str:
+    """``aggregated_YYYYMMDD.jsonl`` in the given order, over its part files by name; no rows raise."""
+    return json_lines(_some(df).orderBy(*order), f"{root}/aggregated_{day}.jsonl")
+
+
 def by_group(df: DataFrame, path: str, group: str, kind: str = "parquet") -> str:
     """All groups in one write; groups without rows leave nothing."""
     df.write.mode("overwrite").partitionBy(group).option("header", True).format(kind).save(path)
