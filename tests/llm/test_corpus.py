@@ -11,6 +11,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,8 +25,11 @@ def words(text):
     return WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def similarities(docs, items):
-    """Best similarity of each text and item over all windows of the item's length, where it is at least 0.8."""
+def similarities(docs, items, whole=False):
+    """Best similarity of each text and item over the windows of the item's length, where it is at least 0.8.
+
+    ``whole``: windows start at every word, else only where one of the item's shingles stands.
+    """
     out = {}
     for item_id, item in items:
         own = words(item)
@@ -36,7 +40,7 @@ def similarities(docs, items):
             w = words(text)
             grams = [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
             best = 0
-            for start in [k for k, g in enumerate(grams) if g in bag]:
+            for start in range(len(grams)) if whole else [k for k, g in enumerate(grams) if g in bag]:
                 window = collections.Counter(grams[start : start + n])
                 both = sum(min(c, bag[g]) for g, c in window.items() if g in bag)
                 best = max(best, both / (sum(window.values()) + n - both))
@@ -66,9 +70,22 @@ def test_leaks_with_edits():
             own[rng.randrange(len(own))] = rng.choice(known)
         own = own[rng.randint(0, 3) :]
         docs.append((k, " ".join([rng.choice(known) for _ in range(rng.randint(0, 30))] + own + [rng.choice(known) for _ in range(rng.randint(0, 30))])))
-    index = decontaminate.Index([k for k, _ in items], [t for _, t in items])
-    found = {(docs[t][0], items[i][0]): round(s, 9) for t, i, _, _, s in index.search([t for _, t in docs])}
-    assert found == similarities(docs, items)
+    index = decontaminate.Index([str(k) for k, _ in items], [t for _, t in items])
+    found = {(docs[t][0], int(index.keys[i])): round(s, 9) for t, i, _, _, s in index.search([t for _, t in docs])}
+    assert found == similarities(docs, items) == similarities(docs, items, whole=True)
+
+
+def test_most_windows_at_the_least_similarity_lie_within_the_radius():
+    rng = np.random.default_rng(1)
+    near = []
+    for n in (27, 45, 90, 180):  # shingles of an item; a ninth of them changed gives 8 / 10
+        for _ in range(500):
+            own = rng.integers(0, 1 << 63, n, np.uint64)
+            other = own.copy()
+            other[: n // 9] = rng.integers(0, 1 << 63, n // 9, np.uint64)
+            a, b = (decontaminate.simhash(x, np.array([0])).view(np.uint64) for x in (own, other))
+            near.append(int(np.bitwise_count(a ^ b).sum()) <= decontaminate.RADIUS)
+    assert np.mean(near) > 0.99
 
 
 def test_leaks_in_odd_rows(spark, odd, odd_rows, nothing, monkeypatch):
@@ -80,7 +97,7 @@ def test_leaks_in_odd_rows(spark, odd, odd_rows, nothing, monkeypatch):
             want[d, item_id] += bool(similarities([(0, t)], [(0, item)]))
     found = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect())
     assert found == +want
-    monkeypatch.setattr(decontaminate, "ITEMS", 2)  # more passes, same result
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 40)  # more passes, same result
     assert collections.Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect()) == found
     kept = decontaminate.without_leaks(odd, items)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()}.isdisjoint({d for d, _ in found if d is not None})

@@ -3,8 +3,9 @@
 A window of a document has as many words as the benchmark item it is compared
 with.  Its 128-bit SimHash is looked up in a multi-index: the fingerprint is cut
 into 8 blocks of 16 bits; two fingerprints within 31 bits differ by at most 3
-bits in some block, and each block's table holds, under every 16-bit value, all
-items within 3 bits of it.  So every item within the radius is a candidate.
+bits in some block, so a window looks in each block's table under its own
+16-bit value and all values within 3 bits of it.  So every item within the
+radius is a candidate.
 Candidates are verified by the exact similarity of the two bags of five-word
 shingles (sum of the smaller counts over sum of the larger ones), at least 0.8.
 
@@ -14,8 +15,10 @@ such shingle never lowers the similarity, so windows start there only; at a
 document's end a window may be shorter.
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case.
-Items of fewer than five words are one shingle.  Items are taken ``ITEMS`` at a
-time, so memory does not grow with the benchmark.
+Items of fewer than five words are one shingle.  Equal texts are one item in the
+index and get their ids back by a join.  An index takes ``ITEM_BYTES`` of item
+texts (some 100,000 questions); only a larger benchmark costs another scan of the
+documents for each so many bytes, so memory does not grow with it.
 
 Defined results: null or empty text or item never matches; repeated documents
 match alike and repeated items each; other columns are ignored by ``leaks`` and
@@ -38,12 +41,14 @@ from tidemark.llm.licenses import WORD_BYTES
 
 SIZE, LEAST, RADIUS = 5, 0.8, 31
 BLOCKS, BITS = 8, 16
-#: Items in one index; more items take more passes.
-ITEMS = 2_000
+#: Bytes of item texts in one index; more take more passes.
+ITEM_BYTES = 16 << 20
+#: Windows whose candidates are looked up at once.
+TOGETHER = 1024
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
-SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double"
+SCHEMA = "doc_id long, text_key string, start_word long, n_words long, similarity double"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -82,57 +87,72 @@ def simhash(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+#: All differences of a block that the radius leaves to the closest one.
+FLIPS = np.array([sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BITS), r)])
+
+
 class Index:
-    """Some benchmark items, ready to be searched for."""
+    """Some distinct benchmark texts, ready to be searched for."""
 
-    def __init__(self, item_ids: list[int | None], texts: list[str | None]):
+    def __init__(self, keys: list[str], texts: list[str | None]):
         word, sizes = words_of(texts)
         ends = np.cumsum(sizes)
-        self.items: list[tuple[int | None, int, dict[int, int]]] = []  # id, words, bag of shingles
-        prints, pairs = [], []
-        for item_id, size, end in zip(item_ids, sizes.tolist(), ends.tolist(), strict=True):
-            if not size:
-                continue
+        full = np.flatnonzero(sizes)
+        self.keys = [keys[k] for k in full.tolist()]
+        self.size = sizes[full]
+        bags, counts, prints, pairs = [], [], [], {}
+        for size, end in zip(self.size.tolist(), ends[full].tolist(), strict=True):
             k = min(SIZE, size)
             own = shingles(word[end - size : end], k)
-            bag = dict(zip(*(x.tolist() for x in np.unique(own, return_counts=True)), strict=True))
+            bag, count = np.unique(own, return_counts=True)
+            bags.append(bag)
+            counts.append(count)
             prints.append(simhash(own, np.array([0])))
-            pairs += [(k, h, size) for h in bag]
-            self.items.append((item_id, size, bag))
+            pairs.setdefault(k, []).append((bag, size))
+        self.bag, self.count = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (bags, counts))
+        self.cut = np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64)
         self.prints = np.concatenate(prints) if prints else np.zeros((0, 16), np.uint8)
         #: by shingle size: known shingles, a small table that rules most others out, and the items' lengths for each
         self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted({p[0] for p in pairs}):
-            own = sorted({(h, size) for kk, h, size in pairs if kk == k})
-            keys, first = np.unique(np.array([h for h, _ in own], np.uint64), return_index=True)
+        for k, own in sorted(pairs.items()):
+            both = np.stack([np.concatenate([b for b, _ in own]), np.repeat(np.array([n for _, n in own], np.uint64), [len(b) for b, _ in own])])
+            both = both[:, np.lexsort(both[::-1])]
+            both = both[:, np.append(True, (np.diff(both) != 0).any(axis=0))]
+            known, first = np.unique(both[0], return_index=True)
             maybe = np.zeros(1 << 20, bool)
-            maybe[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.known[k] = keys, maybe, np.append(first, len(own)), np.array([size for _, size in own])
-        self.tables = [self.block_table(b) for b in range(BLOCKS)]
-
-    def block_table(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, items): under each 16-bit value the items within RADIUS // BLOCKS bits of it in block b."""
-        value = self.prints[:, 2 * b].astype(np.int64) << 8 | self.prints[:, 2 * b + 1]
-        flips = np.array([sum(1 << i for i in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BITS), r)])
-        key = (value[:, None] ^ flips[None, :]).ravel()
-        item = np.repeat(np.arange(len(value), dtype=np.int32), len(flips))
-        order = np.argsort(key, kind="stable")
-        return np.append(0, np.cumsum(np.bincount(key, minlength=1 << BITS))), item[order]
+            maybe[(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            self.known[k] = known, maybe, np.append(first, both.shape[1]), both[1].astype(np.int64)
+        self.tables = []  # by block: where each 16-bit value's items begin, and the items
+        for value in self.blocks(self.prints):
+            self.tables.append((np.append(0, np.cumsum(np.bincount(value, minlength=1 << BITS))), np.argsort(value, kind="stable").astype(np.int32)))
+
+    @staticmethod
+    def blocks(prints: np.ndarray) -> list[np.ndarray]:
+        return [prints[:, 2 * b].astype(np.int64) << 8 | prints[:, 2 * b + 1] for b in range(BLOCKS)]
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) for all items within RADIUS bits of the window's fingerprint."""
-        windows, items = [], []
-        for b, (starts, own) in enumerate(self.tables):
-            value = prints[:, 2 * b].astype(np.int64) << 8 | prints[:, 2 * b + 1]
-            low, n = starts[value], starts[value + 1] - starts[value]
+        pairs = []
+        for value, (starts, own) in zip(self.blocks(prints), self.tables, strict=True):
+            near = (value[:, None] ^ FLIPS[None, :]).ravel()
+            low, n = starts[near], starts[near + 1] - starts[near]
+            hit = np.flatnonzero(n)
+            low, n, window = low[hit], n[hit], hit // len(FLIPS)
             ends = np.cumsum(n)
-            windows.append(np.repeat(np.arange(len(prints)), n))
-            items.append(own[np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
-        pair = np.unique(np.concatenate(windows).astype(np.int64) << 32 | np.concatenate(items))
+            pairs.append(np.repeat(window, n) << 32 | own[np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+        pair = np.unique(np.concatenate(pairs))
         window, item = pair >> 32, pair & 0xFFFFFFFF
         off = np.bitwise_count(prints[window].view(np.uint64) ^ self.prints[item].view(np.uint64)).sum(axis=1)
         return window[off <= RADIUS], item[off <= RADIUS]
 
+    def similarity(self, window: np.ndarray, item: int) -> float:
+        """Of the bags of a window's shingles and of an item's: the smaller counts' sum over the larger ones'."""
+        bag, count = self.bag[self.cut[item] : self.cut[item + 1]], self.count[self.cut[item] : self.cut[item + 1]]
+        seen, n = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(bag, seen), len(bag) - 1)
+        both = int(np.minimum(n, np.where(bag[at] == seen, count[at], 0)).sum())
+        return both / (len(window) + int(count.sum()) - both)
+
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity): the best window for each text and item that match."""
         word, sizes = words_of(texts)
@@ -160,33 +180,35 @@ class Index:
             have = np.searchsorted(at, stop) - np.searchsorted(at, start)
             enough = have * (1 + LEAST) >= LEAST * (whole + stop - start) - 1e-9
             start, stop, owner, size = start[enough], stop[enough], owner[enough], size[enough]
-            for low in range(0, len(start), 8192):
-                s, e, o, z = (x[low : low + 8192] for x in (start, stop, owner, size))
+            for low in range(0, len(start), TOGETHER):
+                s, e, o, z = (x[low : low + TOGETHER] for x in (start, stop, owner, size))
                 n = e - s
                 ends = np.cumsum(n)
                 flat = shingle[np.repeat(s - (ends - n), n) + np.arange(ends[-1])]
                 window, item = self.candidates(simhash(flat, ends - n))
-                for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                    _, words, bag = self.items[i]
-                    if words != z[w]:
-                        continue
-                    seen, count = np.unique(shingle[s[w] : e[w]], return_counts=True)
-                    both = sum(min(c, bag.get(h, 0)) for h, c in zip(seen.tolist(), count.tolist(), strict=True))
-                    alike = both / (int(n[w]) + words - k + 1 - both)
+                fits = self.size[item] == z[window]
+                for w, i in zip(window[fits].tolist(), item[fits].tolist(), strict=True):
+                    alike = self.similarity(shingle[s[w] : e[w]], i)
                     where = (alike, -int(s[w] - cuts[o[w]]), int(n[w]) + k - 1)
                     if alike >= LEAST and where > best.get((int(o[w]), i), (0.0, 0, 0)):
                         best[int(o[w]), i] = where
         return [(t, i, -minus, words, alike) for (t, i), (alike, minus, words) in sorted(best.items())]
 
 
+def with_keys(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and a key of the text; an item without text has none."""
+    text = F.col("text").cast("string")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), F.md5(text.cast("binary")).alias("text_key"))
+
+
 def passes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of at most about ``ITEMS`` items each."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    parts = max(1, -(-items.count() // ITEMS))
+    """Indexes of about ``ITEM_BYTES`` of distinct texts each; a single longer text makes a longer one."""
+    texts = with_keys(benchmark).where("text is not null").groupBy("text_key").agg(F.min("text").alias("text"))
+    parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES))
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        rows = sorted(own.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))  # at most about ITEMS rows
-        yield Index([r["item_id"] for r in rows], [r["text"] for r in rows])
+        own = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(parts)) == part) if parts > 1 else texts
+        rows = sorted((r["text_key"], r["text"]) for r in own.collect())  # about ITEM_BYTES
+        yield Index([r[0] for r in rows], [r[1] for r in rows])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -198,13 +220,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in slices(batches):
                 rows = index.search(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.items[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.float64())))],
-                    ["doc_id", "item_id", "start_word", "n_words", "similarity"],
+                    [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.keys[r[1]] for r in rows], pa.string()), *(pa.array([r[c] for r in rows], t) for c, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.float64())))],
+                    ["doc_id", "text_key", "start_word", "n_words", "similarity"],
                 )
 
         found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionByName(found)
-    return out
+    ids = with_keys(benchmark).select("item_id", "text_key")
+    return out.join(ids, "text_key").select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
