@@ -166,12 +166,39 @@ def test_audit_finds_damage_loss_and_foreign_records(spark):
     trees = warc.tree(good), warc.tree(bad)
     assert [t[-1].count() for t in trees] == [2, 2]  # one above place zero and one below
     assert warc.tree(good.where("page_id is not null"))[-1].count() == 1
-    places = {r.place: r.page_id for r in good.collect()}
-    assert sorted(str(places.get(r.node)) for r in warc.audit(*trees).collect()) == ["17", "300", "301", "None"]
+    places = {(r.archive, r.place): r.page_id for r in good.collect()}
+    assert sorted(str(places.get((r.archive, r.node))) for r in warc.audit(*trees).collect()) == ["17", "300", "301", "None"]
     none = warc.tree(good.limit(0))
     assert warc.audit(none, none).count() == 0
 
 
+def test_extreme_ids_and_urls_with_line_breaks(spark, tmp_path):
+    rows = [((1 << 63) - 1, "u", "x"), (-(1 << 63), "u", "y"), (1 << 55, "a\r\n\r\nb", "z"), (3, "\r\n", None), (4, "v", "w")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.records(pages)
+    catalogue = warc.catalogued(found)
+    warc.write_archives(found, f"{tmp_path}/a")
+    back = warc.read_archives(spark, f"{tmp_path}/a")
+    assert back.exceptAll(catalogue.select(back.columns)).count() == 0 and back.count() == len(rows)
+    bad = back.where("page_id <> 4")
+    assert [(r.archive, r.node) for r in warc.audit(warc.tree(catalogue), warc.tree(bad)).collect()] == [(0, 4)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = {r[0]: r[2:5] for r in con.sql(f"SELECT page_id, archive, \"offset\", length, sha256 FROM ({warc.OP7_SQL})").fetchall()}
+    assert {r.page_id: (r.offset, r.length, r.sha256) for r in catalogue.collect()} == want
+
+
+def test_more_repeats_than_places(spark):
+    n = warc.REPEATS + 3
+    pages = spark.range(n).select(F.lit(7).cast("long").alias("page_id"), F.col("id").cast("string").alias("url"), F.lit("x").alias("html"))
+    good = warc.catalogued(warc.records(pages.unionByName(spark.createDataFrame([(300, "u", "x")], "page_id long, url string, html string")))).cache()
+    assert good.where("archive = 0").agg(F.max("place")).first()[0] < 1 << warc.PLACE_BITS
+    lost = good.where("page_id = 300 or offset > 0")
+    found = warc.unlike(good, lost, warc.audit(warc.tree(good), warc.tree(lost))).collect()
+    assert [(r.archive, r.offset) for r in found] == [(0, 0)]
+
+
 def test_a_truncated_archive_ends_in_one_odd_record():
     data = b"WARC/1.0\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nab\r\n\r\nWARC/1.0\r\nContent-Length: 9\r\n\r\nab"
     assert [(r[0], r[1]) for r in warc.parsed(data)] == [(1, 0), (None, 67)]
@@ -208,7 +235,7 @@ def test_audit_of_archives_changed_on_disk(spark, tmp_path):
     assert by[0] == [10] and by[2] == [520, 700] and by[4] == []
     assert [r.offset for r in gone if r.page_id == 700] == [low2]
     assert 0 < len(by[1]) < 256 and by[3] == list(range(by[3][0], 1024)) and 768 < by[3][0]
-    assert {r.node // warc.PLACES for r in bad.collect()} == {0, 1, 2, 3, 4}
+    assert {r.archive for r in bad.collect()} == {0, 1, 2, 3, 4}
 
 
 def test_fixity_query_against_its_sql(spark, sf):

@@ -1,9 +1,11 @@
 """WARC archives and their fixity audit by Merkle trees.
 
 Pages become WARC records in archives of ``PER_ARCHIVE`` consecutive ids.  Each
-record is hashed with its offset and length; ordered ranges of 16 records are
-hashed into nodes, 16 nodes into the next level, up to one root (two, where
-records without an id stand below place zero).  Two replicas
+record is hashed with its offset and length; ordered ranges of 16 places are
+hashed into nodes, 16 nodes into the next level, up to one for each archive, and
+archives likewise up to one root (two, where records without an id stand in
+archives below zero).  A node's digest covers its children's places, offsets,
+numbers of records and digests.  Two replicas
 are compared from the root down: a level is joined only below nodes that differ,
 so intact ranges are never looked at again, and what is left at the leaves are
 the damaged, lost, moved or foreign records.  A record's place goes by its id and
@@ -12,7 +14,8 @@ that have only moved are told from damaged ones by content (``unlike``).  What a
 broken archive still yields is compared like any other; the break itself is one
 more record at its end.
 
-Defined results: null url is an empty URI, null html an empty body; rows
+Defined results: null url is an empty URI, null html an empty body; line breaks
+in a URL are written %0D and %0A, so that none ends a header; rows
 without an id are spread over archives -1 to -65536 by their content; repeated rows are separate records in a stable order;
 other columns are ignored; empty tables have no records, no root and no
 differences.
@@ -32,11 +35,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch, stored, table
 
-#: Consecutive ids whose records share an archive, and places that an archive has in the order of all records.
-PER_ARCHIVE, PLACES = 256, 1 << 20
+#: Consecutive ids whose records share an archive, and bits of a place in the order of an archive's records.
+PER_ARCHIVE, PLACE_BITS = 256, 20
 #: Places for the ids of an archive and those without one; then come those of their second rows, and so on. Beyond ``REPEATS`` rows share places.
 SLOTS = 2 * PER_ARCHIVE
-REPEATS = PLACES // SLOTS
+REPEATS = (1 << PLACE_BITS) // SLOTS
 #: Archive of files that lie in no archive's folder.
 ASTRAY = -65537
 #: Children of a tree node, as a number of bits.
@@ -45,24 +48,28 @@ END = "\r\n\r\n"
 START = "WARC/1.0\r\n"
 
 
+def one_line(url: Column) -> Column:
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def records(pages: DataFrame) -> DataFrame:
     """archive, page_id and the record as a string, without its end mark."""
-    page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    page = pages.select(F.col("page_id").cast("long").alias("page_id"), one_line(F.coalesce(F.col("url").cast("string"), F.lit(""))).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     head = ["WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:", name, ">\r\nWARC-Target-URI: ", F.col("url"), "\r\nContent-Type: text/html\r\nContent-Length: ", F.octet_length("html").cast("string"), END, F.col("html")]
     lost = -1 - F.conv(F.substring(F.md5(F.concat("url", "html").cast("binary")), 1, 4), 16, 10).cast("long")
-    archive = F.coalesce(F.expr(f"floor(page_id / {PER_ARCHIVE})").cast("long"), lost)
+    archive = F.coalesce(F.shiftright("page_id", PER_ARCHIVE.bit_length() - 1), lost)
     return page.select(archive.alias("archive"), "page_id", F.concat(*(F.lit(h) if isinstance(h, str) else h for h in head)).alias("record"))
 
 
 def catalogued(found: DataFrame) -> DataFrame:
-    """archive, page_id, offset and length in the archive, sha256, and the record's place in the order of all."""
+    """archive, page_id, offset and length in the archive, sha256, and the record's place in its archive's order."""
     each = found.select("archive", "page_id", (F.octet_length("record") + len(END)).cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"))
     order = Window.partitionBy("archive").orderBy(F.asc_nulls_first("page_id"), "sha256")
     upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
     nth = F.row_number().over(Window.partitionBy("archive", "page_id").orderBy("sha256")) - 1
     slot = F.coalesce(F.pmod("page_id", F.lit(PER_ARCHIVE)), F.lit(PER_ARCHIVE))
-    return each.select("archive", "page_id", (upto - F.col("length")).alias("offset"), "length", "sha256", (F.col("archive") * PLACES + nth % REPEATS * SLOTS + slot).alias("place"))
+    return each.select("archive", "page_id", (upto - F.col("length")).alias("offset"), "length", "sha256", (nth % REPEATS * SLOTS + slot).cast("long").alias("place"))
 
 
 def write_archives(found: DataFrame, path: str) -> None:
@@ -135,45 +142,58 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     seen, places = Counter(), []
                     for page, *_ in rows:
-                        places.append(archive * PLACES + seen[page] % REPEATS * SLOTS + (PER_ARCHIVE if page is None else page % PER_ARCHIVE))
+                        places.append(seen[page] % REPEATS * SLOTS + (PER_ARCHIVE if page is None else page % PER_ARCHIVE))
                         seen[page] += 1
                     cols = [[archive] * len(rows), *zip(*rows, strict=True), places]
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["archive", "page_id", "offset", "length", "sha256", "place"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
-    archive = F.regexp_extract("path", "/archive=(-?[0-9]{1,13})/[^/]*$", 1)
+    archive = F.regexp_extract("path", "/archive=(-?[0-9]{1,17})/[^/]*$", 1)
     files = files.select(F.coalesce(archive.try_cast("long"), F.lit(ASTRAY)).cast("long").alias("archive"), "content")
     return files.mapInArrow(run, "archive long, page_id long, offset long, length long, sha256 string, place long")
 
 
+NODE = ["archive", "node"]
+
+
+def above(level: int) -> list[Column]:
+    """The parent of a node of this level: within an archive by its place, beyond by the archive's number."""
+    if level * FAN_BITS < PLACE_BITS:
+        return [F.col("archive"), F.shiftright("node", FAN_BITS).alias("node")]
+    return [F.shiftright("archive", FAN_BITS).alias("archive"), F.lit(0).cast("long").alias("node")]
+
+
 def tree(catalogue: DataFrame) -> list[DataFrame]:
-    """Levels (node, digest, first_offset, n_records), leaves first; a node's digest covers its children in order.
+    """Levels (archive, node, digest, first_offset, n_records), leaves first; a node's digest covers its children in order.
 
     A node gathers at most 16 children, so no group grows with the data.
     """
     own = F.array_sort(F.collect_list(F.concat_ws(":", "offset", "length", "sha256")))  # one record but beyond REPEATS or among foreign ones
-    leaves = catalogue.groupBy(F.col("place").alias("node")).agg(F.sha2(F.array_join(own, ";").cast("binary"), 256).alias("digest"), F.min("offset").alias("first_offset"), F.count("*").alias("n_records"))
+    leaves = catalogue.groupBy("archive", F.col("place").alias("node")).agg(F.sha2(F.array_join(own, ";").cast("binary"), 256).alias("digest"), F.min("offset").alias("first_offset"), F.count("*").alias("n_records"))
     levels = [stored(leaves)]
-    ends = levels[0].agg(F.min("node").alias("low"), F.max("node").alias("high")).first()
+    ends = levels[0].agg(F.min("archive").alias("low"), F.max("archive").alias("high")).first()
     low, high = ends["low"], ends["high"]
-    while low is not None and low != high and (low, high) != (-1, 0):  # places below zero have a top node of their own
-        children = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        joined = F.array_join(F.transform(children, lambda c: F.concat_ws("=", c["node"].cast("string"), c["digest"])), ";")
-        up = levels[-1].groupBy(F.shiftright("node", FAN_BITS).alias("up"))
-        levels.append(stored(up.agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.min_by("first_offset", "node").alias("first_offset"), F.sum("n_records").alias("n_records")).withColumnRenamed("up", "node")))
-        low, high = low >> FAN_BITS, high >> FAN_BITS
+    # archives below zero have a top node of their own
+    while low is not None and (len(levels) * FAN_BITS <= PLACE_BITS or low != high and (low, high) != (-1, 0)):
+        if len(levels) * FAN_BITS > PLACE_BITS:
+            low, high = low >> FAN_BITS, high >> FAN_BITS
+        up = above(len(levels) - 1)
+        child = F.struct("archive", "node", "first_offset", "n_records", "digest").alias("_child")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("_child")), lambda c: F.concat_ws("=", *(c[x].cast("string") for x in ("archive", "node", "first_offset", "n_records", "digest")))), ";")
+        first = F.min_by("_child.first_offset", F.struct("_child.archive", "_child.node"))
+        levels.append(stored(levels[-1].select(*up, child).groupBy(*NODE).agg(F.sha2(joined.cast("binary"), 256).alias("digest"), first.alias("first_offset"), F.sum("_child.n_records").alias("n_records"))))
     return levels
 
 
 def differing(one: DataFrame, other: DataFrame) -> DataFrame:
     """Nodes whose digests differ or that one side lacks."""
-    a, b = one.select("node", F.col("digest").alias("a")), other.select("node", F.col("digest").alias("b"))
-    return a.join(b, "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+    a, b = one.select(*NODE, F.col("digest").alias("a")), other.select(*NODE, F.col("digest").alias("b"))
+    return a.join(b, NODE, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(*NODE)
 
 
 def audit(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
-    """Places of the records in which two trees differ, found by descending only below differing nodes.
+    """Archive and place (``node``) of the records in which two trees differ, found by descending only below differing nodes.
 
     A tree that is lower than the other has no root to compare; the descent
     then starts at the lower one's top level.
@@ -181,8 +201,9 @@ def audit(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     top = min(len(one), len(other)) - 1
     bad = stored(differing(one[top], other[top]))
     for level in range(top - 1, -1, -1):
-        parent = bad.withColumnRenamed("node", "up")
-        below = lambda t: t.join(parent, F.shiftright(t["node"], FAN_BITS) == parent["up"], "left_semi")  # noqa: B023, E731
+        parent = bad.select(F.col("archive").alias("_archive"), F.col("node").alias("_node"))
+        up = above(level)
+        below = lambda t: t.join(parent, (up[0] == F.col("_archive")) & (up[1] == F.col("_node")), "left_semi")  # noqa: B023, E731
         bad = stored(differing(below(one[level]), below(other[level])))
     return bad
 
@@ -193,9 +214,9 @@ def unlike(catalogue: DataFrame, replica: DataFrame, bad: DataFrame) -> DataFram
     Equal leaves hold equal records, so what has moved is found among the other differing leaves.
     """
     key = ["archive", "page_id", "length", "sha256"]
-    places = bad.select(F.col("node").alias("place"))
-    there = replica.join(places, "place", "left_semi").groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.count("*").alias("_n"))
-    here = catalogue.join(places, "place", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("offset")))
+    places, at = bad.select("archive", F.col("node").alias("place")), ["archive", "place"]
+    there = replica.join(places, at, "left_semi").groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.count("*").alias("_n"))
+    here = catalogue.join(places, at, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("offset")))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
     return here.join(there, [*same, F.col("_nth") <= F.col("_n")], "left_anti").select("archive", "offset")
 
@@ -221,11 +242,11 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH page AS (
-  SELECT page_id, CASE WHEN page_id IS NULL THEN -1 - ('0x' || substr(md5(coalesce(url, '') || coalesce(html, '')), 1, 4))::BIGINT ELSE CAST(floor(page_id / 256) AS BIGINT) END AS archive,
+  SELECT page_id, CASE WHEN page_id IS NULL THEN -1 - ('0x' || substr(md5(url || coalesce(html, '')), 1, 4))::BIGINT ELSE (page_id - (page_id % 256 + 256) % 256) // 256 END AS archive,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
-         || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
          || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS record
-  FROM pages),
+  FROM (SELECT page_id, html, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages)),
 leaf AS (SELECT page_id, archive, CAST(strlen(record) + 4 AS BIGINT) AS length, sha256(record) AS sha256 FROM page)
 SELECT page_id, archive, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, sha256,
        NOT (substr(md5(CAST(page_id AS VARCHAR)), 1, 1) = '0' AND substr(md5(CAST(page_id AS VARCHAR)), 2, 1) < '8') AS intact
