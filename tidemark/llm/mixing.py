@@ -39,11 +39,10 @@ def hash_of(doc_id: Column, size: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
-def with_sources(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on ``source``, null with null; ``sources`` has a row per source and columns of other names."""
-    n = sources.count()
+def with_sources(rows: DataFrame, sources: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Join on ``source``, null with null; ``sources`` has a row per source and columns of other names, and is broadcast if these are ``few``."""
     side = sources.withColumnRenamed("source", "_source")
-    side = F.broadcast(side) if n <= BROADCAST_SOURCES else side
+    side = F.broadcast(side) if few else side
     return rows.join(side, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
@@ -67,39 +66,41 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", target.alias("target"))
 
 
-def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
     """Per source: copies (of each document), below (hashes under it get one more) and extra (a single hash more)."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = goals.withColumn("copies", whole).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     state = state.withColumns({"prefix": F.lit(0).cast("long"), "under": F.lit(0).cast("long"), "open": F.col("rest") > 0})
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
-        inside = with_sources(sized, state.where("open").select("source", "prefix"))
+        inside = with_sources(sized, state.where("open").select("source", "prefix"), few)
         inside = inside.where(F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix"))
         counts = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-        counts = with_sources(counts.withColumn("upto", upto), state.where("open").select("source", "rest", "under"))
+        counts = with_sources(counts.withColumn("upto", upto), state.where("open").select("source", "rest", "under"), few)
         passed = counts.where(F.col("under") + F.col("upto") > F.col("rest"))
         edge = passed.groupBy("source").agg(F.min(F.struct("bucket", (F.col("under") + F.col("upto") - F.col("words")).alias("sum"))).alias("edge"))
-        state = with_sources(state, edge, "left")
+        state = with_sources(state, edge, few, "left")
         state = state.withColumns({"open": F.col("edge").isNotNull(), "prefix": F.coalesce(F.col("edge.bucket"), F.col("prefix")), "under": F.coalesce(F.col("edge.sum"), F.col("under"))}).drop("edge")
         state = stored(state)
     below = F.when(F.col("open"), F.shiftleft("prefix", HASH_BITS - LEVELS * LEVEL_BITS)).otherwise(F.when(F.col("rest") > 0, F.lit(1 << HASH_BITS)).otherwise(0))
     state = state.withColumn("below", below.cast("long")).withColumn("gap", F.col("rest") - F.col("under"))
-    above = with_sources(sized, state.where("open and gap > 0").select("source", "below", "gap")).where("hash >= below and size > 0")
+    above = with_sources(sized, state.where("open and gap > 0").select("source", "below", "gap"), few).where("hash >= below and size > 0")
     groups = above.groupBy("source", "hash").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
     miss = F.abs(F.col("words") - F.col("gap"))
     best = groups.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "hash")).alias("best"))
-    return stored(with_sources(state, best.select("source", F.col("best.hash").alias("extra")), "left").select("source", "source_size", "target", "copies", "below", "extra"))
+    return stored(with_sources(state, best.select("source", F.col("best.hash").alias("extra")), few, "left").select("source", "source_size", "target", "copies", "below", "extra"))
 
 
 def planned(docs: DataFrame) -> DataFrame:
     """``docs`` with size, source_size, target and n_copies (how often the mix takes the row)."""
     sized = stored(docs.select(F.col("source").cast("string"), size_of(F.col("text")).alias("size"), F.col("doc_id")).select("source", "size", hash_of(F.col("doc_id"), F.col("size")).alias("hash")))
-    marks = thresholds(sized, stored(targets(sized)))
+    goals = stored(targets(sized))
+    few = goals.count() <= BROADCAST_SOURCES
+    marks = thresholds(sized, goals, few)
     names = {c: f"_mix_{c}" for c in ("source_size", "target", "copies", "below", "extra")}
     rows = docs.withColumn("_mix_size", size_of(F.col("text")))
-    rows = with_sources(rows.withColumn("_mix_hash", hash_of(F.col("doc_id"), F.col("_mix_size"))), marks.withColumnsRenamed(names))
+    rows = with_sources(rows.withColumn("_mix_hash", hash_of(F.col("doc_id"), F.col("_mix_size"))), marks.withColumnsRenamed(names), few)
     more = (F.col("_mix_hash") < F.col("_mix_below")) | F.coalesce(F.col("_mix_hash") == F.col("_mix_extra"), F.lit(False))
     return rows.withColumn("_mix_n", F.col("_mix_copies") + more.cast("long"))
 
