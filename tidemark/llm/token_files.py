@@ -57,18 +57,20 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST) -> tuple[np.n
     there[ids] = True
     alphabet = np.flatnonzero(there)
     seq = (np.cumsum(there, dtype=np.uint32) - np.uint32(1))[ids]
-    last = np.zeros(len(seq), bool)  # a document's last symbol
+    size = len(seq)
+    after, before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size, dtype=np.int32)  # places of the symbols that are left
+    last = np.zeros(size + 1, bool)
     last[np.cumsum(sizes) - 1] = True
-    live = ~last
-    rules = np.zeros(0, np.uint64)
-    while len(where := np.flatnonzero(live)):
-        place_bits, symbol_bits = len(seq).bit_length(), (len(alphabet) + len(rules)).bit_length()
-        pair = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
-        if place_bits + 2 * symbol_bits <= 64:  # pair and place in one number
-            key = (seq[where].astype(np.uint64) << np.uint64(symbol_bits) | seq[where + 1]) << np.uint64(place_bits) | where.astype(np.uint64)
+    gone, marked = np.zeros(size, bool), np.zeros(size, bool)
+    where, rules = np.flatnonzero(~last[:-1]), np.zeros(0, np.uint64)
+    place_bits = np.uint64(size.bit_length())
+    while len(where):
+        bits = np.uint64((len(alphabet) + len(rules)).bit_length())
+        pair = seq[where].astype(np.uint64) << bits | seq[after[where]]
+        if place_bits + 2 * bits <= 64:  # pair and place in one number
+            key = pair << place_bits | where.astype(np.uint64)
             key.sort()
-            where = (key & np.uint64((1 << place_bits) - 1)).astype(np.int64)
-            pair = seq[where].astype(np.uint64) << np.uint64(32) | seq[where + 1]
+            pair, where = key >> place_bits, (key & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
         else:
             order = np.argsort(pair, kind="stable")
             where, pair = where[order], pair[order]
@@ -81,39 +83,44 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST) -> tuple[np.n
         n = count[often]
         ends = np.cumsum(n)
         at = where[np.repeat(edge[often] - (ends - n), n) + np.arange(ends[-1])]
-        rank = np.full(len(seq) + 1, len(often), np.int32)  # also what stands before the first place
-        rank[at] = np.repeat(np.arange(len(often), dtype=np.int32), n)
-        at.sort()
-        own = rank[at]
-        first = (own <= rank[at + 1]) & (own <= rank[at - 1])
+        both = at << 23 | np.repeat(np.arange(len(often)), n)  # place and rank; fewer than 2^23 pairs can be frequent in a block
+        both.sort()
+        at, own = both >> 23, both & ((1 << 23) - 1)
+        near = after[at[:-1]] == at[1:]
+        first = np.ones(len(at), bool)
+        first[:-1] &= ~near | (own[:-1] <= own[1:])
+        first[1:] &= ~near | (own[1:] <= own[:-1])
         take, own = at[first], own[first]
-        run = np.append(True, np.diff(take) != 1)  # equal neighbours: every other one
-        start = take[np.maximum.accumulate(np.where(run, np.arange(len(take)), 0))]
-        even = (take - start) % 2 == 0
+        run = np.append(True, after[take[:-1]] != take[1:])  # of equal neighbours every other one
+        nth = np.arange(len(take))
+        even = (nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0
         take, own = take[even], own[even]
         useful = np.bincount(own, minlength=len(often)) >= least // 2
         useful[0] = True  # so each round shortens
         take, own = take[useful[own]], own[useful[own]]
         code = pair[edge[often]]
+        code = code >> bits << np.uint64(32) | code & ((np.uint64(1) << bits) - np.uint64(1))
         number, known = np.zeros(len(code), np.int64), np.zeros(len(code), bool)
         if len(rules):
             order = np.argsort(rules)
-            near = order[np.minimum(np.searchsorted(rules, code, sorter=order), len(rules) - 1)]
-            known = rules[near] == code
-            number[known] = near[known]
+            close = order[np.minimum(np.searchsorted(rules, code, sorter=order), len(rules) - 1)]
+            known = rules[close] == code
+            number[known] = close[known]
         new = useful & ~known
         number[new] = len(rules) + np.arange(new.sum())
         rules = np.append(rules, code[new])
-        live[:] = False
-        live[at] = live[take] = True
+        other = after[take]
         seq[take] = len(alphabet) + number[own]
-        last[take] = last[take + 1]
-        stay, fresh = np.ones(len(seq), bool), np.zeros(len(seq), bool)
-        stay[take + 1], fresh[take] = False, True
-        kept = np.flatnonzero(stay)
-        seq, last, live, fresh = seq[kept], last[kept], live[kept], fresh[kept]
-        live[:-1] |= fresh[1:]
-        live &= ~last
+        last[take], gone[other] = last[other], True
+        after[take] = after[other]
+        before[after[other]] = take
+        changed = before[take]
+        marked[at] = marked[changed[changed >= 0]] = True
+        marked[other] = False
+        where = np.flatnonzero(marked)
+        marked[where] = False
+        where = where[~last[where]]
+    seq, last = seq[~gone], last[:-1][~gone]
     return alphabet, seq, np.diff(np.flatnonzero(last) + 1, prepend=0), np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64)
 
 
