@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)([%KkMmBbTt]?)$"
+_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[%KkMmBbTt]?$"
+_SCALES = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
 
 
 def parse_number(c: Column) -> Column:
     """'4.50%' to 4.5, '150K' to 150000.0, the first part of '4.75|2.7'; NULL where there is no number."""
     first = F.trim(F.split_part(F.trim(c), F.lit("|"), F.lit(1)))
     plain = F.replace(first, F.lit(","), F.lit(""))
-    number = F.regexp_extract(plain, _NUMBER, 1).try_cast("double")
-    suffix = F.upper(F.regexp_extract(plain, _NUMBER, 2))
-    scale = F.when(suffix == "K", 1e3).when(suffix == "M", 1e6).when(suffix == "B", 1e9).when(suffix == "T", 1e12).otherwise(1.0)
-    return number * scale
+    scale = F.element_at(F.create_map(*(F.lit(x) for pair in _SCALES.items() for x in pair)), F.upper(F.right(plain, F.lit(1))))
+    return F.regexp_extract(plain, _NUMBER, 1).try_cast("double") * F.coalesce(scale, F.lit(1.0))
 
 
 def to_number(c: Column) -> Column:

@@ -55,7 +55,13 @@ def country_code(c: Column) -> Column:
 
 
 def country_from_name(c: Column) -> Column:
-    return F.coalesce(*(F.when(F.lower(c).rlike(rf"\b({words})\b"), code) for words, code in COUNTRY_WORDS))
+    """The code of the word that comes first in the list, among all the words found in one pass."""
+    words = [w for ws, _ in COUNTRY_WORDS for w in ws.split("|")]
+    rank = {w.replace("\\", ""): k for k, (ws, _) in enumerate(COUNTRY_WORDS) for w in ws.split("|")}
+    found = F.regexp_extract_all(F.lower(c), F.lit(rf"\b({'|'.join(words)})\b"), F.lit(1))
+    of = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
+    first = F.array_min(F.transform(found, lambda w: F.element_at(of, w)))
+    return F.when(F.size(found) > 0, F.get(F.array(*(F.lit(code) for _, code in COUNTRY_WORDS)), first))
 
 
 def _level(c: Column) -> Column:

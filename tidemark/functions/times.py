@@ -26,10 +26,10 @@ def clock_timestamp(date: Column, clock: Column) -> Column:
     """Date and h:mm[am|pm]; other clock text is midnight, a bad date or hour NULL."""
     day = F.when(date.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), date)
     text = F.lower(F.trim(F.coalesce(clock.cast("string"), F.lit(""))))
-    part = lambda k: F.regexp_extract(text, r"^(\d{1,2}):(\d{2})\s*(am|pm)?", k)
-    hour = F.coalesce(part(1).try_cast("int"), F.lit(0))
-    hour = F.when((part(3) == "pm") & (hour != 12), hour + 12).when((part(3) == "am") & (hour == 12), 0).otherwise(hour)
-    minute = F.coalesce(part(2).try_cast("int"), F.lit(0))
+    shown = F.regexp_extract(text, r"^\d{1,2}:\d{2}(?:\s*[ap]m)?", 0)
+    hour = F.coalesce(F.split_part(shown, F.lit(":"), F.lit(1)).try_cast("int"), F.lit(0))
+    hour = F.when(shown.endswith("pm") & (hour != 12), hour + 12).when(shown.endswith("am") & (hour == 12), 0).otherwise(hour)
+    minute = F.coalesce(F.substring(F.split_part(shown, F.lit(":"), F.lit(2)), 1, 2).try_cast("int"), F.lit(0))
     ymd = [F.split_part(day, F.lit("-"), F.lit(k)).try_cast("int") for k in (1, 2, 3)]
     return F.try_make_timestamp(*ymd, hour, minute, F.lit(0))
 

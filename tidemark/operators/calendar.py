@@ -26,7 +26,7 @@ def events(raw: DataFrame, order: list[str]) -> DataFrame:
         **{c: parse_number(text(c)) for c in ("actual", "forecast", "previous")},
         "source": F.coalesce(text("source"), F.lit("unknown")),
     })
-    return completed(deduplicated(out, ["event_id"], order), EVENTS)
+    return completed(deduplicated(out.select(*EVENTS.columns, *order), ["event_id"], order), EVENTS)  # no raw text goes along
 
 
 def row_errors(raw: DataFrame, row: str) -> DataFrame:

@@ -22,7 +22,7 @@ def series(df: DataFrame, order: list[str]) -> DataFrame:
     for c in ("series_id", "source", "frequency", "units"):
         out = out.withColumn(c, F.col(c).cast("string"))
     out = out.where("value is not null and timestamp_utc is not null")
-    return completed(deduplicated(out, list(MACRO.key), order), MACRO)
+    return completed(deduplicated(out.select(*MACRO.columns, *order), list(MACRO.key), order), MACRO)
 
 
 def policy_rates(df: DataFrame, order: list[str]) -> DataFrame:
@@ -34,7 +34,8 @@ def policy_rates(df: DataFrame, order: list[str]) -> DataFrame:
         out = out.join(F.broadcast(each), F.col("code") == F.col("_code"))  # a row per code of a fixed list
         first = F.col("_first.frequency")
     out = out.withColumns({"frequency": first, "units": F.lit("Percent"), "timestamp_utc": F.try_to_timestamp(F.col("date").cast("string")), "value": to_number(F.col("value").cast("string"))})
-    return completed(deduplicated(out.where("value is not null and timestamp_utc is not null"), list(MACRO.key), order, keep="last"), MACRO)
+    out = out.where("value is not null and timestamp_utc is not null").select(*MACRO.columns, *order)
+    return completed(deduplicated(out, list(MACRO.key), order, keep="last"), MACRO)
 
 
 def with_metadata(observations: DataFrame, metadata: DataFrame) -> DataFrame:

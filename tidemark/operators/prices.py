@@ -22,8 +22,7 @@ def mapped(df: DataFrame, column: str, values: dict[str, str], name: str) -> Dat
 def epoch_bars(df: DataFrame, order: list[str]) -> DataFrame:
     """Bars with epoch seconds -> the contract's columns, first of equal (time, pair, timeframe)."""
     out = df.withColumn("timestamp_utc", F.timestamp_seconds("time")).withColumnRenamed("tick_volume", "volume")
-    out = out.drop("time", "spread", "real_volume")
-    return completed(deduplicated(out, list(OHLCV.key), order), OHLCV)
+    return completed(deduplicated(out.select(*OHLCV.columns, *order), list(OHLCV.key), order), OHLCV)
 
 
 def synthetic_bars(rates: DataFrame, order: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
