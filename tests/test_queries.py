@@ -58,3 +58,13 @@ def test_entry_works_without_the_training_data_folder(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(n.startswith('op1') for n in q); print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_entry_works_without_a_library_that_only_training_data_needs():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'synthetic_bars' in q and set(e.oracle_sql()) <= set(q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr

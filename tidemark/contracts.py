@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Contract:
-    """A table's columns with their types, the key, and the columns that may not be null."""
+    """A table's columns with their types, the key, the columns that may not be null, and the text columns that may not be blank."""
 
     columns: dict[str, str]
     key: tuple[str, ...]
@@ -18,6 +18,7 @@ class Contract:
     domains: dict[str, tuple[str, ...]] = field(default_factory=dict)
     ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
     widths: dict[str, int] = field(default_factory=dict)
+    filled: tuple[str, ...] = ()
 
 
 OHLCV = Contract(
@@ -29,6 +30,7 @@ MACRO = Contract(
     {"timestamp_utc": "timestamp", "series_id": "string", "value": "double", "source": "string", "frequency": "string", "units": "string"},
     ("timestamp_utc", "series_id"),
     ("timestamp_utc", "series_id", "value", "source", "frequency", "units"),
+    filled=("series_id", "source", "frequency", "units"),
 )
 EVENTS = Contract(
     {"timestamp_utc": "timestamp", "event_id": "string", "country": "string", "event_name": "string", "impact": "string", "actual": "double", "forecast": "double", "previous": "double", "source": "string"},

@@ -25,16 +25,24 @@ def contract_rules(contract: Contract) -> dict[str, Column]:
     rules |= {f"domain_{c}": ~F.col(c).isin(*values) for c, values in contract.domains.items()}
     rules |= {f"range_{c}": ~F.col(c).between(*ends) for c, ends in contract.ranges.items()}
     rules |= {f"width_{c}": F.length(c) > n for c, n in contract.widths.items()}
+    rules |= {f"blank_{c}": F.trim(c) == "" for c in contract.filled}
     return rules
 
 
+def iso_rules(df: DataFrame, contract: Contract) -> dict[str, Column]:
+    """Times that ``df`` holds as text must be whole ISO times in UTC."""
+    text = [c for c, t in df.dtypes if t == "string" and contract.columns.get(c) == "timestamp"]
+    good = lambda c: F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|\+00:00)$") & F.try_to_timestamp(F.col(c)).isNotNull()
+    return {f"iso_{c}": F.col(c).isNotNull() & ~good(c) for c in text}
+
+
 def checked(df: DataFrame, contract: Contract, more: dict[str, Column] | None = None, count_all: bool = True, exact: bool = False) -> DataFrame:
     """The contract's report; missing (and, if ``exact``, extra) columns raise."""
     lack = [c for c in contract.columns if c not in df.columns]
     extra = [c for c in df.columns if c not in contract.columns] if exact else []
     if lack or extra:
         raise ValueError(f"missing columns {lack}, extra columns {extra}")
-    return report(df, contract_rules(contract) | (more or {}), contract.key, count_all)
+    return report(df, contract_rules(contract) | iso_rules(df, contract) | (more or {}), contract.key, count_all)
 
 
 def enforce(found: DataFrame, warnings: tuple[str, ...] = ()) -> bool:

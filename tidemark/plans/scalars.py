@@ -169,3 +169,26 @@ def url_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 4
     url = F.when(k == 0, F.concat(F.lit("/press/key/date/2000/html/ecb.sp"), six, F.lit("~ab"), F.col("url"))).when(k == 1, F.concat(F.lit("/date/2026/ecb.x261399~"), F.col("url"))).when(k == 2, F.concat(F.lit("/x/ecb.pr98"), F.lpad((F.col("page_id") % 100).cast("string"), 2, "0"), F.lit("05~z"), F.col("url"))).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", F.date_format(times.url_date(url), "yyyy-MM-dd").alias("day"))
+
+
+@query("domain_tiers", """
+WITH h AS (SELECT page_id, lower(['', 'www.reuters.com', 'news.FT.com', 'notft.com', 'cnbc.com', 'wsj.com.example'][page_id % 6 + 1]) AS pick, lower(regexp_extract(coalesce(url, ''), '^https?://([^/?#]+)', 1)) AS host FROM pages),
+d AS (SELECT page_id, CASE WHEN pick = '' THEN host ELSE pick END AS d FROM h)
+SELECT page_id, CASE WHEN regexp_matches(d, '(^|\\.)(reuters|bloomberg|ft)\\.com$') THEN 1 WHEN regexp_matches(d, '(^|\\.)(wsj|cnbc)\\.com$') THEN 2 ELSE 3 END AS tier FROM d""")
+def domain_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^https?://([^/?#]+)", 1)
+    domain = F.coalesce(_pick("page_id", None, "www.reuters.com", "news.FT.com", "notft.com", "cnbc.com", "wsj.com.example"), host)
+    return table(spark, sf_dir, "pages").select("page_id", text.credibility_tier(domain, "domain").alias("tier"))
+
+
+@query("theme_lists", """
+SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, ';'), lambda x: trim(x)) END AS items FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE replace(coalesce(text, ''), ' ', ' ;') END AS t FROM documents)""")
+def theme_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(" ;")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.split_list(joined).alias("items"))
+
+
+@query("short_header_dates", "SELECT o_orderkey, strftime(make_date(2024, month(o_orderdate), day(o_orderdate)), '%Y-%m-%d') AS day FROM orders")
+def short_header_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.concat(F.lit(" "), F.date_format("o_orderdate", "MMM d"), F.lit(" "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(times.header_date(shown, 2024), "yyyy-MM-dd").alias("day"))

@@ -179,3 +179,13 @@ def calendar_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "customer").select("c_custkey", start.alias("start"), F.date_add(start, more).alias("end"))
     found = store.calendar_views(requests, "start", "end")
     return found.select("c_custkey", "view", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), times.week_key(F.col("first_day")).alias("week"))
+
+
+@query("quality_macro_text", """
+SELECT 'iso_timestamp_utc' AS rule, count(*) AS violations FROM orders WHERE o_orderkey % 13 = 0 HAVING count(*) > 0 UNION ALL SELECT 'blank_units', count(*) FROM orders WHERE o_orderkey % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'unique_key', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY CASE WHEN o_orderkey % 13 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END, o_custkey) HAVING sum(n - 1) > 0""")
+def quality_macro_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    stamp = F.when(F.col("o_orderkey") % 13 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(iso(F.col("o_orderdate").cast("timestamp")))
+    m = o.select(stamp.alias("timestamp_utc"), F.col("o_custkey").cast("string").alias("series_id"), F.col("o_totalprice").alias("value"), F.lit("fred").alias("source"), F.lit("M").alias("frequency"), F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise("N/A").alias("units"))
+    return quality.checked(m, MACRO, count_all=False, exact=True).where("violations > 0")
