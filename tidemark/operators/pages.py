@@ -171,10 +171,11 @@ def article_links(pages: DataFrame, key: str, html: str, base: str, sections: tu
 
 def inner_text(html: Column) -> Column:
     """Text nodes, each stripped, strung together; the common entities resolved."""
-    bare = F.trim(F.regexp_replace(html, r"\s*(?:<!--.*?-->|<[^>]*>)\s*", ""))
+    bare = F.btrim(F.regexp_replace(html, r"\s*<(?:!--.*?--|[^>]*)>\s*", ""), F.lit(" \t\n\r\x0b\x0c"))
+    full = bare
     for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
-        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(sign))
-    return F.regexp_replace(bare, r"^\s+|\s+$", "")
+        full = F.replace(full, F.lit(f"&{name};"), F.lit(sign))
+    return F.when(html.contains("&"), full).otherwise(bare)
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -207,11 +208,15 @@ def link_statistics(found: DataFrame, section: str, day: str) -> DataFrame:
 
 
 def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, position, class, cells (text of each td) and tds (each td as it stands) of all table rows."""
-    rows = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))).alias("position", "_tr"))
-    tds = F.regexp_extract_all("_tr", F.lit(r"(?is)<td\b[^>]*>.*?</td>"), F.lit(0))
-    rows = rows.select(key, "position", _attribute(F.col("_tr"), "class").alias("class"), "_tr", tds.alias("tds"))
-    return rows.withColumn("cells", F.transform("tds", inner_text))
+    """key, position, class, row (the tr as it stands), tds (each td as it stands) and cells (their text) of all table rows."""
+
+    def parts(tr: Column) -> Column:
+        tds = F.regexp_extract_all(tr, F.lit(r"(?is)<td\b[^>]*>.*?</td>"), F.lit(0))
+        return F.struct(_attribute(tr, "class").alias("class"), tr.alias("row"), tds.alias("tds"), F.transform(tds, inner_text).alias("cells"))
+
+    # made before the rows are dealt out, so that each is taken apart once
+    trs = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))
+    return pages.select(key, F.posexplode(F.transform(trs, parts)).alias("position", "_r")).select(key, "position", "_r.*")
 
 
 _CALENDAR = [r"(?is)<table\b[^>]*?\bclass\s*=\s*[\"'][^\"']*calendar__table.*?</table>", r"(?is)<table\b[^>]*?\bid\s*=\s*[\"']calendar_table[\"'].*?</table>", r"(?is)<table\b[^>]*?\bclass\s*=\s*[\"'][^\"']*calendar.*?</table>"]
@@ -229,7 +234,7 @@ def calendar_rows(pages: DataFrame, key: str, html: str, base: str, year: int) -
     whole = pages.select(key, F.coalesce(*(blank_to_null(F.regexp_extract(html, p, 0)) for p in _CALENDAR), F.col(html)).alias(html))
     rows = table_rows(whole, key, html)
     dated = F.lower("class").rlike(r"date|day-breaker|day_breaker")
-    span = F.coalesce(*(blank_to_null(F.regexp_extract("_tr", p, 1)) for p in (r"(?is)<span\b[^>]*?\bclass\s*=\s*[\"'][^\"']*date[^\"']*[\"'][^>]*>(.*?)</span>", r"(?is)<span\b[^>]*>(.*?)</span>")))
+    span = F.coalesce(*(blank_to_null(F.regexp_extract("row", p, 1)) for p in (r"(?is)<span\b[^>]*?\bclass\s*=\s*[\"'][^\"']*date[^\"']*[\"'][^>]*>(.*?)</span>", r"(?is)<span\b[^>]*>(.*?)</span>")))
     w = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("day", F.last(F.when(dated, header_date(inner_text(span), year)), ignorenulls=True).over(w))
     named = F.exists(F.split(F.lower("class"), r"\s+"), lambda c: c.contains("calendar") & c.contains("row"))

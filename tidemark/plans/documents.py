@@ -10,6 +10,7 @@ from tidemark.functions.times import iso
 from tidemark.operators import dedup, news, pages, quality, scoring
 from tidemark.plans.base import query
 from tidemark.plans.common import table
+from tidemark.session import spread
 
 
 def _pick(key: str, *values: str | None) -> Column:
@@ -176,7 +177,7 @@ c AS (SELECT doc_id, len(list_filter(words, lambda x: x IN ('growth', 'gain', 'g
 SELECT doc_id, CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label,
        CASE WHEN good > bad THEN round(good / (good + bad)::DOUBLE, 4) WHEN bad > good THEN -round(bad / (good + bad)::DOUBLE, 4) ELSE 0.0 END AS sentiment_score FROM c""")
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "sentiment_label", "sentiment_score")
+    return scoring.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", "sentiment_label", "sentiment_score")
 
 
 @query("document_rows", """

@@ -86,7 +86,8 @@ def _calendar_pages(o: DataFrame) -> DataFrame:
         F.lit('<tr data-id="1" class="calendar__row calendar_row">'), opens, F.lit("<td>8:30am</td><td>USD</td>"), impact, F.lit("<td> <span>"), F.col("o_orderpriority"), F.lit("</span> </td><td>sub</td>"), detail,
         F.lit("<td>"), actual, F.lit("</td><td>n/a</td><td></td><td>graph</td></tr>"),
     )
-    head = F.lit('<p>x</p><table class="calendar__table"><tr class="calendar__row calendar__header--head"><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td><td>6</td><td>7</td><td>8</td></tr>')
+    titles = '<tr class="calendar__row calendar__header--head"><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td><td>6</td><td>7</td><td>8</td></tr>'
+    head = F.concat(F.lit('<p>x</p><table class="calendar__table">'), F.when(F.col("_part") == 0, titles).otherwise(""))
     day = F.concat(F.lit('<tr class="calendar__row calendar__row--day-breaker"><td colspan="11"><span class="date">'), F.date_format("_first", "EEEE, MMMM dd, yyyy"), F.lit("</span></td></tr>"))
     first = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("_first"))
     part = o.groupBy("o_custkey", F.floor(F.col("o_orderkey") / PAGE_KEYS).alias("_part")).agg(F.array_join(F.collect_list(tr), "\n").alias("_trs"))

@@ -9,6 +9,7 @@ from tidemark.functions import ids, numbers, text, times
 from tidemark.functions.times import iso
 from tidemark.plans.base import query
 from tidemark.plans.common import table, text_time
+from tidemark.session import spread
 
 
 def _pick(key: str, *values: str | None):
@@ -21,7 +22,7 @@ SELECT l_orderkey, l_linenumber, CASE l_linenumber % 8 WHEN 0 THEN l_quantity *
 def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 8
     shown = F.when(k == 0, F.concat(q, F.lit("K"))).when(k == 1, F.concat(F.lit(" "), q, F.lit("m"))).when(k == 2, F.concat(q, F.lit(".0B"))).when(k == 3, F.concat(q, F.lit("T"))).when(k == 4, F.concat(q, F.lit("%"))).when(k == 5, F.concat(q, F.lit("|2.7"))).when(k == 6, F.lit("N/A")).otherwise(F.concat(F.lit("-1,"), F.lpad(q, 3, "0")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.parse_number(shown).alias("number"))
+    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", numbers.parse_number(shown).alias("number"))
 
 
 @query("parse_clock", """
@@ -58,7 +59,7 @@ def url_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, sha256(trim(regexp_replace(replace(chr(160) || coalesce(text, '') || chr(8203) || '  x', chr(8203), ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS text_hash FROM documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(F.lit("\xa0"), F.coalesce("text", F.lit("")), F.lit("\u200b  x"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clean_text(shown), 256).alias("text_hash"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(text.clean_text(shown), 256).alias("text_hash"))
 
 
 @query("sentiment_sign", """

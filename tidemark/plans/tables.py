@@ -10,6 +10,7 @@ from tidemark.functions.times import iso
 from tidemark.operators import calendar, dedup, macro, prices
 from tidemark.plans.base import query
 from tidemark.plans.common import table
+from tidemark.session import spread
 
 BAR = ["pair", "timeframe", "open", "high", "low", "close", "volume", "source"]
 CODES = {"signup": "USD", "error": "GBP", "click": "JPY", "view": "CHF"}
@@ -122,7 +123,7 @@ def ffill_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(table(spark, sf_dir, "orders")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     word = F.element_at(F.array(*(F.lit(w) for w in ("German CPI m/m", "UK GDP q/q", "Trade Balance", "French PMI", "US Retail Sales"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     impact = F.element_at(F.array(*(F.lit(w) for w in ("High", "Medium", "Low", ""))), (F.col("o_orderkey") % 4 + 1).cast("int"))
