@@ -235,19 +235,22 @@ def calendar_rows(pages: DataFrame, key: str, html: str, base: str, year: int) -
     rows = table_rows(whole, key, html)
     dated = F.lower("class").rlike(r"date|day-breaker|day_breaker")
     span = F.coalesce(*(blank_to_null(F.regexp_extract("row", p, 1)) for p in (r"(?is)<span\b[^>]*?\bclass\s*=\s*[\"'][^\"']*date[^\"']*[\"'][^>]*>(.*?)</span>", r"(?is)<span\b[^>]*>(.*?)</span>")))
-    w = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("day", F.last(F.when(dated, header_date(inner_text(span), year)), ignorenulls=True).over(w))
     named = F.exists(F.split(F.lower("class"), r"\s+"), lambda c: c.contains("calendar") & c.contains("row"))
-    rows = rows.where(~dated & named & ~F.lower("class").contains("head") & (F.size("cells") >= 8) & F.col("day").isNotNull())
+    event = ~dated & named & ~F.lower("class").contains("head") & (F.size("cells") >= 8)
     at = lambda c, k: F.coalesce(F.get(c, F.when(F.size("cells") >= 11, _PLACES[True][k]).otherwise(_PLACES[False][k])), F.lit(""))
     icon = F.regexp_extract(at("tds", 2), r"(?is)<(?:span|i|div)\b[^>]*>", 0)
     link = F.regexp_extract(at("tds", 4), r"(?is)<a\b[^>]*>", 0)
-    out = rows.select(
-        key, "position", "day", blank_to_null(at("cells", 0)).alias("time"), blank_to_null(at("cells", 1)).alias("currency"),
-        impact_level(_attribute(at("tds", 2), "class"), _attribute(icon, "title"), at("cells", 2)).alias("impact"), at("cells", 3).alias("event"),
-        absolute_url(blank_to_null(inner_text(_attribute(link, "href"))), base).alias("event_url"), *(clean_value(at("cells", k)).alias(n) for k, n in ((5, "actual"), (6, "forecast"), (7, "previous"))),
-    )
-    return out.where("event <> ''")
+    fields = {
+        "time": blank_to_null(at("cells", 0)), "currency": blank_to_null(at("cells", 1)),
+        "impact": impact_level(_attribute(at("tds", 2), "class"), _attribute(icon, "title"), at("cells", 2)), "event": at("cells", 3),
+        "event_url": absolute_url(blank_to_null(inner_text(_attribute(link, "href"))), base), **{n: clean_value(at("cells", k)) for k, n in ((5, "actual"), (6, "forecast"), (7, "previous"))},
+    }
+    # only days and finished events are carried through the window
+    day = F.when(dated, header_date(inner_text(span), year))
+    rows = rows.where(dated | event).select(key, "position", day.alias("day"), F.when(event, F.struct(*(c.alias(n) for n, c in fields.items()))).alias("_event"))
+    w = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("day", F.last("day", ignorenulls=True).over(w))
+    return rows.where(F.col("day").isNotNull() & (F.col("_event.event") != "")).select(key, "position", "day", "_event.*")
 
 
 _ROW = _classed("div", "row")
