@@ -191,9 +191,9 @@ class Units:
 
 
 class UnitIds(Units):
-    """Ids by the library: new units are strung together, a few hundred to a call, and told apart by their bytes."""
+    """Ids by the library: new units are strung together by the few hundred, so many strings to a call, and told apart by their bytes."""
 
-    TOGETHER = 300
+    TOGETHER, CALLS = 300, 50
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
@@ -210,9 +210,12 @@ class UnitIds(Units):
         alone[1:] |= ends_white(data, edges[1:-1])
         alone[:: self.TOGETHER] = True
         cuts = np.append(edges[:-1][alone], edges[-1]).tolist()
-        raw = data.tobytes()
-        found = self.vocabulary.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
-        ids = np.concatenate([np.array(f.ids, self.kind) for f in found])
+        parts, raw = [], data.tobytes()
+        for low in range(0, len(cuts) - 1, self.CALLS):  # what the library holds for each token is freed on the way
+            own = cuts[low : low + self.CALLS + 1]
+            found = self.vocabulary.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(own, own[1:], strict=False)], add_special_tokens=False)
+            parts += [np.array(f.ids, self.kind) for f in found]
+        ids = np.concatenate(parts)
         ends = np.cumsum(self.width[ids])
         last = np.searchsorted(ends, edges[1:])
         if last[-1] != len(ids) - 1 or (ends[last] != edges[1:]).any():
@@ -424,7 +427,14 @@ class UnitCounts(Units):
     def alone(self, unit: str) -> bytes:
         return np.diff(np.array(self.counts(unit), np.int32), prepend=0).astype("<i2").tobytes()
 
+    #: Units taken apart at once; bounds what Python holds.
+    TOGETHER = 50_000
+
     def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.learn_some(units.slice(low, self.TOGETHER)) for low in range(0, len(units), self.TOGETHER)]
+        return np.concatenate([n for n, _ in each]), np.concatenate([flat for _, flat in each])
+
+    def learn_some(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = [UNIT.findall(u) for u in units.cast(pa.string()).to_pylist()]
         known: dict[str, bytes] = {}
         plain, words = {}, set()
