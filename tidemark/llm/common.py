@@ -50,7 +50,10 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the strings of ``column`` take about ``most`` bytes; a longer row stands alone."""
+    """Cut record batches so that the strings of ``column`` take about ``most`` bytes; a longer row stands alone.
+
+    At the end Arrow gives freed memory back.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,3 +64,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
         for low, high in zip(cuts, cuts[1:], strict=False):
             if high > low:
                 yield batch.slice(low, high - low)
+    pa.default_memory_pool().release_unused()  # workers live on, and the next task may be another operator's
