@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, licenses, mixing, pii, quality, simhash, token_counts, token_files, toxicity, warc
+from tidemark.llm import decontaminate, licenses, merkle, mixing, pii, prefix_trie, quality, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.OP3_SQL,
     "op7_warc_fixity": warc.OP7_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
