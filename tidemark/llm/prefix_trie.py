@@ -246,7 +246,8 @@ def trie(conversations: DataFrame, width: int = STRETCH) -> DataFrame:
     if not starts.isEmpty():
         parts = stored(parts)
         parts = parts.unionByName(carried(parts, starts, width))
-    sums = subtree_sums(parts).where((F.col("stretch") == 0) | (F.col("depth") > F.col("stretch") * width))
+    inside = (F.col("stretch") == 0) | (F.col("depth") > F.col("stretch") * width)  # sums below a later stretch's start have been carried
+    sums = subtree_sums(parts).withColumns({c: F.when(inside, F.col(c)).otherwise(0) for c in ("n_leaves", "saved")})
     sums = sums.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("n_children", "n_leaves", "saved")))
     parents = whole.select((F.col("depth") + 1).alias("depth"), F.col("a").alias("up_a"), F.col("b").alias("up_b"), F.col("conv_id").alias("parent_conv_id"))
     out = whole.join(sums, KEY).join(end_hashes(local), KEY, "left").join(parents, ["depth", "up_a", "up_b"], "left")
