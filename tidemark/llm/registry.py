@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, licenses, merkle, mixing, pii, prefix_trie, quality, simhash, token_counts, token_files, toxicity, warc
+from tidemark.llm import decontaminate, licenses, lm_scores, merkle, mixing, pii, prefix_trie, quality, simhash, token_counts, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_pii": pii.op10_pii,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_lm_scores": lm_scores.op12_lm_scores,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
