@@ -126,12 +126,74 @@ def test_headers_are_checked(spark, tmp_path, name, scan):
         scan(spark, str(tmp_path))
 
 
-def test_files_of_unlike_headers_are_an_error(spark, tmp_path):
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
     head = ["date", "value", "series_id", "frequency", "units", "source"]
-    write(tmp_path / "fred_a.csv", [",".join(head), "2024-01-01,1,S,D,P,fred"])
-    write(tmp_path / "fred_b.csv", [",".join(head[::-1]), "fred,P,D,S,1,2024-01-01"])
-    with pytest.raises(Exception, match="(?i)header"):
-        files.series(spark, str(tmp_path)).collect()
+    write(tmp_path / "fred_a.csv", [",".join(head), "2024-01-01,1,S,D,P,fred", "2024-01-02,2,S,D", "2024-01-03,3,S,D,P,fred,more"])
+    write(tmp_path / "fred_b.csv", [",".join([*head[::-1], "note"]), "fred,P,D,S,2,2024-01-04,n"])
+    write(tmp_path / "fred_c.csv", ["date,other", "2024-01-05,1"])
+    (tmp_path / "fred_d.csv").write_text("")
+    found = files.series_scan(spark, str(tmp_path))
+    assert sorted((r.date, r.value, r.source) for r in files.series(spark, str(tmp_path)).collect()) == [("2024-01-01", "1", "fred"), ("2024-01-04", "2", "fred")]
+    assert found.rows.count() == 2 and found.rows.select("note").where("note is not null").count() == 1
+    faults = sorted((r.file.rsplit("/", 1)[1], r.line, r.reason) for r in found.faults.collect())
+    assert faults == [("fred_a.csv", "2024-01-02,2,S,D", "not 6 fields, the first is 2024-01-02"), ("fred_a.csv", "2024-01-03,3,S,D,P,fred,more", "not 6 fields, the first is 2024-01-03"), ("fred_c.csv", None, "missing columns: frequency, series_id, source, units, value")]
+
+
+def test_what_no_scan_can_read_is_set_aside(spark, tmp_path):
+    write(tmp_path / "news" / "fed" / "a.jsonl", ['{"source":"fed","title":"T","url":"u"}', "", "{broken", '{"title":"x","metadata":7}', "[]"])
+    write(tmp_path / "bars" / "mt5_EURUSD_H1_1.csv", ["time,open,high,low,close,tick_volume,spread,real_volume,source", "1609459200,1,2,0.5,1.5,10,1,0,mt5", "soon,1,2,0.5,1.5,10,1,0,mt5"])
+    (tmp_path / "bars" / "mt5_EURUSD_H4_1.csv").write_bytes(b"")
+    write(tmp_path / "bars" / "mt5_GBPUSD_H1_1.csv", ["time,open,source", "1609459200,1,mt5"])
+    write(tmp_path / "rates" / "other.csv", ["a", "1"])
+    roots = {"fed_documents": f"{tmp_path}/news", "mt5": f"{tmp_path}/bars", "fred": f"{tmp_path}/none", "ecb_exchange_rates": f"{tmp_path}/rates", "unknown": "x"}
+    rows = files.routed(spark, roots)
+    assert sorted((r.source, r.title, r.close) for r in rows.select("source", "title", "close").collect()) == [("fed", "T", None), ("mt5", None, 1.5)]
+    aside = sorted((r.source, r.file.rsplit("/", 1)[-1], r.line, r.reason) for r in files.quarantine(spark, roots).collect())
+    assert aside == [
+        ("ecb_exchange_rates", "rates", None, "no file of the source"),
+        ("fed_documents", "a.jsonl", "[]", "no JSON of the schema"),
+        ("fed_documents", "a.jsonl", '{"title":"x","metadata":7}', "JSON with a value of another kind"),
+        ("fed_documents", "a.jsonl", "{broken", "no JSON of the schema"),
+        ("fred", "none", None, "no such folder"),
+        ("mt5", "mt5_EURUSD_H1_1.csv", "soon,1,2,0.5,1.5,10,1,0", "no number: time"),
+        ("mt5", "mt5_GBPUSD_H1_1.csv", None, "missing columns: close, high, low, tick_volume"),
+        ("unknown", "x", None, "unknown source"),
+    ]
+    with pytest.raises(ValueError, match="no known source"):
+        files.routed(spark, {"fred": f"{tmp_path}/none"})
+    assert files.routed(spark, {"fred": f"{tmp_path}/none"}, strict=False) is None
+
+
+def test_blank_times_are_filled_over_the_splits_of_a_file(spark, tmp_path):
+    """One file in many splits: nothing is sorted as a whole, and fills reach over splits without any time."""
+    times_ = ["" if k < 3 or k % 7 or 400 < k < 900 else f"{k % 12 + 1}:{k % 60:02d}am" for k in range(2_000)]
+    write(tmp_path / "forexfactory_1.csv", ["date,time,currency,event,impact,actual,forecast,previous", *(f"2024-01-02,{t},USD,event {k},High,1,2,3" for k, t in enumerate(times_))])
+    write(tmp_path / "forexfactory_2.csv", ["date,time,currency,event,impact,actual,forecast,previous", "2024-01-02,,USD,event 0,High,1,2,3"])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096"), spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = files.calendar(spark, str(tmp_path))
+        assert rows.select("_file", "_block").distinct().count() > 15
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and all("_block" in line for line in plan.splitlines() if "Window [last(" in line)
+        found = {(r._file.endswith("1.csv"), int(r.event.split()[1])): r.time for r in rows.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    last, want = None, {(False, 0): None}
+    for k, t in enumerate(times_):
+        last = t or last
+        want[True, k] = last
+    assert found == want
+    events = plugins.SOURCES["calendar"].preprocess(spark, str(tmp_path))
+    assert {str(r.timestamp_utc) for r in events.where("event_name = 'event 899'").collect()} == {"2024-01-02 04:39:00"}
+
+
+def test_documents_are_filtered_before_one_of_a_url_is_chosen(spark, tmp_path):
+    line = '{{"source":"fed","title":"T{0}","url":"u","timestamp_published":"2024-01-0{0}T00:00:00Z"}}'
+    write(tmp_path / "a.jsonl", [line.format(k) for k in (1, 2, 3)])
+    rows = plugins.SOURCES["documents"].preprocess(spark, str(tmp_path), "2024-01-02", "2024-01-03")
+    assert [r.headline for r in rows.collect()] == ["T2"]
 
 
 def test_a_source_of_ones_own(spark, tmp_path):
@@ -174,7 +236,7 @@ def test_week_keys_and_clock_changes(spark):
     days = spark.createDataFrame([("2024-12-30",), ("2021-01-03",)], "d string").select(times.week_key(F.to_date("d")).alias("w"))
     assert [r.w for r in days.collect()] == ["2025-W01", "2020-W53"]
     local = spark.createDataFrame([("2024-03-10 02:30:00",), ("2024-07-01 12:00:00",), ("2024-11-03 01:30:00",)], "t string").select(times.iso(times.to_utc(F.to_timestamp("t"))).alias("u"))
-    assert [r.u for r in local.collect()][1] == "2024-07-01T16:00:00Z" and all(r.u for r in local.collect())
+    assert [r.u for r in local.collect()] == ["2024-03-10T07:30:00Z", "2024-07-01T16:00:00Z", "2024-11-03T06:30:00Z"]
 
 
 def test_documents_and_exports(spark, tmp_path):

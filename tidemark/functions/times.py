@@ -35,7 +35,10 @@ def clock_timestamp(date: Column, clock: Column) -> Column:
 
 
 def to_utc(c: Column, zone: str = "US/Eastern") -> Column:
-    return F.to_utc_timestamp(c, zone)
+    """Local time to UTC; an hour that a change of clocks repeats is taken as standard time, its later passing."""
+    first = F.to_utc_timestamp(c, zone)
+    again = [first + F.make_dt_interval(mins=F.lit(m)) for m in (60, 30)]  # by so much clocks go back
+    return F.coalesce(*(F.when(F.from_utc_timestamp(t, zone) == c, t) for t in again), first)
 
 
 def is_trading_time(c: Column) -> Column:

@@ -15,12 +15,20 @@ from tidemark.operators.dedup import deduplicated
 ECONOMY, CURRENCIES = ("ECON_CURRENCY", "ECON_CENTRAL_BANK"), ("EUR", "USD", "GBP", "JPY")
 
 
+def shown_time() -> Column:
+    """The time that a landed document gives: when it was published, else when it was collected."""
+    return F.coalesce(*(blank_to_null(F.col(c).cast("string")) for c in ("timestamp_published", "timestamp_collected")))
+
+
+def published() -> Column:
+    return F.try_to_timestamp(shown_time())
+
+
 def articles(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(articles, rejected rows): documents with title, source and a time -> article rows, before scoring."""
     text = lambda c: blank_to_null(F.col(c).cast("string"))
-    when = F.coalesce(text("timestamp_published"), text("timestamp_collected"))
-    good = text("title").isNotNull() & text("source").isNotNull() & when.isNotNull()
-    stamp = F.try_to_timestamp(when)
+    good = text("title").isNotNull() & text("source").isNotNull() & shown_time().isNotNull()
+    stamp = published()
     source = F.lower(text("source"))
     out = docs.where(good).select(
         stamp.alias("timestamp_utc"),

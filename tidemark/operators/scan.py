@@ -57,10 +57,9 @@ def forward_filled(df: DataFrame, column: str, group: list[str], segment: list[s
     """
     value = F.when(F.col(column).cast("string") != "", F.col(column))
     place = F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"_o{k}") for k, o in enumerate(order)))
-    last = df.where(value.isNotNull()).groupBy(*group, *segment).agg(F.max_by(value, place).alias("_last"))
-    ends = df.select(*group, *segment).distinct()
+    ends = df.groupBy(*group, *segment).agg(F.max_by(value, F.when(value.isNotNull(), place)).alias("_last"))
     over = Window.partitionBy(*group).orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1)
-    carried = joined(ends, last, [*group, *segment], "left").withColumn("_carried", F.last("_last", ignorenulls=True).over(over)).drop("_last")
+    carried = ends.withColumn("_carried", F.last("_last", ignorenulls=True).over(over)).drop("_last")
     inside = Window.partitionBy(*group, *segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = df.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
     filled = joined(own, carried, [*group, *segment], "left")

@@ -172,15 +172,43 @@ def series_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("calendar_source", f"WITH {tables.CALENDAR} SELECT country, impact, count(*) AS n FROM silver GROUP BY 1, 2")
+#: Times are blank for every third order and take that of the order before them in their file.
+FILLED = tables.CALENDAR.replace("raw AS (", "landed AS (", 1).replace("ev AS (", """raw AS (
+  SELECT * REPLACE (last_value(CASE WHEN o_orderkey % 3 <> 1 THEN h END IGNORE NULLS) OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS h) FROM landed),
+ev AS (""", 1)
+
+
+@query("calendar_source", f"WITH {FILLED} SELECT substr(timestamp_utc, 12, 2) AS \"hour\", country, impact, count(*) AS n FROM silver GROUP BY 1, 2, 3")
 def calendar_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark)
-    raw = tables._calendar(spark, sf_dir)
-    raw.orderBy("o_orderkey").drop("o_orderkey").write.option("header", True).csv(f"{root}/forexfactory_all.csv")
+    raw = tables._calendar(spark, sf_dir).withColumn("time", F.when(F.col("o_orderkey") % 3 == 1, "").otherwise(F.col("time")))
+    for k in (0, 1):
+        raw.where(F.col("o_orderkey") % 2 == k).orderBy("o_orderkey").drop("o_orderkey").write.option("header", True).csv(f"{root}/forexfactory_{k}.csv")
     source = plugins.SOURCES["calendar"]
     rows = source.preprocess(spark, root)
     source.validate(rows)
-    return rows.groupBy("country", "impact").agg(F.count("*").alias("n"))
+    return rows.groupBy(F.date_format("timestamp_utc", "HH").alias("hour"), "country", "impact").agg(F.count("*").alias("n"))
+
+
+@query("quarantine", """
+WITH l AS (SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'not 6 fields' WHEN event_id % 10 = 7 THEN 'not 6 fields' END AS fault FROM events)
+SELECT 'fred' AS source, coalesce(fault, 'read') AS reason, count(*) AS n FROM l GROUP BY 2
+UNION ALL SELECT 'documents', CASE doc_id % 5 WHEN 2 THEN 'no JSON of the schema' ELSE 'read' END, count(*) FROM documents GROUP BY 2
+UNION ALL SELECT 'fred', 'missing columns', 1 UNION ALL SELECT 'mt5', 'no such folder', 1 UNION ALL SELECT 'ecb_policy_rates', 'no file of the source', 1""")
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scans read and what they set aside: short and long lines, lines that are no JSON, a file of another header, folders that are not there."""
+    root = scratch(spark)
+    e = table(spark, sf_dir, "events")
+    fields = [F.to_date("ts").cast("string"), F.col("event_id").cast("string"), F.lit("S"), F.lit("D"), F.lit("N/A"), F.lit("fred")]
+    line = F.when(F.col("event_id") % 10 == 3, F.concat_ws(",", *fields[:4])).when(F.col("event_id") % 10 == 7, F.concat_ws(",", *fields, F.lit("x"))).otherwise(F.concat_ws(",", *fields))
+    e.select(line.alias("date,value,series_id,frequency,units,source")).write.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\t").csv(f"{root}/series/fred_all.csv")
+    spark.createDataFrame([("2024-01-01", "1")], "day string, value string").coalesce(1).write.option("header", True).csv(f"{root}/series/fred_other.csv")
+    text = F.to_json(F.struct(F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content")))
+    table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 5 == 2, F.substring(text, 1, 9)).otherwise(text)).write.text(f"{root}/documents/all.jsonl")
+    roots = {"fred": f"{root}/series", "documents": f"{root}/documents", "mt5": f"{root}/nowhere", "ecb_policy_rates": f"{root}/series"}
+    aside = files.quarantine(spark, roots).groupBy("source", F.regexp_extract("reason", "^[^:,]+", 0).alias("reason")).agg(F.count("*").alias("n"))
+    read = [files.REGISTRY[name](spark, roots[name]).agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), F.lit("read").alias("reason"), "n") for name in ("fred", "documents")]
+    return aside.unionByName(read[0]).unionByName(read[1])
 
 
 @query("document_source", """

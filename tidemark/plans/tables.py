@@ -149,7 +149,7 @@ raw AS (
          floor(o_totalprice) * 1000 AS actual, CASE WHEN o_orderkey % 7 <> 0 THEN (o_custkey + 1)::DOUBLE * 1000000 END AS forecast, (o_orderkey % 100)::DOUBLE + 0.5 AS previous
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 ev AS (
-  SELECT *, d || 'T' || lpad(CAST(h AS VARCHAR), 2, '0') || ':30:00Z' AS timestamp_utc,
+  SELECT *, d || coalesce('T' || lpad(CAST(h AS VARCHAR), 2, '0') || ':30:00Z', 'T00:00:00Z') AS timestamp_utc,
          coalesce(named, CASE nation WHEN 'united states' THEN 'US' WHEN 'united kingdom' THEN 'GB' WHEN 'japan' THEN 'JP' WHEN 'canada' THEN 'CA' WHEN 'china' THEN 'CN'
            WHEN 'germany' THEN 'DE' WHEN 'france' THEN 'FR' WHEN 'brazil' THEN 'BR' WHEN 'india' THEN 'IN' WHEN 'indonesia' THEN 'ID' WHEN 'russia' THEN 'RU' ELSE upper(substr(nation, 1, 2)) END) AS country FROM raw),
 silver AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import EVENTS, MACRO, NEWS, OHLCV, Contract
@@ -22,11 +22,17 @@ class Source:
     clean: Callable[[DataFrame], DataFrame]
     contract: Contract
     rules: Callable[[], dict] = dict
+    #: The time of a landed row, where rows of one key differ in it: they are filtered before one of them is chosen.
+    when: Callable[[], Column] | None = None
 
     def preprocess(self, spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
         """Silver rows of the inclusive time range."""
-        rows = self.clean(self.read(spark, path))
-        return rows if start is None and end is None else rows.where(dedup.between(F.col("timestamp_utc"), start, end))
+        rows = self.read(spark, path)
+        if start is None and end is None:
+            return self.clean(rows)
+        if self.when is not None:
+            return self.clean(rows.where(dedup.between(self.when(), start, end)))
+        return self.clean(rows).where(dedup.between(F.col("timestamp_utc"), start, end))
 
     def validate(self, df: DataFrame) -> bool:
         """True, or ValueError with the rules that are violated."""
@@ -45,7 +51,7 @@ SOURCES: dict[str, Source] = {}
 def add(name: str, source: Source) -> None:
     """A source of the given name; its scan is registered as well."""
     SOURCES[name] = source
-    files.register(name, source.read)
+    files.register(name, source.read, files.SCANNERS.get(name))
 
 
 add("mt5", Source(files.price_bars, lambda df: prices.epoch_bars(df, files.POSITION), OHLCV, lambda: {"ohlc_consistent": ~ohlc_consistent()}))
@@ -53,4 +59,4 @@ add("ecb_exchange_rates", Source(files.exchange_rates, lambda df: prices.synthet
 add("fred", Source(files.series, lambda df: macro.series(df, files.POSITION), MACRO))
 add("ecb_policy_rates", Source(files.policy_rates, lambda df: macro.policy_rates(df, files.POSITION), MACRO))
 add("calendar", Source(files.calendar, lambda df: calendar.events(df, files.POSITION), EVENTS))
-add("documents", Source(files.json_lines, _documents, NEWS))
+add("documents", Source(files.json_lines, _documents, NEWS, when=news.published))
