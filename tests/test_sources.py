@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.contracts import MACRO
 from tidemark.functions import text, times
-from tidemark.operators import calendar, macro, news, pages, store
+from tidemark.operators import calendar, elements, macro, news, pages, store
 from tidemark.sources import files, plugins, sinks
 
 
@@ -61,6 +61,41 @@ def test_calendar_pages_of_both_layouts(spark):
     ]
 
 
+NESTED = "<table class=inner><tr class=calendar__row><td>a</td><td>b</td></tr></table>"
+
+
+@pytest.mark.parametrize(
+    ("row", "event", "actual"),
+    [
+        (f'<tr class="calendar__row">{cells("8:30am", "USD", "low", "CPI", "", "", "1%", "2%", "3%", NESTED)}</tr>', "CPI", "1%"),
+        (f'<tr class="calendar__row">{cells("8:30am", "USD", "low", f"CPI {NESTED}", "", "", "1%", "2%", "3%", "")}</tr>', "CPIab", "1%"),
+        ('<tr class="calendar__row"><td>8:30am<td>USD<td>low<td><b>CPI</b> &amp; more<td><td><td>1%<td>2%<td>3%<td>', "CPI& more", "1%"),
+        (f'<tr class="calendar__row">{cells("8:30am", "USD", "low", "CPI</div></span>", "", "", "1%", "2%", "3%")}', "CPI", "1%"),
+        ('<TR CLASS=calendar__row><TD>8:30am</TD><TD>USD<!-- <td> --></TD><TD>low<script>"</td>"</script></TD><TD title="a>b">CPI</TD><TD></TD><TD></TD><TD>1%</TD><TD>2%</TD><TD>3%</TD></TR>', "CPI", "1%"),
+    ],
+)
+def test_calendar_cells_hold_tables_and_end_by_themselves(spark, row, event, actual):
+    head = '<table class="calendar__table"><tr class="day-breaker"><td><span class="date">Monday, February 12, 2024</span></td></tr>'
+    after = f'<tr class="calendar__row">{cells("9:00am", "EUR", "high", "next", "", "", "", "", "")}</tr></table>'
+    found = pages.calendar_rows(page(spark, head + row + after), "page_id", "html", "https://c", 2024).orderBy("position").collect()
+    assert [(r.event, r.time, r.currency, r.impact, r.actual, str(r.day)) for r in found] == [(event, "8:30am", "USD", "Low", actual, "2024-02-12"), ("next", "9:00am", "EUR", "High", None, "2024-02-12")]
+
+
+def test_all_outputs_come_from_one_parse(spark):
+    html = f"<title>T &amp; U</title><body><h1>Head <i>line</i></h1><main>A {LONG}</main><div class='published-date'>May 3</div></body>"
+    parsed = page(spark, html).select(elements.parsed("html").alias("p"))
+    found = {**pages.page_metadata(F.col("p")), "text": pages.shown_text(F.col("p"))}
+    row = parsed.select(*(c.alias(n) for n, c in found.items()))
+    assert row._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert (row.first().title, row.first().h1, row.first().shown_date) == ("T & U", "Headline", "May 3") and row.first().text.startswith("A words")
+
+
+@pytest.mark.parametrize("html", [None, "", "no tags", "<", "<a", "<a href='x", "</p>", "<!-- open", "<td></table></td>" * 3, "<p>" * 2000, "<" * 5000, "<a title=\"x>" * 300])
+def test_any_text_can_be_parsed(spark, html):
+    row = page(spark, html).select(elements.parsed("html").alias("p")).first().p
+    assert all(e.at == k and e.last >= k and e.up < k and 0 <= e.t0 <= e.t1 <= len(row.texts) for k, e in enumerate(row.elements))
+
+
 LONG = "words that fill the place " * 12
 
 

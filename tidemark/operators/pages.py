@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.classify import fed_speaker
 from tidemark.functions.text import absolute_url, blank_to_null, clean_value, impact_level, is_english_page, without_noise
 from tidemark.functions.times import header_date, url_date, us_date
+from tidemark.operators import elements as el
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _DROPPED = r"(?is)<(script|style|nav|header|footer)\b[^>]*>.*?</\1\s*>"
 _ANCHOR = r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 
@@ -48,72 +46,37 @@ PROFILES = {
 }
 
 
-def _matcher(selector: str) -> Callable[[str, list[str], str], bool]:
+def _matcher(selector: str) -> Callable[[Column], Column]:
     tag, sign, rest = re.fullmatch(r"([a-z0-9]+|\*)(\.~|#~|\.|#)?(.*)", selector).groups()
-    if not sign:
-        return lambda t, classes, own: t == tag
-    if sign.endswith("~"):
-        found = re.compile(rest)
-        return lambda t, classes, own: t == tag and any(found.search(x) for x in (classes if sign == ".~" else [own]))
-    if sign == "#":
-        return lambda t, classes, own: t == tag and own == rest
-    wanted = set(rest.split("."))
-    return lambda t, classes, own: t == tag and wanted <= set(classes)
-
-
-class _Reader(HTMLParser):
-    """Text lines by the first element that fits each selector, by the body, and of all."""
-
-    def __init__(self, profile: Profile):
-        super().__init__(convert_charrefs=True)
-        self.profile, self.stack = profile, []
-        self.fits = {s: _matcher(s) for s in (*profile.selectors, "body")}
-        self.waiting, self.lines = list(self.fits), {s: [] for s in (*self.fits, "*")}
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            return
-        given = dict(attrs)
-        classes, own = (given.get("class") or "").split(), given.get("id") or ""
-        gone = bool(self.stack and self.stack[-1][1]) or tag in self.profile.drop or any(c in self.profile.drop_classes for c in classes)
-        opened = [] if gone else [s for s in self.waiting if self.fits[s](tag, classes, own)]
-        self.waiting = [s for s in self.waiting if s not in opened]
-        self.stack.append((tag, gone, opened))
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        text = data.strip()
-        if not text or (self.stack and self.stack[-1][1]):
-            return
-        for s in ("*", *(s for _, _, own in self.stack for s in own)):
-            self.lines[s].append(text)
-
-    def text(self) -> str:
-        for s in self.profile.selectors:
-            if len(found := "\n".join(self.lines[s])) > self.profile.longer_than:
-                return found
-        return "\n".join(self.lines[self.profile.last] or self.lines["*"])
+    kinds: dict[str | None, Callable[[Column], Column]] = {
+        None: lambda e: F.lit(True),
+        ".~": lambda e: F.exists(el.classes(e), lambda c: c.rlike(rest)),
+        "#~": lambda e: F.coalesce(e["id"], F.lit("")).rlike(rest),
+        "#": lambda e: F.coalesce(e["id"] == rest, F.lit(False)),
+        ".": lambda e: el.has_class(e, *rest.split(".")),
+    }
+    return lambda e: (e["tag"] == tag) & kinds[sign](e)
+
+
+def shown_text(page: Column, profile: Profile = Profile()) -> Column:
+    """A parsed page's main text: of the first element that fits a selector and holds enough text, selector by selector, else of the last resort."""
+    dropped = F.filter(page["elements"], lambda e: e["tag"].isin(*profile.drop) | (F.arrays_overlap(el.classes(e), F.array(*map(F.lit, profile.drop_classes))) if profile.drop_classes else F.lit(False)))
+    gone = lambda e: F.exists(dropped, lambda d: (d["at"] <= e["at"]) & (e["at"] <= d["last"]))
+    left = F.transform(page["texts"], lambda t, k: F.when(~F.exists(dropped, lambda d: (d["t0"] <= k) & (k < d["t1"])), t))
+
+    def of(selector: str) -> Column:
+        fits = _matcher(selector)
+        e = el.first(page["elements"], lambda e: fits(e) & ~gone(e))
+        return F.array_join(F.slice(left, e["t0"] + 1, e["t1"] - e["t0"]), "\n")
+
+    enough = [F.when(F.length(of(s)) > profile.longer_than, of(s)) for s in profile.selectors]
+    rest = F.array_join(left, "\n")
+    return F.coalesce(*enough, rest if profile.last == "*" else blank_to_null(of(profile.last)), rest)
 
 
 def main_text(pages: DataFrame, key: str, html: str, profile: Profile = Profile()) -> DataFrame:
-    """key, text: the page's main text by an HTML parser."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page in batch[html]:
-                reader = _Reader(profile)
-                reader.feed(page or "")
-                reader.close()
-                out.append(reader.text())
-            yield pd.DataFrame({key: batch[key], "text": out})
-
-    found = pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, text string")
+    """key, text: the page's main text."""
+    found = pages.select(key, el.parsed(html).alias("_page")).select(key, shown_text(F.col("_page"), profile).alias("text"))
     return found.withColumn("text", without_noise(F.col("text"))) if profile.clean else found
 
 
@@ -147,20 +110,24 @@ SECTIONS = (
     Section("press_conferences", r"/press/press_conference/monetary-policy-statement/\d{4}/html/", "policy"),
     Section("monetary_policy_accounts", r"/press/accounts/\d{4}/html/", "policy"),
 )
-_NO_BLOCK = r"(?:(?!</?(?:div|li|span)\b).)*"
-_LINK = rf"(?is)(?:<(?:div|li|span)\b[^>]*>({_NO_BLOCK}?))?<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>({_NO_BLOCK}?)(?=<a\b|</?(?:div|li|span)\b|\z)"
-
-
 def article_links(pages: DataFrame, key: str, html: str, base: str, sections: tuple[Section, ...] = SECTIONS, start: str | None = None, end: str | None = None) -> DataFrame:
     """key, position, section, url, title, date_hint, category of a page's English article links.
 
-    A link belongs to the first section whose pattern its href contains.  The title is the link's text, else that of
-    the div, li or span right around it; the date comes from the URL, and links without one pass the date filter.
+    A link belongs to the first section whose pattern its href contains.  The title is the link's text, else all that of
+    the nearest div, li or span around it; the date comes from the URL, and links without one pass the date filter.
     """
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(_LINK), F.lit(0))).alias("position", "_a"))
-    part = lambda k: F.regexp_extract("_a", _LINK, k)
-    of = F.coalesce(*(F.when(part(2).rlike(s.pattern), F.lit(k)) for k, s in enumerate(sections)))
-    found = found.withColumns({"_s": of, "url": absolute_url(part(2), base), "title": F.coalesce(blank_to_null(inner_text(part(3))), inner_text(F.concat(part(1), F.lit("<a>"), part(4))))})
+    page = F.col("_page")
+
+    def link(e: Column) -> Column:
+        blocks = F.filter(F.slice(page["elements"], 1, e["at"]), lambda b: b["tag"].isin("div", "li", "span") & (b["last"] >= e["at"]))
+        shown = F.coalesce(blank_to_null(el.text(page, e)), el.text(page, F.try_element_at(blocks, F.lit(-1))), F.lit(""))
+        return F.struct(e["ref"].alias("href"), shown.alias("title"))
+
+    # only links of a section are looked at closer
+    wanted = F.filter(page["elements"], lambda e: (e["tag"] == "a") & F.coalesce(e["ref"].rlike("|".join(s.pattern for s in sections)), F.lit(False)))
+    found = pages.select(key, el.parsed(html).alias("_page")).select(key, F.posexplode(F.transform(wanted, link)).alias("position", "_a")).select(key, "position", "_a.*")
+    of = F.coalesce(*(F.when(F.col("href").rlike(s.pattern), F.lit(k)) for k, s in enumerate(sections)))
+    found = found.withColumns({"_s": of, "url": absolute_url(F.col("href"), base)})
     found = found.where(F.col("_s").isNotNull() & is_english_page(F.col("url"))).withColumn("date_hint", url_date(F.col("url")))
     for bound, op in ((start, ">="), (end, "<=")):
         if bound is not None:
@@ -169,91 +136,95 @@ def article_links(pages: DataFrame, key: str, html: str, base: str, sections: tu
     return found.select(key, "position", name(lambda s: s.name).alias("section"), "url", "title", "date_hint", name(lambda s: s.category).alias("category"))
 
 
-def inner_text(html: Column) -> Column:
-    """Text nodes, each stripped, strung together; the common entities resolved."""
-    bare = F.btrim(F.regexp_replace(html, r"\s*<(?:!--.*?--|[^>]*)>\s*", ""), F.lit(" \t\n\r\x0b\x0c"))
-    full = bare
-    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
-        full = F.replace(full, F.lit(f"&{name};"), F.lit(sign))
-    return F.when(html.contains("&"), full).otherwise(bare)
+def metadata(html: Column) -> dict[str, Column]:
+    """title, h1, author, published, shown_date as columns, of HTML or of a page that is parsed already; '' where the page lacks one."""
+    return page_metadata(el.parsed(html))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+def page_metadata(page: Column) -> dict[str, Column]:
+    every = page["elements"]
+    shown = lambda test: F.coalesce(el.text(page, el.first(every, test)), F.lit(""))
+    meta = lambda n: F.btrim(F.coalesce(el.first(every, lambda e: (e["tag"] == "meta") & F.array_contains(F.split(e["label"], " "), n))["ref"], F.lit("")), F.lit(" \t\n\r"))
+    return {
+        "title": shown(lambda e: e["tag"] == "title"),
+        "h1": shown(lambda e: e["tag"] == "h1"),
+        "author": meta("author"),
+        "published": F.coalesce(*(blank_to_null(meta(n)) for n in ("article:published_time", "pubdate", "datePublished")), F.lit("")),
+        "shown_date": shown(lambda e: (e["tag"] == "div") & el.has_class(e, "published-date")),
+    }
 
 
-def _meta(html: Column, name: str) -> Column:
-    """The content of the first meta tag of that name or property, whatever the order of its attributes."""
-    tag = F.regexp_extract(html, rf"(?is)<meta\b(?=[^>]*?\s(?:name|property)\s*=\s*[\"']{name}[\"'])[^>]*>", 0)
-    return inner_text(_attribute(tag, "content"))
+def link_statistics(found: DataFrame, section: str, day: str) -> DataFrame:
+    return found.groupBy(section).agg(F.count("*").alias("n_links"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
-def metadata(html: Column) -> dict[str, Column]:
-    """title, h1, author, published, shown_date as columns; '' where the page lacks one."""
-    return {
-        "title": F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
-        "h1": F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]*>", "")),
-        "author": _meta(html, "author"),
-        "published": F.coalesce(*(blank_to_null(_meta(html, n)) for n in ("article:published_time", "pubdate", "datePublished")), F.lit("")),
-        "shown_date": inner_text(F.regexp_extract(html, _classed("div", "published-date") + "(.*?)</div>", 1)),
-    }
+#: How a calendar's table is known, best first.
+_CALENDAR: tuple[Callable[[Column], Column], ...] = (lambda e: e["class"].contains("calendar__table"), lambda e: e["id"] == "calendar_table", lambda e: e["class"].contains("calendar"))
+#: Places of a row's cells: time, currency, impact, event, detail, actual, forecast, previous.  A row that opens
+#: a block of one time has the date before them.
+_PLACES = {False: (0, 1, 2, 3, 5, 6, 7, 8), True: (1, 2, 3, 4, 6, 7, 8, 9)}
 
 
-def _classed(tag: str, name: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*?\bclass\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>"
+def _calendar_table(page: Column) -> Column:
+    def of(known: Callable[[Column], Column]) -> Column:
+        return el.first(page["elements"], lambda e: (e["tag"] == "table") & F.coalesce(known(e), F.lit(False)))
 
+    return F.coalesce(*map(of, _CALENDAR))
 
-def link_statistics(found: DataFrame, section: str, day: str) -> DataFrame:
-    return found.groupBy(section).agg(F.count("*").alias("n_links"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
+def _row_class(tr: Column) -> Column:
+    return F.lower(F.coalesce(tr["class"], F.lit("")))
 
-def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, position, class, row (the tr as it stands), tds (each td as it stands) and cells (their text) of all table rows."""
 
-    def parts(tr: Column) -> Column:
-        tds = F.regexp_extract_all(tr, F.lit(r"(?is)<td\b[^>]*>.*?</td>"), F.lit(0))
-        return F.struct(_attribute(tr, "class").alias("class"), tr.alias("row"), tds.alias("tds"), F.transform(tds, inner_text).alias("cells"))
+def _dated(tr: Column) -> Column:
+    return _row_class(tr).rlike("date|day-breaker|day_breaker")
 
-    # made before the rows are dealt out, so that each is taken apart once
-    trs = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))
-    return pages.select(key, F.posexplode(F.transform(trs, parts)).alias("position", "_r")).select(key, "position", "_r.*")
 
+def _day(page: Column, tr: Column, year: int) -> Column:
+    spans = F.filter(el.inside(page, tr), lambda e: e["tag"] == "span")
+    own = F.coalesce(el.first(spans, lambda e: e["class"].contains("date")), F.get(spans, 0))
+    return F.struct(tr["at"].alias("at"), header_date(el.text(page, own), year).alias("day"))
+
+
+def _event_cells(page: Column, tr: Column, k: Column) -> Column:
+    """The cells of an event row that are its own, NULL for other rows."""
+    named = F.exists(F.split(_row_class(tr), r"\s+"), lambda c: c.contains("calendar") & c.contains("row")) & ~_row_class(tr).contains("head") & ~_dated(tr)
+    tds = F.filter(el.inside(page, tr), lambda e: (e["tag"] == "td") & (e["up"] == tr["at"]))
+    return F.when(named, F.struct(tr["at"].alias("at"), k.alias("position"), tds.alias("tds")))
 
-_CALENDAR = [r"(?is)<table\b[^>]*?\bclass\s*=\s*[\"'][^\"']*calendar__table.*?</table>", r"(?is)<table\b[^>]*?\bid\s*=\s*[\"']calendar_table[\"'].*?</table>", r"(?is)<table\b[^>]*?\bclass\s*=\s*[\"'][^\"']*calendar.*?</table>"]
-#: Places of a row's cells: time, currency, impact, event, detail, actual, forecast, previous.  A row that opens a block of
-#: one time has the date before them.
-_PLACES = {False: (0, 1, 2, 3, 5, 6, 7, 8), True: (1, 2, 3, 4, 6, 7, 8, 9)}
+
+def _event(page: Column, r: Column, days: Column) -> Column:
+    tds = r["tds"]
+    td = lambda k: F.get(tds, F.when(F.size(tds) >= 11, _PLACES[True][k]).otherwise(_PLACES[False][k]))
+    shown = lambda k: F.coalesce(el.text(page, td(k)), F.lit(""))
+    icon = el.first(el.inside(page, td(2)), lambda e: e["tag"].isin("span", "i", "div"))
+    link = el.first(el.inside(page, td(4)), lambda e: e["tag"] == "a")
+    impact = F.struct(F.coalesce(td(2)["class"], F.lit("")).alias("class"), F.coalesce(icon["label"], F.lit("")).alias("title"), shown(2).alias("text"))
+    day = F.try_element_at(F.filter(days, lambda d: d["at"] < r["at"]), F.lit(-1))["day"]
+    fields = {"time": 0, "currency": 1, "event": 3, "actual": 5, "forecast": 6, "previous": 7}
+    return F.struct(r["position"].alias("position"), day.alias("day"), impact.alias("impact"), link["ref"].alias("href"), *(shown(k).alias(n) for n, k in fields.items()))
 
 
 def calendar_rows(pages: DataFrame, key: str, html: str, base: str, year: int) -> DataFrame:
     """Event rows of calendar tables, by key and position, with the day that the last date row above them set.
 
-    ``year`` completes day headers without one.  Rows before the first date, header rows, rows of fewer than eight
-    cells and rows without an event's name go.
+    A row has the cells that are its own: a table inside a cell is text of that cell.  ``year`` completes day headers
+    without one.  Rows before the first date, header rows, rows of fewer than eight cells and rows without an event's
+    name go.  A page is parsed once and its rows, days included, come out of that; nothing is shuffled.
     """
-    whole = pages.select(key, F.coalesce(*(blank_to_null(F.regexp_extract(html, p, 0)) for p in _CALENDAR), F.col(html)).alias(html))
-    rows = table_rows(whole, key, html)
-    dated = F.lower("class").rlike(r"date|day-breaker|day_breaker")
-    span = F.coalesce(*(blank_to_null(F.regexp_extract("row", p, 1)) for p in (r"(?is)<span\b[^>]*?\bclass\s*=\s*[\"'][^\"']*date[^\"']*[\"'][^>]*>(.*?)</span>", r"(?is)<span\b[^>]*>(.*?)</span>")))
-    named = F.exists(F.split(F.lower("class"), r"\s+"), lambda c: c.contains("calendar") & c.contains("row"))
-    event = ~dated & named & ~F.lower("class").contains("head") & (F.size("cells") >= 8)
-    at = lambda c, k: F.coalesce(F.get(c, F.when(F.size("cells") >= 11, _PLACES[True][k]).otherwise(_PLACES[False][k])), F.lit(""))
-    icon = F.regexp_extract(at("tds", 2), r"(?is)<(?:span|i|div)\b[^>]*>", 0)
-    link = F.regexp_extract(at("tds", 4), r"(?is)<a\b[^>]*>", 0)
-    fields = {
-        "time": blank_to_null(at("cells", 0)), "currency": blank_to_null(at("cells", 1)),
-        "impact": impact_level(_attribute(at("tds", 2), "class"), _attribute(icon, "title"), at("cells", 2)), "event": at("cells", 3),
-        "event_url": absolute_url(blank_to_null(inner_text(_attribute(link, "href"))), base), **{n: clean_value(at("cells", k)) for k, n in ((5, "actual"), (6, "forecast"), (7, "previous"))},
-    }
-    # only days and finished events are carried through the window
-    day = F.when(dated, header_date(inner_text(span), year))
-    rows = rows.where(dated | event).select(key, "position", day.alias("day"), F.when(event, F.struct(*(c.alias(n) for n, c in fields.items()))).alias("_event"))
-    w = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("day", F.last("day", ignorenulls=True).over(w))
-    return rows.where(F.col("day").isNotNull() & (F.col("_event.event") != "")).select(key, "position", "day", "_event.*")
-
-
-_ROW = _classed("div", "row")
+    page, table, trs, days = (F.col(c) for c in ("_page", "_table", "_trs", "_days"))
+    tr = lambda e: e["tag"] == "tr"
+    once = pages.select(key, el.parsed(html).alias("_page")).withColumn("_table", _calendar_table(page))
+    once = once.select(key, "_page", F.filter(F.when(table.isNull(), page["elements"]).otherwise(el.inside(page, table)), tr).alias("_trs"))
+    dated = F.filter(F.transform(F.filter(trs, _dated), lambda x: _day(page, x, year)), lambda d: d["day"].isNotNull())
+    once = once.select(key, "_page", dated.alias("_days"), F.filter(F.transform(trs, lambda x, k: _event_cells(page, x, k)), lambda r: r.isNotNull() & (F.size(r["tds"]) >= 8)).alias("_rows"))
+    # days stand twice here, so that they are made before and not again for each row
+    events = F.when(F.size(days) > 0, F.transform("_rows", lambda r: _event(page, r, days)))
+    rows = once.select(key, F.explode(events).alias("_r")).select(key, "_r.*").where("day is not null and event <> ''")
+    return rows.select(
+        key, "position", "day", blank_to_null(F.col("time")).alias("time"), blank_to_null(F.col("currency")).alias("currency"), impact_level(F.col("impact.class"), F.col("impact.title"), F.col("impact.text")).alias("impact"), "event",
+        absolute_url(blank_to_null(F.col("href")), base).alias("event_url"), *(clean_value(F.col(n)).alias(n) for n in ("actual", "forecast", "previous")),
+    )
 
 
 def listing_rows(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
@@ -261,16 +232,31 @@ def listing_rows(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
 
     An item is a ``row`` with a time and an event part, up to the next row; items without a readable date or a link go.
     """
-    items = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(rf"{_ROW}.*?(?={_ROW}|\z)"), F.lit(0))).alias("position", "_row"))
-    event = F.regexp_extract("_row", _classed("div", "eventlist__event") + "(.*)", 1)
-    items = items.withColumns({"_time": F.regexp_extract("_row", _classed("div", "eventlist__time") + r".*?<time\b[^>]*>(.*?)</time>", 1), "_event": event})
-    link = F.regexp_extract("_event", r"(?is)<a\b[^>]*>", 0)
-    speaker = _classed("p", "news__speaker")
-    shown = lambda p: blank_to_null(inner_text(F.regexp_extract("_event", p, 1)))
-    press = F.regexp_extract("_event", _classed("p", "eventlist__press") + "(.*?)</p>", 1)
-    out = items.select(
-        key, "position", us_date(inner_text(F.col("_time"))).cast("date").alias("date"), link.alias("_link"), absolute_url(inner_text(_attribute(link, "href")), base).alias("url"),
-        inner_text(F.regexp_extract("_event", r"(?is)<a\b[^>]*>(.*?)</a>", 1)).alias("title"), F.coalesce(blank_to_null(inner_text(F.regexp_extract(press, r"(?is)<strong\b[^>]*>(.*?)</strong>", 1))), F.lit("other")).alias("category"),
-        fed_speaker(shown(speaker + "(.*?)</p>")).alias("speaker"), shown(speaker + r".*?</p>\s*<p\b[^>]*>(.*?)</p>").alias("location"),
+    page = F.col("_page")
+    rows = F.filter(page["elements"], lambda e: (e["tag"] == "div") & el.has_class(e, "row"))
+
+    def parts(r: Column, k: Column) -> Column:
+        end = F.least(r["last"], F.coalesce(F.get(F.col("_rows"), k + 1)["at"] - 1, r["last"]))
+        own = F.slice(page["elements"], r["at"] + 2, end - r["at"])
+        find = lambda name: el.first(own, lambda e: (e["tag"] == "div") & el.has_class(e, name))
+        return F.struct(find("eventlist__time").alias("time"), find("eventlist__event").alias("event"))
+
+    def item(r: Column) -> Column:
+        event = el.inside(page, r["event"])
+        tagged = lambda tag: el.first(event, lambda e: e["tag"] == tag)
+        para = lambda name: el.first(event, lambda e: (e["tag"] == "p") & el.has_class(e, name))
+        speaker = para("news__speaker")
+        strong = el.first(el.inside(page, para("eventlist__press")), lambda e: e["tag"] == "strong")
+        return F.struct(
+            el.text(page, el.first(el.inside(page, r["time"]), lambda e: e["tag"] == "time")).alias("shown"), tagged("a")["ref"].alias("href"), tagged("a").isNotNull().alias("linked"), el.text(page, tagged("a")).alias("title"),
+            el.text(page, strong).alias("category"), el.text(page, speaker).alias("speaker"), el.text(page, el.first(event, lambda e: (e["tag"] == "p") & (e["at"] == speaker["last"] + 1))).alias("location"),
+        )
+
+    once = pages.select(key, el.parsed(html).alias("_page")).select(key, "_page", rows.alias("_rows"))
+    items = F.transform(F.transform("_rows", parts), lambda r: F.when(r["time"].isNotNull() & r["event"].isNotNull(), item(r)))
+    found = once.select(key, F.posexplode(items).alias("position", "_i")).select(key, "position", "_i.*")
+    out = found.select(
+        key, "position", us_date(F.col("shown")).cast("date").alias("date"), "linked", absolute_url(F.col("href"), base).alias("url"), "title", F.coalesce(blank_to_null(F.col("category")), F.lit("other")).alias("category"),
+        fed_speaker(blank_to_null(F.col("speaker"))).alias("speaker"), blank_to_null(F.col("location")).alias("location"),
     )
-    return out.where("date is not null and _link <> ''").drop("_link")
+    return out.where("date is not null and linked").drop("linked")

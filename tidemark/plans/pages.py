@@ -40,8 +40,12 @@ def page_main_text_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+#: Entities of the given pages as the signs that they stand for.
+_SIGNS = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
 @query("page_meta", r"""
-SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS h1,
+SELECT page_id, """ + _SIGNS.format("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))") + " AS title, " + _SIGNS.format("trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'))") + r""" AS h1,
        CASE WHEN page_id % 3 = 0 THEN 'Ann Ash' ELSE '' END AS author, strftime(CASE page_id % 4 WHEN 0 THEN TIMESTAMP '2024-01-01' + (page_id % 500) * INTERVAL 1 DAY WHEN 1 THEN TIMESTAMP '2024-01-01 10:00:00' + (page_id % 500) * INTERVAL 1 DAY ELSE TIMESTAMP '2020-02-02' END, '%Y-%m-%dT%H:%M:%SZ') AS published FROM pages""")
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as they are, with an author and a date in a meta tag or on the page added before them."""
