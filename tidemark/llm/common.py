@@ -19,7 +19,19 @@ from tidemark.session import spread
 SLICE_BYTES = 4 << 20
 
 
+#: What a task hands its Python worker at once, unless the session says otherwise: several copies of it live on both sides.
+HANDED = ("spark.sql.execution.arrow.maxBytesPerBatch", "64m", "8m")
+
+
+def bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session has Spark's own size."""
+    name, given, ours = HANDED
+    if spark.conf.get(name, given).rstrip("b") in (given, str(64 << 20)):
+        spark.conf.set(name, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
@@ -28,6 +40,7 @@ def scratch(spark: SparkSession) -> str:
 
     Only where the setting is absent and all runs on this machine, as in local tests, a temporary folder is set.
     """
+    bounded(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
