@@ -25,7 +25,7 @@ def joined(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner"
     test = F.lit(True)
     for k in keys:
         test = test & F.col(k).eqNullSafe(F.col(f"_side_{k}"))
-    return rows.join(renamed, test, how).drop(*(f"_side_{k}" for k in keys))
+    return rows.join(renamed, test, how).drop(*(() if how in ("left_semi", "left_anti") else (f"_side_{k}" for k in keys)))
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], store: Store, nth: str = "nth", total: str | None = None) -> DataFrame:

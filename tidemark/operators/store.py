@@ -2,31 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import STORED, Contract, completed
 from tidemark.functions.times import months_between, week_number
+from tidemark.operators import bloom
 from tidemark.operators.dedup import deduplicated
+from tidemark.operators.merge import file_system, locked
 from tidemark.operators.quality import contract_rules
 
 
+def whole_key(keys: list[str]) -> Column:
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).isNotNull()
+    return test
+
+
 def new_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Rows of the batch to be inserted: first of equal keys, key not in the target; a key with NULL never collides."""
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
+    whole = whole_key(keys)
     first = deduplicated(batch.where(whole), keys, order).unionByName(batch.where(~whole))
     return first.join(target.select(*keys), keys, "left_anti").select(batch.columns)
 
 
-def insert_ignore(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[str | Column]) -> int:
-    """Append to the Parquet table at ``path`` and return how many rows went in."""
-    fresh = new_rows(spark.read.schema(batch.schema).parquet(path), batch, keys, order).cache()
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
+def new_rows_filtered(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column], filtered: DataFrame, n_blocks: int) -> DataFrame:
+    """As ``new_rows``, with a Bloom filter of the target's keys: rows that it does not know are new and meet the target no more.
+
+    Only the keys that it may know are looked up in the target, which is scanned for them and, while these are few
+    enough for a broadcast, not shuffled.
+    """
+    whole = whole_key(keys)
+    judged = bloom.tested(deduplicated(batch.where(whole), keys, order), filtered, keys, n_blocks, "_maybe")
+    possible = judged.where("_maybe").drop("_maybe")
+    there = target.select(*keys).join(possible.select(*keys), keys, "left_semi").distinct()
+    fresh = judged.where("not _maybe").drop("_maybe").unionByName(possible.join(there, keys, "left_anti"))
+    return fresh.unionByName(batch.where(~whole)).select(batch.columns)
+
+
+class KeyFilter:
+    """The Bloom filter stored in a table's folder, in versions: the last one holds the keys of all rows inserted so far."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        self.spark, self.keys, self.root = spark, keys, f"{path}/_keys"
+        fs, where = file_system(spark, self.root)
+        found = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+        self.version, self.n_blocks, self.n_keys = map(int, found[-1].split("-")) if found else (0, 0, 0)
+        self.name = found[-1] if found else None
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema("block long, bitmap binary").parquet(f"{self.root}/{self.name}")
+
+    def save(self, filtered: DataFrame, n_blocks: int, n_keys: int) -> None:
+        name, old = f"{self.version + 1:09d}-{n_blocks}-{n_keys}", self.name
+        filtered.coalesce(1).write.parquet(f"{self.root}/{name}")
+        if old:
+            fs, where = file_system(self.spark, f"{self.root}/{old}")
+            fs.delete(where, True)
+        self.version, self.n_blocks, self.n_keys, self.name = self.version + 1, n_blocks, n_keys, name
+
+    def ready(self, target: DataFrame, coming: int) -> bool:
+        """Whether there is a filter with room for what is coming; made anew, twice as large, where there is none."""
+        if self.name is None or (self.n_keys + coming) > self.n_blocks * bloom.KEYS_A_BLOCK:
+            n_keys = target.count()
+            n_blocks = bloom.blocks_for(2 * (n_keys + coming))
+            if n_blocks > bloom.MOST_BLOCKS:
+                return False
+            self.save(bloom.built(target.where(whole_key(self.keys)), self.keys, n_blocks), n_blocks, n_keys)
+        return True
+
+
+def insert_ignore(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[str | Column], filtered: bool = False) -> int:
+    """Append to the Parquet table at ``path`` and return how many rows went in.
+
+    One writer at a time; rows are counted while they are written.  ``filtered`` keeps a Bloom filter beside the table,
+    so that new rows are told without a look at all of it; a table too large for the filter is looked up whole.
+    """
+    with locked(spark, path):
+        target = spark.read.schema(batch.schema).parquet(path)
+        known = KeyFilter(spark, path, keys) if filtered else None
+        if known and known.ready(target, batch.count()):
+            fresh = new_rows_filtered(target, batch, keys, order, known.read(), known.n_blocks)
+        else:
+            known, fresh = None, new_rows(target, batch, keys, order)
+        seen = Observation()
+        fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+        n = seen.get["n"]
+        if known and n:
+            known.save(bloom.merged(known.read(), bloom.built(batch.where(whole_key(keys)), keys, known.n_blocks)), known.n_blocks, known.n_keys + n)
     return n
 
 

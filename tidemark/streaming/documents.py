@@ -27,6 +27,6 @@ def drained(stream: DataFrame, path: str, checkpoint: str, ts: str, source: str
 
     def put(batch: DataFrame, number: int) -> None:
         keyed = batch.withColumns({"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"), "part_source": F.col(source), "batch": F.lit(number)})
-        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_source", "year", "month", "batch").parquet(path)
+        keyed.hint("rebalance", "part_source", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_source", "year", "month", "batch").parquet(path)
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(put).start().awaitTermination()
