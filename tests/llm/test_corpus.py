@@ -246,6 +246,14 @@ def test_fixity_query_against_its_sql(spark, sf):
     assert sorted(map(repr, map(tuple, found.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_rows_without_an_id_against_the_sql(spark, tmp_path):
+    spark.createDataFrame([(None, "u", "x"), (None, None, None), (5, "v", "y")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(warc.OP7_SQL)
+    assert sorted(map(repr, map(tuple, warc.op7_warc_fixity(spark, str(tmp_path)).select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_a_separator_is_part_of_the_audit():
     data = b"WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     other = data[:-1] + b"x"

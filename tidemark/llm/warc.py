@@ -249,7 +249,7 @@ WITH page AS (
   FROM (SELECT page_id, html, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages)),
 leaf AS (SELECT page_id, archive, CAST(strlen(record) + 4 AS BIGINT) AS length, sha256(record) AS sha256 FROM page)
 SELECT page_id, archive, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, sha256,
-       NOT (substr(md5(CAST(page_id AS VARCHAR)), 1, 1) = '0' AND substr(md5(CAST(page_id AS VARCHAR)), 2, 1) < '8') AS intact
+       coalesce(NOT (substr(md5(CAST(page_id AS VARCHAR)), 1, 1) = '0' AND substr(md5(CAST(page_id AS VARCHAR)), 2, 1) < '8'), true) AS intact
 FROM leaf
 WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
