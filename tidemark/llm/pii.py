@@ -42,7 +42,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOOSE_PHONE = re.compile(r"\(?\b[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}\b")
 AT_MARK = re.compile(r"\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]+)+")
-SECRET = re.compile(r"(?:token|password|passwd|secret|api_?key|access_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{12,}+)", re.I)
+SECRET = re.compile(r"(?:token|password|passwd|secret|api_?key|access_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+-]{12,}+={0,2})", re.I)
 #: Fixed values for the gazetteers: top-level domains beside those of two letters, E.164 country codes (three-digit ones by their
 #: first two digits), card issuers' first digits with the lengths of their numbers, and beginnings of access tokens.
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name pro museum coop aero jobs mobi travel tel cat asia post xxx app dev io ai cloud online site shop store tech blog news email example test local".split())
@@ -264,6 +264,19 @@ def learned(candidates: DataFrame, sample: int = SAMPLE_SPANS) -> np.ndarray:
     return classifier([r[2] for r in rows], np.array([belief[r[0], r[1]] for r in rows]), np.log1p([float(r[3]) for r in rows])) if rows else np.zeros(PLACES)
 
 
+def apart(found: list[dict], chance: list[float]) -> list[tuple]:
+    """Base spans, and of the loose ones that are likely those that overlap no likelier one; of equally likely ones the first stays."""
+    out = [(f["kind"], f["start"], f["end"], True) for f in found if f["base"]]
+    likely = sorted((-p, f["start"], f["end"], f["kind"]) for f, p in zip(found, chance, strict=True) if p >= 0.5 and not f["base"])
+    taken: list[tuple[int, int]] = []
+    for _, start, end, kind in likely:
+        at = bisect_left(taken, (start, end))
+        if (at == len(taken) or taken[at][0] >= end) and (not at or taken[at - 1][1] <= start):
+            taken.insert(at, (start, end))
+            out.append((kind, start, end, False))
+    return sorted(out)
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id and spans: array of (kind as a number, start, end, base), sorted by kind and start."""
     candidates = stored(spotted(docs))
@@ -275,8 +288,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
             found = batch.column(1).to_pylist()
             flat = [f for own in found for f in own]
             row, place = np.repeat(np.arange(len(flat)), [len(f["features"]) for f in flat]), np.array([x for f in flat for x in f["features"]], np.int64)
-            good = iter((chances(w, row, place, len(flat)) >= 0.5).tolist())
-            spans = [sorted((f["kind"], f["start"], f["end"], f["base"]) for f in own if next(good) or f["base"]) for own in found]
+            chance = iter(chances(w, row, place, len(flat)).tolist())
+            spans = [apart(own, [next(chance) for _ in own]) for own in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip(("kind", "start", "end", "base"), x, strict=True)) for x in own] for own in spans], pa.list_(kinds))], ["doc_id", "spans"])
 
     return candidates.select("doc_id", "found").mapInArrow(run, "doc_id long, spans array<struct<kind:int,start:int,end:int,base:boolean>>")
