@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,23 @@ def deduplicated(df: DataFrame, keys: list[str], order: list[str | Column], keep
     return chosen.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
+class Counts:
+    """Rows that went into and came out of a deduplication, known once the result has been written or otherwise used whole."""
+
+    def __init__(self) -> None:
+        self.before, self.after = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        n_rows, n_keys = self.before.get["n"], self.after.get["n"]
+        return {"n_rows": n_rows, "n_keys": n_keys, "n_removed": n_rows - n_keys}
+
+
+def deduplicated_counted(df: DataFrame, keys: list[str], order: list[str | Column], keep: str = "first") -> tuple[DataFrame, Counts]:
+    """As ``deduplicated``, with counts taken in the same pass."""
+    counts, n = Counts(), F.count(F.lit(1)).alias("n")
+    return deduplicated(df.observe(counts.before, n), keys, order, keep).observe(counts.after, n), counts
+
+
 def forward_filled(df: DataFrame, column: str, group: list[str], order: list[str]) -> DataFrame:
     """Blank or NULL values take the last value before them within the group."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,11 +9,11 @@ from tidemark.contracts import EVENTS, MACRO, OHLCV
 from tidemark.functions import times
 from tidemark.functions.numbers import ohlc_consistent
 from tidemark.functions.times import iso
-from tidemark.operators import dedup, news, quality, store
+from tidemark.operators import bloom, dedup, merge, news, quality, store
 from tidemark.plans import tables
 from tidemark.plans.base import query
 from tidemark.plans.common import scratch, table
-from tidemark.sources import files
+from tidemark.sources import files, sinks
 
 
 @query("new_urls", "SELECT url, min(page_id) AS page_id FROM pages WHERE page_id % 3 > 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
@@ -116,6 +116,50 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.new_rows(o.where("o_orderpriority = '1-URGENT'"), o, ["o_custkey", "month"], ["o_orderkey"]).drop("o_orderpriority")
 
 
+@query("insert_ignore_filtered", """
+WITH target AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month" FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS "month", min(o_orderkey) AS o_orderkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.o_custkey = o.o_custkey AND t."month" = strftime(o.o_orderdate, '%Y-%m')) GROUP BY 1, 2""")
+def insert_ignore_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``insert_ignore``, with a Bloom filter of the stored keys that is merged from those of two halves."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_orderpriority")
+    target, keys = o.where("o_orderpriority = '1-URGENT'"), ["o_custkey", "month"]
+    n_blocks = bloom.blocks_for(target.count())
+    half = F.col("o_orderkey") % 2 == 0
+    known = bloom.merged(bloom.built(target.where(half), keys, n_blocks), bloom.built(target.where(~half), keys, n_blocks))
+    return store.new_rows_filtered(target, o, keys, ["o_orderkey"], known, n_blocks).drop("o_orderpriority")
+
+
+@query("monthly_upsert", """
+WITH p AS (SELECT 1 AS pull, o_orderdate::DATE AS day, o_custkey % 7 AS series, o_totalprice AS v, o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'
+           UNION ALL SELECT 2, o_orderdate::DATE, o_custkey % 7, o_totalprice + 1, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01'),
+k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY day, series ORDER BY pull DESC, o_orderkey DESC) = 1)
+SELECT series, strftime(day, '%Y-%m') AS "month", count(*) AS n, sum(round(v)) AS total, sum(pull - 1)::BIGINT AS n_new FROM k GROUP BY 1, 2""")
+def monthly_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pulls that overlap by half a year, the second one twice under its number."""
+    o = table(spark, sf_dir, "orders")
+    pull = lambda k, part: o.where(part).select(F.col("o_orderdate").cast("date").alias("day"), (F.col("o_custkey") % 7).alias("series"), (F.col("o_totalprice") + (k - 1)).alias("v"), "o_orderkey", F.lit(k).cast("long").alias("pull"))
+    path, keys = scratch(spark), ["day", "series"]
+    for k, part in ((1, "o_orderdate < timestamp'1999-01-01'"), (2, "o_orderdate >= timestamp'1998-07-01'"), (2, "o_orderdate >= timestamp'1998-07-01'")):
+        merge.upserted(spark, path, pull(k, part), keys, "day", k, ["o_orderkey"])
+    rows = merge.stored(spark, path, "day date, series long, v double, o_orderkey long, pull long")
+    return rows.groupBy("series", "month").agg(F.count("*").alias("n"), F.sum(F.round("v")).alias("total"), F.sum(F.col("pull") - 1).alias("n_new"))
+
+
+@query("export_counts", """
+WITH e AS (SELECT date_trunc('minute', ts) AS t, event_type FROM events)
+SELECT count(*) AS n_rows, count(DISTINCT (t, event_type)) AS n_keys, count(*) - count(DISTINCT (t, event_type)) AS n_removed, count(DISTINCT (t, event_type)) AS n_written,
+       strftime(min(t), '%Y-%m-%dT%H:%M:%SZ') AS first_ts, strftime(max(t), '%Y-%m-%dT%H:%M:%SZ') AS last_ts FROM e""")
+def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export read, dropped and wrote, counted while it was written."""
+    e = table(spark, sf_dir, "events").select(F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("timestamp_utc"), "event_type", "event_id", "value")
+    rows, counts = dedup.deduplicated_counted(e, ["timestamp_utc", "event_type"], ["event_id"])
+    done = sinks.silver_written(rows, scratch(spark), "events", "timestamp_utc")
+    found = counts.get()
+    out = spark.createDataFrame([(found["n_rows"], found["n_keys"], found["n_removed"], done.n_rows, done.first, done.last)], "n_rows long, n_keys long, n_removed long, n_written long, first timestamp, last timestamp")
+    return out.select("n_rows", "n_keys", "n_removed", "n_written", iso(F.col("first")).alias("first_ts"), iso(F.col("last")).alias("last_ts"))
+
+
 @query("insert_ignore_count", """
 SELECT (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS n_before, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) AS n_inserted, 0 AS n_again""")
 def insert_ignore_count(spark: SparkSession, sf_dir: str) -> DataFrame:
