@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import classify, text
 from tidemark.functions.times import iso
-from tidemark.operators import dedup, news, pages, quality, scoring
+from tidemark.operators import dedup, news, pages, quality, scoring, sentiment
 from tidemark.plans.base import query
 from tidemark.plans.common import table
 from tidemark.session import spread
@@ -180,6 +180,17 @@ def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", "sentiment_label", "sentiment_score")
 
 
+@query("linear_sentiment")
+def linear_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by what labels teach: toxic texts are negative, others of good quality positive; ids whose crc32 is divisible by 5 are held out."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    known = known.select("doc_id", F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentiment.fitted(docs.join(known, "doc_id").where(~held), "text", "label")
+    return model.score(spread(docs), "text").select("doc_id", held.alias("held_out"), "sentiment_label", "sentiment_score")
+
+
 @query("document_rows", """
 SELECT doc_id, 'ECB' AS source, CASE WHEN doc_id % 4 = 0 THEN 'Untitled' ELSE 'T' || CAST(doc_id AS VARCHAR) END AS title, sha256(CASE WHEN coalesce(toxic, 0) = 1 THEN 'S' || lang ELSE coalesce(text, '') END) AS content_hash,
        coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'en') AS language FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)""")

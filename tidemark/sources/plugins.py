@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.contracts import EVENTS, MACRO, NEWS, OHLCV, Contract
 from tidemark.functions.numbers import ohlc_consistent
-from tidemark.operators import calendar, dedup, macro, news, prices, quality
+from tidemark.operators import calendar, dedup, macro, news, prices, quality, scoring
 from tidemark.sources import files
 
 
@@ -39,10 +39,20 @@ class Source:
         return quality.enforce(quality.checked(df, self.contract, self.rules()))
 
 
-def _documents(df: DataFrame) -> DataFrame:
-    good, _ = news.articles(df.withColumn("author", F.col("metadata.author")))
-    found = news.deduplicated_articles(good, files.POSITION)
-    return found.withColumns({"sentiment_score": F.lit(0.0), "sentiment_label": F.lit("neutral")}).select(*NEWS.columns)
+Score = Callable[[DataFrame, str], DataFrame]
+
+
+def documents(score: Score = scoring.scored) -> Source:
+    """Central-bank and graph news, one row an article, its headline scored by ``score`` (frame and text column -> frame with score and label).
+
+    The default counts words; ``sentiment.fitted(...).score`` is one that has learned.
+    """
+
+    def clean(df: DataFrame) -> DataFrame:
+        good, _ = news.articles(df.withColumn("author", F.col("metadata.author")))
+        return score(news.deduplicated_articles(good, files.POSITION), "headline").select(*NEWS.columns)
+
+    return Source(files.json_lines, clean, NEWS, when=news.published)
 
 
 SOURCES: dict[str, Source] = {}
@@ -59,4 +69,4 @@ add("ecb_exchange_rates", Source(files.exchange_rates, lambda df: prices.synthet
 add("fred", Source(files.series, lambda df: macro.series(df, files.POSITION), MACRO))
 add("ecb_policy_rates", Source(files.policy_rates, lambda df: macro.policy_rates(df, files.POSITION), MACRO))
 add("calendar", Source(files.calendar, lambda df: calendar.events(df, files.POSITION), EVENTS))
-add("documents", Source(files.json_lines, _documents, NEWS, when=news.published))
+add("documents", documents())
