@@ -11,7 +11,7 @@ from tidemark.operators import dedup, news, prices
 from tidemark.plans import tables
 from tidemark.plans.base import query
 from tidemark.plans.common import scratch, table
-from tidemark.sources import files, plugins, sinks
+from tidemark.sources import datasource, files, plugins, sinks
 from tidemark.streaming import documents as streams
 
 
@@ -210,28 +210,48 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aside.unionByName(read[0]).unionByName(read[1])
 
 
-@query("document_source", """
+DOCUMENT_SOURCE = """
 WITH d AS (SELECT ['fed', 'ecb', 'boe'][doc_id % 3 + 1] AS source, substr(sha256('https://x/' || CAST(doc_id // 2 AS VARCHAR)), 1, 16) AS article_id, regexp_extract_all(lower(text), '[\\p{L}]+') AS words
            FROM documents WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) = 1),
 c AS (SELECT *, len(list_filter(words, lambda x: x IN ('growth', 'gain', 'gains', 'strong', 'improve', 'improved', 'rise', 'rises', 'optimistic', 'recovery', 'boost', 'stable'))) AS good,
              len(list_filter(words, lambda x: x IN ('loss', 'losses', 'weak', 'decline', 'fall', 'falls', 'crisis', 'recession', 'worthless', 'risk', 'risks', 'fear', 'default'))) AS bad FROM d)
 SELECT article_id, source, CASE source WHEN 'fed' THEN 'USD' WHEN 'ecb' THEN 'EUR' ELSE 'GBP' END AS currency, CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-       CASE WHEN good > bad THEN round(good / (good + bad)::DOUBLE, 4) WHEN bad > good THEN -round(bad / (good + bad)::DOUBLE, 4) ELSE 0.0 END AS sentiment_score FROM c""")
-def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents landed by three collectors in a folder each, read through each one's source and cleaned as one table."""
+       CASE WHEN good > bad THEN round(good / (good + bad)::DOUBLE, 4) WHEN bad > good THEN -round(bad / (good + bad)::DOUBLE, 4) ELSE 0.0 END AS sentiment_score FROM c"""
+
+
+def _collected(spark: SparkSession, sf_dir: str) -> tuple[str, tuple[str, ...]]:
+    """Documents landed by three collectors in a folder each; pairs of them share a URL."""
     root, names = scratch(spark), ("fed", "ecb", "boe")
     d = table(spark, sf_dir, "documents").withColumn("_k", F.col("doc_id") % 3)
     stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     for k, name in enumerate(names):
         rows = d.where(F.col("_k") == k).select(F.lit(name).alias("source"), stamp.alias("timestamp_collected"), F.concat(F.lit("https://x/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), F.col("text").alias("title"), F.col("doc_id").cast("string").alias("content"))
         sinks.json_lines(rows, f"{root}/{name}/all.jsonl")
-    landed = files.routed(spark, {f"{name}_documents": root for name in names})
+    return root, names
+
+
+def _articles_of(landed: DataFrame) -> DataFrame:
     source = plugins.SOURCES["documents"]
     rows = source.clean(landed.withColumns({"_file": F.lit(""), "_block": F.lit(0), "_pos": F.col("content").cast("long")}))
     source.validate(rows)
     return rows.select("article_id", "source", "currency", "sentiment_label", "sentiment_score")
 
 
+@query("document_source", DOCUMENT_SOURCE)
+def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three collectors landed, read through each one's source and cleaned as one table."""
+    root, names = _collected(spark, sf_dir)
+    return _articles_of(files.routed(spark, {f"{name}_documents": root for name in names}))
+
+
+@query("document_data_source", DOCUMENT_SOURCE)
+def document_data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the library's own data source."""
+    root, _ = _collected(spark, sf_dir)
+    datasource.register(spark)
+    return _articles_of(spark.read.format("tidemark").option("path", root).load())
+
+
 @query("graph_jsonl", """
 WITH g AS (SELECT 'https://n/' || CAST(p_partkey // 2 AS VARCHAR) AS url, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS tier FROM part WHERE p_partkey % 4 < 2 QUALIFY row_number() OVER (PARTITION BY p_partkey // 2 ORDER BY p_partkey) = 1)
 SELECT tier, count(*) AS n, 0 AS n_out_of_order FROM g GROUP BY 1""")
