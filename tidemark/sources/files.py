@@ -56,6 +56,13 @@ def price_bars(spark: SparkSession, path: str, prefix: str = "mt5") -> DataFrame
     return readable(price_bars_scan(spark, path, prefix))
 
 
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    lack = sorted(set(columns) - set(df.columns))
+    if lack:
+        raise ValueError(f"missing columns: {lack}")
+    return df
+
+
 def readable(found: Scan) -> DataFrame:
     """The rows; ValueError with the first reasons where no file could be read."""
     if found.rows is None:
