@@ -118,7 +118,7 @@ def routed(spark: SparkSession, roots: dict[str, str], strict: bool = True) -> D
     """
     parts = []
     for name, path in roots.items():
-        if name in REGISTRY and scans.is_there(spark, path):
+        if name in REGISTRY:
             try:
                 parts.append(REGISTRY[name](spark, path))
             except (ValueError, AnalysisException) as e:
@@ -137,7 +137,7 @@ def quarantine(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     for name, path in roots.items():
         if name not in REGISTRY:
             faults = scans.fault(spark, path, "unknown source")
-        elif not scans.is_there(spark, path):
+        elif name in SCANNERS and not scans.is_there(spark, path):
             faults = scans.fault(spark, path, "no such folder")
         elif name in SCANNERS:
             try:
