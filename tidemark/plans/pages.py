@@ -102,7 +102,9 @@ def _calendar_pages(o: DataFrame) -> DataFrame:
 SELECT o_custkey AS page, strftime(min(o_orderdate) OVER (PARTITION BY o_custkey), '%Y-%m-%d') AS day, '8:30am' AS "time", 'USD' AS currency, ['High', 'Medium', 'Low', 'Unknown'][o_orderkey % 4 + 1] AS impact, o_orderpriority AS event,
        'https://c/calendar?detail=' || CAST(o_orderkey AS VARCHAR) AS event_url, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) END AS actual, NULL::VARCHAR AS forecast, NULL::VARCHAR AS previous FROM orders""")
 def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages.calendar_rows(_calendar_pages(table(spark, sf_dir, "orders")), "page", "html", "https://c", 2000)
+    # pages cost much a byte: adaptive execution would join them to too few tasks
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = pages.calendar_rows(_calendar_pages(table(spark, sf_dir, "orders")).repartition(tasks), "page", "html", "https://c", 2000)
     return found.select(F.col("page.o_custkey").alias("page"), F.date_format("day", "yyyy-MM-dd").alias("day"), "time", "currency", "impact", "event", "event_url", "actual", "forecast", "previous")
 
 
