@@ -6,12 +6,14 @@ import datetime
 import subprocess
 import sys
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.contracts import MACRO
 from tidemark.functions import text, times
 from tidemark.operators import calendar, elements, macro, news, pages, store
+from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import files, plugins, sinks
 
 
@@ -117,6 +119,22 @@ def test_main_text_by_source(spark, source, html, first):
     assert found.startswith(first) and "no" not in found.split() and "Last Update" not in found and "rest" not in found
 
 
+@pytest.fixture(scope="module")
+def cut_pages(spark, tmp_path_factory):
+    """Pages whose escaped text is broken off inside a reference, and SQL over them."""
+    root = str(tmp_path_factory.mktemp("cut"))
+    rows = [(k, f"<html><head><title>a &amp;{end}</title></head><body><article><h1>b &amp;lt; &quot;{end}</h1><p>{LONG}{end}</p></article></body></html>") for k, end in enumerate(("&amp", "&am", "&", "&lt", "&quot", "&copy", "&amp;amp"))]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{root}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{root}/pages.parquet/*.parquet'")
+    return root, lambda name, columns: sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_references_broken_off_are_text(spark, cut_pages):
+    df = QUERIES["page_main_text"](spark, cut_pages[0])
+    assert sorted(map(tuple, df.collect())) == cut_pages[1]("page_main_text", df.columns)
+
+
 def test_article_links_of_sections(spark):
     html = (
         '<div>Top <a href="/press/key/date/2024/html/ecb.sp240105~aa.en.html">A <b>speech</b></a></div><li>Around <a href=\'https://e/press/pr/date/2023/html/ecb.pr230301~b.en.html\'><img></a> it</li>'

@@ -37,6 +37,14 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def closed_references(html: Column) -> Column:
+    """HTML in which only references with a semicolon count: one that is broken off is the text that it looks like.
+
+    A parser of HTML takes ``&amp`` for ``&``; where escaped text was cut, it is a rest of that text.
+    """
+    return F.regexp_replace(html, r"&(?!(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);)", "&amp;")
+
+
 def clean_text(c: Column) -> Column:
     """All runs of Unicode white space to one space, zero-width spaces out, ends trimmed; NULL to ''."""
     spaced = F.regexp_replace(F.translate(c, "\u200b", ""), r"(?U)[\s\x1c-\x1f]+", " ")
