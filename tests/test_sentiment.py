@@ -41,6 +41,22 @@ def test_scores_are_plain_sums_over_chunks(spark):
     assert "Python" not in model.score(df, "t")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_are_taken_apart_once_to_be_learned(spark):
+    """Not once for each chunk of a text, and not once for each pass of the fit."""
+    df = spark.createDataFrame([("one two " * 300, "negative"), *[("three " * 10, "positive")] * 5, ("", "positive"), ("three", None)], "t string, label string")
+    plan = df.select(sentiment.chunks(sentiment.buckets(F.col("t"))).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    given = []
+
+    def store(rows):
+        given.append(rows)
+        return spark.createDataFrame(rows.collect(), rows.schema)
+
+    sentiment.fitted(df, "t", "label", store=store)
+    assert len(given) == 1 and given[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.label, round(r.weight, 3), len(r.chunk)) for r in given[0].collect()) == [(0.0, 0.333, 88), (0.0, 0.333, 256), (0.0, 0.333, 256), *[(2.0, 1.0, 10)] * 5]
+
+
 def test_what_it_learns_holds_for_other_texts(spark):
     words = {"negative": "crash slump default", "positive": "growth gain boom", "neutral": "meeting agenda minutes"}
     rows = [(f"the {w} of day {k} and some more words about it {w} {chr(97 + k % 26)}", label) for label, ws in words.items() for w in ws.split() for k in range(30)]

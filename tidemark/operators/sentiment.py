@@ -12,6 +12,7 @@ and no Python runs where texts are scored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import signed_score
 
+Store = Callable[[DataFrame], DataFrame]
+
 LABELS = ("negative", "neutral", "positive")
 #: Buckets of words, words of a chunk, chunks that a bucket must stand in to be learned, rounds of the solver, its penalty and
 #: the share of that on absolute weights, which leaves most buckets at zero.
@@ -38,8 +41,13 @@ def buckets(text: Column) -> Column:
 
 def chunks(found: Column, most: int = CHUNK) -> Column:
     """An array cut into arrays of at most ``most``; an empty one has none."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(most))
-    return F.when(F.size(found) > 0, F.transform(starts, lambda s: F.slice(found, s, most))).otherwise(F.array().cast("array<array<int>>"))
+
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(most))
+        return F.when(F.size(whole) > 0, F.transform(starts, lambda s: F.slice(whole, s, most))).otherwise(F.array().cast("array<array<int>>"))
+
+    # the array is bound first: named in the inner function it would be made again for each of its pieces
+    return F.get(F.transform(F.array(found), cut), 0)
 
 
 @dataclass(frozen=True)
@@ -75,11 +83,15 @@ class Linear:
         return cut.withColumns({"sentiment_score": score, "sentiment_label": label}).drop("_mean")
 
 
-def fitted(df: DataFrame, text: str, label: str, penalty: float = PENALTY) -> Linear:
-    """Learn from texts with a label of ``LABELS``; rows with another one, or without a word, are left out."""
+def fitted(df: DataFrame, text: str, label: str, penalty: float = PENALTY, store: Store = lambda rows: rows) -> Linear:
+    """Learn from texts with a label of ``LABELS``; rows with another one, or without a word, are left out.
+
+    ``store`` writes the chunks to the shared folder and reads them back: the words are counted, summed up and learned from
+    in passes of their own, and texts must not be taken apart for each.
+    """
     number = F.array_position(F.array(*map(F.lit, LABELS)), F.col(label)) - 1
-    cut = df.select(number.cast("double").alias("label"), chunks(buckets(F.col(text))).alias("chunks")).where("label >= 0 and size(chunks) > 0")
-    rows = cut.select("label", (F.lit(1.0) / F.size("chunks")).alias("weight"), F.explode("chunks").alias("chunk"))
+    cut = df.select(number.cast("double").alias("label"), chunks(buckets(F.col(text))).alias("chunks")).where("label >= 0")
+    rows = store(cut.select("label", (F.lit(1.0) / F.size("chunks")).alias("weight"), F.explode_outer("chunks").alias("chunk")).where("chunk is not null"))
     rows = rows.select("label", "weight", F.col("chunk").cast("array<string>").alias("words"))
     counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=BUCKETS, minDF=LEAST).fit(rows)
     shares = Normalizer(p=1.0, inputCol="counts", outputCol="features").transform(counter.transform(rows)).select("label", "weight", "features")

@@ -25,5 +25,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back from it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_time(c: Column, form: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
     return F.date_format(c.cast("timestamp"), form)

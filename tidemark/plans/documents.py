@@ -9,7 +9,7 @@ from tidemark.functions import classify, text
 from tidemark.functions.times import iso
 from tidemark.operators import dedup, news, pages, quality, scoring, sentiment
 from tidemark.plans.base import query
-from tidemark.plans.common import table
+from tidemark.plans.common import stored, table
 from tidemark.session import spread
 
 
@@ -187,7 +187,7 @@ def linear_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     known = known.select("doc_id", F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = sentiment.fitted(docs.join(known, "doc_id").where(~held), "text", "label")
+    model = sentiment.fitted(docs.join(known, "doc_id").where(~held), "text", "label", store=stored)
     return model.score(spread(docs), "text").select("doc_id", held.alias("held_out"), "sentiment_label", "sentiment_score")
 
 
