@@ -98,6 +98,17 @@ def test_any_text_can_be_parsed(spark, html):
     assert all(e.at == k and e.last >= k and e.up < k and 0 <= e.t0 <= e.t1 <= len(row.texts) for k, e in enumerate(row.elements))
 
 
+def test_tags_are_taken_apart_once_and_only_where_they_end_the_same_way(monkeypatch):
+    calls, plain = [], elements._start_tag
+    monkeypatch.setattr(elements, "_start_tag", lambda *a: calls.append(a) or plain(*a))
+    pages_ = elements._Pages()
+    pages_.add('<table><tr class="calendar__row"><td>1</td><td title="a>b">2</td></tr>' * 500 + "<td title=\"x>y\">z</td><td title='x>w'>v</td>")
+    # what stands up to the first > does not tell how a tag with an open quote ends, so such a tag is not remembered
+    assert [len(calls), len({c for c in calls if ">" not in c[1]})] == [505, 3]
+    (page,) = pages_.arrays().to_pylist()
+    assert [e["label"] for e in page["elements"][-2:]] == ["x>y", "x>w"] and page["texts"][-2:] == ["z", "v"] and len(page["elements"]) == 2002
+
+
 LONG = "words that fill the place " * 12
 
 
