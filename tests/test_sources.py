@@ -171,6 +171,12 @@ def test_urls(spark, href, url):
     assert spark.createDataFrame([(href,)], "h string").select(text.absolute_url(F.col("h"), "https://h")).first()[0] == url
 
 
+def test_calendar_source_is_made_once(spark):
+    """Its rows are checked and counted from what was written."""
+    plan = QUERIES["calendar_source"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "csv" not in plan and "Window" not in plan
+
+
 def test_meta_tags_in_any_order(spark):
     html = "<meta content='Ann &amp; Co' property=x name='author'><meta property=\"datePublished\" content=\"2024-03-01\"/><div class='a published-date b'>Published on <i>08 February 2026</i></div>"
     found = page(spark, html).select(*(c.alias(n) for n, c in pages.metadata(F.col("html")).items())).first()
